@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import rank_fusion, site_lines, splitting
+from corpusmill.llm import encoding, mixing, rank_fusion, site_lines, splitting
 from corpusmill.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -89,9 +89,33 @@ SELECT question_id, chunk_id, round(v[1] / n, 9) AS worst_percentile,
   row_number() OVER (PARTITION BY question_id ORDER BY v[1] DESC, v[2] DESC, v[3] DESC, chunk_id) AS final_rank FROM v"""
 
 
+def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
+    return encoding.encode_corpus(table(spark, folder, "documents"))
+
+
+def p8_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
+    """Hash of each document's text as it comes back from its ids."""
+    decoded = encoding.decode_corpus(encoding.encode_corpus(table(spark, folder, "documents")))
+    return decoded.select("doc_id", F.sha2("text", 256).alias("text_sha256"))
+
+
+P8_ROUNDTRIP_SQL = "SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256 FROM documents"
+
+
+def p9_report(spark: SparkSession, folder: str) -> DataFrame:
+    """Target share, share reached and repeats of every target source."""
+    return mixing.mixed(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))[1]
+
+
+def p9_mix(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents of the mix, with how often each one stands in it."""
+    return mixing.mixed(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))[0]
+
+
 def queries() -> dict[str, Query]:
-    return {"p3_found": p3_found, "p3_pieces": p3_pieces, "p4_found": p4_found, "p4_clean": p4_clean, "p6_found": p6_found, "p6_ranking": p6_ranking}
+    return {"p3_found": p3_found, "p3_pieces": p3_pieces, "p4_found": p4_found, "p4_clean": p4_clean, "p6_found": p6_found, "p6_ranking": p6_ranking,
+            "p8_ids": p8_ids, "p8_roundtrip": p8_roundtrip, "p9_report": p9_report, "p9_mix": p9_mix}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p3_found": P3_FOUND_SQL, "p4_found": P4_FOUND_SQL, "p4_clean": P4_CLEAN_SQL, "p6_found": P6_FOUND_SQL, "p6_ranking": P6_RANKING_SQL}
+    return {"p3_found": P3_FOUND_SQL, "p4_found": P4_FOUND_SQL, "p4_clean": P4_CLEAN_SQL, "p6_found": P6_FOUND_SQL, "p6_ranking": P6_RANKING_SQL, "p8_roundtrip": P8_ROUNDTRIP_SQL}
