@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import encoding, mixing, rank_fusion, site_lines, splitting
+from corpusmill.llm import encoding, mixing, near_duplicates, rank_fusion, site_lines, splitting
 from corpusmill.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -89,6 +89,19 @@ SELECT question_id, chunk_id, round(v[1] / n, 9) AS worst_percentile,
   row_number() OVER (PARTITION BY question_id ORDER BY v[1] DESC, v[2] DESC, v[3] DESC, chunk_id) AS final_rank FROM v"""
 
 
+def _texts(spark: SparkSession, folder: str) -> list[tuple[DataFrame, str, str, str, str]]:
+    return [(table(spark, folder, "extracted_documents"), "document", "document_id", "document_id", "full_text"), (table(spark, folder, "chunks"), "chunk", "chunk_id", "document_id", "text")]
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates.similar_pairs(_texts(spark, folder))
+
+
+def p7_groups(spark: SparkSession, folder: str) -> DataFrame:
+    """One row a record: its class of copies, its group of near-duplicates and its links."""
+    return near_duplicates.groups(_texts(spark, folder))
+
+
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encoding.encode_corpus(table(spark, folder, "documents"))
 
@@ -114,7 +127,7 @@ def p9_mix(spark: SparkSession, folder: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {"p3_found": p3_found, "p3_pieces": p3_pieces, "p4_found": p4_found, "p4_clean": p4_clean, "p6_found": p6_found, "p6_ranking": p6_ranking,
-            "p8_ids": p8_ids, "p8_roundtrip": p8_roundtrip, "p9_report": p9_report, "p9_mix": p9_mix}
+            "p7_found": p7_found, "p7_groups": p7_groups, "p8_ids": p8_ids, "p8_roundtrip": p8_roundtrip, "p9_report": p9_report, "p9_mix": p9_mix}
 
 
 def oracle_sql() -> dict[str, str]:
