@@ -7,12 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import encoding, mixing, near_duplicates, rank_fusion, site_lines, splitting
+from corpusmill.llm import encoding, mixing, near_duplicates, rank_fusion, residue, site_lines, splitting
 from corpusmill.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Fetched pages and extracted documents that hold template residue or error-page text."""
+    pages = residue.residue_in_pages(table(spark, folder, "crawl_results")).select(F.lit("crawl").alias("kind"), "record_id")
+    texts = residue.residue_in_texts(table(spark, folder, "extracted_documents")).select(F.lit("extracted").alias("kind"), "record_id")
+    return pages.unionByName(texts)
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     """Items over 2,400 characters: those that the splitter cut."""
     chunks = splitting.split_oversized(table(spark, folder, "chunks"), ["document_id", "ordinal"])
@@ -126,7 +133,7 @@ def p9_mix(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"p3_found": p3_found, "p3_pieces": p3_pieces, "p4_found": p4_found, "p4_clean": p4_clean, "p6_found": p6_found, "p6_ranking": p6_ranking,
+    return {"p1_found": p1_found, "p3_found": p3_found, "p3_pieces": p3_pieces, "p4_found": p4_found, "p4_clean": p4_clean, "p6_found": p6_found, "p6_ranking": p6_ranking,
             "p7_found": p7_found, "p7_groups": p7_groups, "p8_ids": p8_ids, "p8_roundtrip": p8_roundtrip, "p9_report": p9_report, "p9_mix": p9_mix}
 
 
