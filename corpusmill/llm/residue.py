@@ -149,8 +149,8 @@ def _kind(sentence: str, kinds: set[str], code: bool) -> str | None:
 def _automaton() -> ahocorasick.Automaton:
     """All triggers in one pass over a text, built once a worker."""
     automaton = ahocorasick.Automaton()
-    for i, (t, _) in enumerate(_ALL):
-        automaton.add_word(t, i)
+    for t in {t for t, _ in _ALL}:
+        automaton.add_word(t, t)
     automaton.make_automaton()
     return automaton
 
@@ -178,7 +178,8 @@ def residue_kind(passage: str, triggers: list[tuple[str, str]] = _ALL) -> str |
 
 def first_residue(lines: list[str]) -> str | None:
     """The kind of the first residue among passages."""
-    held = [_ALL[i] for i in {i for _, i in _automaton().iter("\n".join(lines).lower())}]
+    there = {t for _, t in _automaton().iter("\n".join(lines).lower())}
+    held = [x for x in _ALL if x[0] in there]
     fenced = False
     for line in lines if held else ():
         if line.lstrip().startswith("```"):
