@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import encoding, mixing, near_duplicates, rank_fusion, residue, site_lines, splitting
+from corpusmill.llm import encoding, mixing, near_duplicates, rank_fusion, residue, site_lines, splitting, subjects
 from corpusmill.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -132,9 +132,18 @@ def p9_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mixed(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))[0]
 
 
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    return subjects.document_subjects(table(spark, folder, "documents")).select("doc_id", "subject")
+
+
+def p10_composition(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents by subject."""
+    return subjects.composition(table(spark, folder, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {"p1_found": p1_found, "p3_found": p3_found, "p3_pieces": p3_pieces, "p4_found": p4_found, "p4_clean": p4_clean, "p6_found": p6_found, "p6_ranking": p6_ranking,
-            "p7_found": p7_found, "p7_groups": p7_groups, "p8_ids": p8_ids, "p8_roundtrip": p8_roundtrip, "p9_report": p9_report, "p9_mix": p9_mix}
+            "p7_found": p7_found, "p7_groups": p7_groups, "p8_ids": p8_ids, "p8_roundtrip": p8_roundtrip, "p9_report": p9_report, "p9_mix": p9_mix, "p10_found": p10_found, "p10_composition": p10_composition}
 
 
 def oracle_sql() -> dict[str, str]:
