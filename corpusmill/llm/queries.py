@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import encoding, mixing, near_duplicates, rank_fusion, residue, site_lines, splitting, subjects
+from corpusmill.llm import boilerplate, encoding, mixing, near_duplicates, rank_fusion, residue, site_lines, splitting, subjects
 from corpusmill.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,20 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return pages.unionByName(texts)
 
 
+def _furniture(spark: SparkSession, folder: str) -> boilerplate.Furniture:
+    return boilerplate.trained(boilerplate.sample_pages(table(spark, folder, "crawl_results")))
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines of extracted documents that are page furniture."""
+    return boilerplate.furniture_lines(table(spark, folder, "extracted_documents"), _furniture(spark, folder))
+
+
+def p2_bodies(spark: SparkSession, folder: str) -> DataFrame:
+    """The main body of every page with a body."""
+    return boilerplate.main_bodies(table(spark, folder, "crawl_results"), _furniture(spark, folder))
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     """Items over 2,400 characters: those that the splitter cut."""
     chunks = splitting.split_oversized(table(spark, folder, "chunks"), ["document_id", "ordinal"])
@@ -142,7 +156,7 @@ def p10_composition(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p3_found": p3_found, "p3_pieces": p3_pieces, "p4_found": p4_found, "p4_clean": p4_clean, "p6_found": p6_found, "p6_ranking": p6_ranking,
+    return {"p1_found": p1_found, "p2_found": p2_found, "p2_bodies": p2_bodies, "p3_found": p3_found, "p3_pieces": p3_pieces, "p4_found": p4_found, "p4_clean": p4_clean, "p6_found": p6_found, "p6_ranking": p6_ranking,
             "p7_found": p7_found, "p7_groups": p7_groups, "p8_ids": p8_ids, "p8_roundtrip": p8_roundtrip, "p9_report": p9_report, "p9_mix": p9_mix, "p10_found": p10_found, "p10_composition": p10_composition}
 
 
