@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions.arrow import map_columns
-from corpusmill.session import cut
+from corpusmill.session import cut, small_side
 
 SHINGLE = 3
 THRESHOLD = 0.6
@@ -37,6 +37,9 @@ BANDS = [row.tolist() for seed in (1, 2) for row in np.random.RandomState(seed).
 #: An estimate this far (over four standard deviations) below the threshold can't be a pair.
 MARGIN = 0.2
 
+#: Lists of ids are broadcast up to this many (about 50 MB), and joined by shuffle beyond.
+MAX_BROADCAST_IDS = 1_000_000
+
 _WORD = re.compile(r"[^\W_]+")
 _ASCII = bytes(c if chr(c).isalnum() else 32 for c in range(128)) + bytes(range(128, 256))
 _EMPTY = 0xFFFF
@@ -96,34 +99,31 @@ def registers(texts: list[list[str]], hashes: dict) -> np.ndarray:
     return np.where(filled, (59 - exponent) << MANTISSA | mantissa, _EMPTY).astype("<u2")
 
 
+def folded(r: np.ndarray) -> np.ndarray:
+    """Registers as one byte each, all that the estimate needs; 255 is empty."""
+    return np.where(r == _EMPTY, 255, (r.astype(np.uint32) * 40503 >> 7) % 255).astype(np.uint8)
+
+
 def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Likeness by row of two arrays of registers, corrected for chance collisions."""
-    there = ((a != _EMPTY) | (b != _EMPTY)).sum(1)
-    same = ((a == b) & (a != _EMPTY)).sum(1)
-    chance = there / (3.0 * (1 << MANTISSA))  # two independent registers with the same zeros and mantissa
+    """Likeness by row of two arrays of folded registers, corrected for chance collisions."""
+    there = ((a != 255) | (b != 255)).sum(1)
+    same = ((a == b) & (a != 255)).sum(1)
+    chance = there * (1 / (3.0 * (1 << MANTISSA)) + 1 / 255)  # the same register, or the same byte of two registers
     return np.where(there > 0, np.clip((same - chance) / np.maximum(there - chance, 1), 0, 1), 0.0)
 
 
 def signatures(df: DataFrame, kind: str, record: str, document: str, text: str, min_pieces: int = MIN_PIECES) -> DataFrame:
-    """kind, id, doc, class (MD5 of the words), registers, bands of every record that is long enough."""
+    """kind, id, doc, class (MD5 of the words), registers of every record that is long enough."""
 
     def sign(ids: list, docs: list, texts: list) -> tuple:
-        out: tuple = ([], [], [], [], [], [])
+        out: tuple = ([], [], [], [], [])
         hashes, batch, size = _Hashes(), [], 0
 
         def flush() -> None:
             nonlocal batch, size
             if batch:
-                r = registers([w for _, _, w in batch], hashes)
-                keys = np.zeros((len(batch), len(BANDS)), np.uint64)
-                gaps = np.zeros((len(batch), len(BANDS)), np.int64)
-                for j in range(BAND):
-                    column = r[:, [b[j] for b in BANDS]]
-                    keys = _mix(keys * np.uint64(5) + column.astype(np.uint64) + np.uint64(1))
-                    gaps += column == _EMPTY
-                keys = _mix(keys + np.arange(len(BANDS), dtype=np.uint64)).view(np.int64)
-                for i, (x, d, w) in enumerate(batch):
-                    for column, value in zip(out, (kind, x, d, hashlib.md5(" ".join(w).encode()).digest(), r[i].tobytes(), keys[i][gaps[i] < 3])):
+                for (x, d, w), r in zip(batch, registers([w for _, _, w in batch], hashes)):
+                    for column, value in zip(out, (kind, x, d, hashlib.md5(" ".join(w).encode()).digest(), r.tobytes())):
                         column.append(value)
             batch, size = [], 0
 
@@ -140,25 +140,48 @@ def signatures(df: DataFrame, kind: str, record: str, document: str, text: str,
         return out
 
     own = df.select(F.col(record).cast("bigint").alias("id"), F.col(document).cast("bigint").alias("doc"), F.col(text).alias("text"))
-    return map_columns(own, sign, "kind string, id bigint, doc bigint, class binary, registers binary, bands array<bigint>")
+    return map_columns(own, sign, "kind string, id bigint, doc bigint, class binary, registers binary")
+
+
+def band_keys(r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(keys by record and band, whether the band counts: at most two of its registers are empty)."""
+    keys = np.zeros((len(r), len(BANDS)), np.uint64)
+    gaps = np.zeros((len(r), len(BANDS)), np.int64)
+    for j in range(BAND):
+        column = r[:, [b[j] for b in BANDS]]
+        keys = _mix(keys * np.uint64(5) + column.astype(np.uint64) + np.uint64(1))
+        gaps += column == _EMPTY
+    return _mix(keys + np.arange(len(BANDS), dtype=np.uint64)).view(np.int64), gaps < 3
+
+
+def _banded(reps: DataFrame) -> DataFrame:
+    """kind, id, band: one row a record and band."""
+
+    def band(kinds: list, ids: list, rows: list) -> tuple:
+        keys, good = band_keys(np.frombuffer(b"".join(rows), "<u2").reshape(len(rows), -1))
+        at = np.nonzero(good)[0]
+        return [kinds[i] for i in at], np.array(ids, np.int64)[at], keys[good]
+
+    return map_columns(reps.select("kind", "id", "registers"), band, "kind string, id bigint, band bigint")
 
 
 def _candidates(reps: DataFrame) -> DataFrame:
     """kind, a, b (a < b) of the records that share a band; the join's keys are single bands, buckets of one are gone."""
-    rows = reps.select("kind", "id", F.explode("bands").alias("band"))
     w = Window.partitionBy("kind", "band").orderBy("id")
-    shared = rows.select("kind", "band", "id", F.lag("id").over(w).alias("_low"), F.lead("id").over(w).alias("_high"))
+    shared = _banded(reps).select("kind", "band", "id", F.lag("id").over(w).alias("_low"), F.lead("id").over(w).alias("_high"))
     shared = cut(shared.where(F.coalesce(F.col("_low") < F.col("id"), F.lit(False)) | F.coalesce(F.col("_high") > F.col("id"), F.lit(False))).select("kind", "band", "id"))
     left, right = shared.withColumnRenamed("id", "a"), shared.withColumnRenamed("id", "b")
     return left.join(right, ["kind", "band"]).where("a < b").select("kind", "a", "b").distinct()
 
 
 def _estimated(candidates: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
-    side = lambda x: reps.select("kind", F.col("id").alias(x), F.col("registers").alias(f"_{x}"))
+    fold = lambda kinds, ids, rows: (kinds, ids, [x.tobytes() for x in folded(np.frombuffer(b"".join(rows), "<u2").reshape(len(rows), -1))])
+    codes = map_columns(reps.select("kind", "id", "registers"), fold, "kind string, id bigint, codes binary")
+    side = lambda x: codes.select("kind", F.col("id").alias(x), F.col("codes").alias(f"_{x}"))
     pairs = candidates.join(side("a"), ["kind", "a"]).join(side("b"), ["kind", "b"]).select("kind", "a", "b", "_a", "_b")
 
     def keep(kinds: list, a: list, b: list, left: list, right: list) -> tuple:
-        matrix = lambda rows: np.frombuffer(b"".join(rows), "<u2").reshape(len(rows), -1)
+        matrix = lambda rows: np.frombuffer(b"".join(rows), np.uint8).reshape(len(rows), -1)
         good = np.nonzero(estimate(matrix(left), matrix(right)) >= threshold - MARGIN)[0]
         return tuple([column[i] for i in good] for column in (kinds, a, b))
 
@@ -167,7 +190,7 @@ def _estimated(candidates: DataFrame, reps: DataFrame, threshold: float) -> Data
 
 def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """kind, a, b, likeness by the exact shingle sets of the whole texts."""
-    needed = pairs.select("kind", F.explode(F.array("a", "b")).alias("id")).distinct()
+    needed = small_side(pairs.select("kind", F.explode(F.array("a", "b")).alias("id")).distinct(), MAX_BROADCAST_IDS)
     own = cut(texts.join(needed, ["kind", "id"], "left_semi").dropDuplicates(["kind", "id"]))
     side = lambda x: own.select("kind", F.col("id").alias(x), F.col("text").alias(f"_{x}"))
     joined = pairs.join(side("a"), ["kind", "a"]).join(side("b"), ["kind", "b"]).select("kind", "a", "b", "_a", "_b")
@@ -196,7 +219,7 @@ def _linked(sources: list[tuple[DataFrame, str, str, str, str]], threshold: floa
     signed = cut(signed)
     classes = signed.groupBy("kind", "class").agg(F.min("id").alias("rep"), F.max("id").alias("_last")).where("rep <> _last").drop("_last")
     members = cut(signed.select("kind", "class", "id", "doc").join(classes, ["kind", "class"]).select("kind", "rep", "id", "doc").distinct())
-    reps = signed.join(members.where("id <> rep").select("kind", "id"), ["kind", "id"], "left_anti")
+    reps = signed.join(small_side(members.where("id <> rep").select("kind", "id"), MAX_BROADCAST_IDS), ["kind", "id"], "left_anti")
     links = cut(_verified(cut(_estimated(_candidates(reps), reps, threshold)), texts, threshold))
     return signed.select("kind", "id", "doc"), members, links
 
