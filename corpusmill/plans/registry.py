@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusmill.plans import incremental_queries
+from corpusmill.plans import corpus_queries, incremental_queries, retrieval_queries
 
-MODULES = (incremental_queries,)
+MODULES = (retrieval_queries, corpus_queries, incremental_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
