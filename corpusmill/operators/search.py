@@ -1,7 +1,7 @@
 """Batches of questions against all chunks: exact dense top-k, full-text top-k, reciprocal-rank fusion.
 
-Dense: the questions' vectors, at most ``BLOCK`` at a time, go to the tasks, each Arrow batch of chunk vectors is one
-matrix product, and only the best k of a batch leave it; the final ranking is a window over k rows a batch. Sparse:
+Dense: the questions' vectors, at most ``BLOCK`` at a time, go to the tasks, each Arrow batch of chunk vectors is
+matrix products, and only the best k of a task leave it; the final ranking is a window over k rows a task. Sparse:
 chunk tokens are joined to the questions' tokens, so no pair without a common token is built, and counted with
 map-side combining. Ties are ordered by chunk id.
 """
@@ -29,6 +29,34 @@ def cosine_distance(a: Column, b: Column) -> Column:
     return F.when(norm > 0, F.lit(1.0) - dot(a, b) / norm)
 
 
+class _Nearest:
+    """The best k of a task for each question, ties by id; memory is questions × k."""
+
+    def __init__(self, questions: int, k: int) -> None:
+        self.k = k
+        self.distance = np.full((questions, k), np.inf)
+        self.ids = np.zeros((questions, k), np.int64)
+
+    def offer(self, start: int, distance: np.ndarray, ids: np.ndarray) -> None:
+        """Distances of a block of questions (rows) to ``ids`` (columns)."""
+        n, k = distance.shape[0], self.k
+        limit = self.distance[start : start + n, -1].copy()
+        if distance.shape[1] > k:
+            limit = np.minimum(limit, np.partition(distance, k - 1, axis=1)[:, k - 1])
+        row, column = np.nonzero(distance <= limit[:, None])
+        rows = np.concatenate([row, np.repeat(np.arange(n), k)])
+        values = np.concatenate([distance[row, column], self.distance[start : start + n].ravel()])
+        named = np.concatenate([ids[column], self.ids[start : start + n].ravel()])
+        order = np.lexsort((named, values, rows))
+        place = np.arange(len(order)) - np.searchsorted(rows[order], np.arange(n))[rows[order]]
+        order = order[place < k]
+        self.distance[start : start + n], self.ids[start : start + n] = values[order].reshape(n, k), named[order].reshape(n, k)
+
+    def kept(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        row, column = np.nonzero(np.isfinite(self.distance))
+        return row, self.ids[row, column], self.distance[row, column]
+
+
 def dense_topk(chunks: DataFrame, questions: DataFrame, k: int = 30, block: int = BLOCK, digits: int = 6) -> DataFrame:
     """question_id, chunk_id, dense_distance (rounded), dense_rank of each question's nearest ``k`` chunks.
 
@@ -44,21 +72,16 @@ def dense_topk(chunks: DataFrame, questions: DataFrame, k: int = 30, block: int
         ids, q = ids[size > 0], (q[size > 0].T / size[size > 0]).T
 
         def nearest(batches: Iterator[pa.RecordBatch], ids: np.ndarray = ids, q: np.ndarray = q) -> Iterator[pa.RecordBatch]:
+            best = _Nearest(len(ids), k)
             for b in batches:
                 own = np.array(b.column(0).to_pylist(), np.int64)
-                v = np.array(b.column(1).to_pylist(), np.float64)
-                if not len(own) or not len(ids):
-                    continue
+                v = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(own), -1).astype(np.float64) if len(own) else np.zeros((0, 1))
                 size = np.linalg.norm(v, axis=1)
                 own, v = own[size > 0], v[size > 0] / size[size > 0, None]
-                for start in range(0, len(ids), 512):
-                    distance = np.round(1.0 - q[start : start + 512] @ v.T, digits) + 0.0
-                    order = np.lexsort((np.broadcast_to(own, distance.shape), distance), axis=1)[:, :k]
-                    n = order.shape[1]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.repeat(ids[start : start + 512], n)), pa.array(own[order].ravel()), pa.array(np.take_along_axis(distance, order, 1).ravel())],
-                        names=["question_id", "chunk_id", "dense_distance"],
-                    )
+                for start in range(0, len(ids) if len(own) else 0, 256):
+                    best.offer(start, np.round(1.0 - q[start : start + 256] @ v.T, digits) + 0.0, own)
+            row, found, distance = best.kept()
+            yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(found), pa.array(distance)], names=["question_id", "chunk_id", "dense_distance"])
 
         near = chunks.where("chunk_id is not null and embedding is not null").select("chunk_id", "embedding")
         near = near.mapInArrow(nearest, "question_id bigint, chunk_id bigint, dense_distance double")
