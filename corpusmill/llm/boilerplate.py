@@ -322,14 +322,23 @@ class Furniture:
 
     def body(self, page: str) -> str:
         """Text of a page's main body."""
-        tree = page_tree(page)
-        groups = _leaves(tree)
+        return self.bodies([page])[0]
+
+    def bodies(self, pages: list[str]) -> list[str]:
+        """``body`` of many pages, scored together."""
+        trees = [page_tree(p) for p in pages]
+        grouped = [_leaves(t) for t in trees]
+        rows = [node_features([[t for t, *_ in g] for g, _ in groups], [d for _, d in groups], self.wordings) for groups in grouped]
+        score = self.trees.logits(np.concatenate(rows)).clip(-CLIP, CLIP) if rows else np.zeros(0)
+        ends = np.cumsum([len(r) for r in rows])
+        return [self._body(t, g, score[e - len(r) : e].tolist()) for t, g, r, e in zip(trees, grouped, rows, ends)]
+
+    def _body(self, tree: tuple, groups: list, score: list[float]) -> str:
         if not groups:
             return ""
-        score = self.trees.logits(node_features([[t for t, *_ in g] for g, _ in groups], [d for _, d in groups], self.wordings)).clip(-CLIP, CLIP)
         flat = [leaf for g, _ in groups for leaf in g]
         logit, keyed = {}, {}
-        for k, ((_, tokens, node, i), s) in enumerate(zip(flat, score.tolist())):
+        for k, ((_, tokens, node, i), s) in enumerate(zip(flat, score)):
             told = _evidence(tokens)
             own = 0.0 if _HEADINGS.intersection(tokens) else s  # a heading goes with what stands around it
             logit[k] = own + (0 if told < 0 else CLIP if told else -CLIP)
@@ -394,7 +403,8 @@ def main_bodies(df: DataFrame, model: Furniture, record: str = "fetch_id", body:
     """record, main_body of each page with a body."""
 
     def run(ids: list, kinds: list, bodies: list) -> tuple:
-        return ids, [model.body(decoded(b, k)) for k, b in zip(kinds, bodies)]
+        pages = [decoded(b, k) for k, b in zip(kinds, bodies)]
+        return ids, [t for k in range(0, len(pages), BATCH) for t in model.bodies(pages[k : k + BATCH])]
 
     own = df.select(F.col(record).cast("bigint").alias("_id"), F.col(content_type).alias("_type"), F.col(body).alias("_body")).where("_body is not null")
     return map_columns(own, run, "_id bigint, main_body string").distinct().withColumnRenamed("_id", record)
