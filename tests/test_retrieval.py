@@ -51,3 +51,14 @@ def test_confidence(spark):
     assert {r.question_id: r.should_refuse for r in confidence.confidence(q, h, threshold=0.0).collect()} == {1: False, 2: False, 3: False, 4: False, 5: False, 6: True, 7: True}
     told = {r.question_id: r for r in confidence.refusals(q, h).collect()}
     assert set(told) == {2, 3, 6, 7} and told[6].topic == "financial" and told[6].office_url in told[6].message
+
+
+def test_ask_batch(spark):
+    from corpusmill.operators.encode import embed
+    from corpusmill.plans.ask import ask_batch
+
+    chunks = embed(spark.createDataFrame([(i, 1, i, "", None, t) for i, t in enumerate(("tuition fees are due in May", "rivers and bridges", "exam dates"))], "chunk_id long, document_id long, ordinal int, heading_path string, url_anchor string, text string"))
+    documents = spark.createDataFrame([(1, "u", "t", True)], "document_id long, url string, title string, is_active boolean")
+    asked = spark.createDataFrame([(1, "tuition fees are due in May"), (2, "unrelated words only"), (3, " ")], "question_id long, text string")
+    hits, refused = ask_batch(chunks, documents, asked)
+    assert {r.question_id for r in hits.collect()} == {1} and {r.question_id for r in refused.collect()} == {2, 3}
