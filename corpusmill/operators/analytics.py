@@ -30,6 +30,17 @@ def weekly_trends(questions: DataFrame, topic: str = "topic_label", at: str = "a
     return out.withColumn("priority", F.round(F.col("size") * (1 - F.col("mean_confidence") * (1 - F.col("refusal_rate"))), 4))
 
 
+def cluster_stats(questions: DataFrame, label: str = "topic_label", text: str = "redacted_text", at: str = "asked_at", samples: int = 3) -> DataFrame:
+    """week_start, label, size, mean_confidence, refusal_rate, sample_questions (the first ``samples`` distinct texts)
+    of each week's clusters; texts are counted before they are ranked, so a text asked very often is one row."""
+    own = questions.select(F.date_trunc("week", at).cast("date").alias("week_start"), F.coalesce(label, F.lit("unknown")).alias("label"), F.col(text).alias("t"), F.col("retrieval_confidence").cast("double").alias("c"), F.col("was_refused").cast("double").alias("r"))
+    stats = own.groupBy("week_start", "label").agg(F.count("*").alias("size"), F.round(F.coalesce(F.avg("c"), F.lit(0.0)), 6).alias("mean_confidence"), F.round(F.avg("r"), 6).alias("refusal_rate"))
+    w = Window.partitionBy("week_start", "label").orderBy("t")
+    first = own.where("t is not null").select("week_start", "label", "t").distinct().withColumn("n", F.row_number().over(w)).where(F.col("n") <= samples)
+    first = first.groupBy("week_start", "label").agg(F.array_sort(F.collect_list("t")).alias("sample_questions"))
+    return stats.join(first, ["week_start", "label"], "left")
+
+
 def k_anonymous(questions: DataFrame, k: int = 5, topic: str = "topic_label", at: str = "asked_at", unit: str | None = None, coarse: dict[str, str] | None = None) -> DataFrame:
     """week_start, topic, size (and n_units) of groups of at least ``k`` questions (or distinct units), sensitive topics
     first made coarse; smaller groups aren't shown at all."""

@@ -279,6 +279,13 @@ def weekly_top_topics(spark: SparkSession, folder: str) -> DataFrame:
     return analytics.ranked_clusters(analytics.weekly_trends(table(spark, folder, "questions")), 3)
 
 
+@query("""WITH q AS (SELECT *, CAST(date_trunc('week', asked_at) AS DATE) AS week_start, coalesce(topic_label, 'unknown') AS label FROM questions)
+SELECT week_start, label, count(*) AS size, round(coalesce(avg(CAST(retrieval_confidence AS DOUBLE)), 0), 6) AS mean_confidence, round(avg(CAST(was_refused AS DOUBLE)), 6) AS refusal_rate,
+  list_sort(list(DISTINCT redacted_text))[1:3] AS sample_questions FROM q GROUP BY week_start, label""")
+def cluster_stats(spark: SparkSession, folder: str) -> DataFrame:
+    return analytics.cluster_stats(table(spark, folder, "questions"))
+
+
 @query("""SELECT CAST(date_trunc('week', asked_at) AS DATE) AS week_start, CASE WHEN topic_label = 'health' THEN 'wellbeing' ELSE coalesce(topic_label, 'unknown') END AS topic,
   count(*) AS size, count(DISTINCT question_id) AS n_units FROM questions GROUP BY 1, 2 HAVING n_units >= 5""")
 def k_anonymous_report(spark: SparkSession, folder: str) -> DataFrame:
