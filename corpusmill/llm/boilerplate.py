@@ -47,12 +47,21 @@ Follow library for updates|Need help? Chat with us now|Need help? Chat with libr
 Home > Library > Student cards|Home › Registrar › Late penalties|Home :: Careers :: Letters of permission|Home / Law / Orientation week|Home » News » Events|Advising appointments: we set 10 cookies here, change your mind any time|The placements page uses trackers for visit counts; say yes or no
 Consent for advising – Course registration – stored until 2026-09-21|We use cookies. Accept all|Wir verwenden Cookies. Einstellungen speichern|Nous utilisons des témoins. Tout accepter|Usamos cookies. Aceptar todo|Report a barrier or an error on this page: form 929|© 2024 All rights reserved.
 Reproduction without written leave of the office is not allowed.|Information may change without notice; the printed calendar prevails.|The content of this page is provided for information and does not form a contract.|Terms of use · Privacy · Accessibility statement|Who handles student cards|How late penalties works
+Posted by the library desk on 2024-05-02|Posted by the arts desk on 02.05.2024|Posted by the alumni desk on 3 May 2024|By arts staff — 7 min read|By law staff — 172 min read|Need help? Chat with arts now|Book an appointment with arts|Follow arts for updates|Download the arts app|Upcoming in arts
+Subscribe to the arts newsletter and never miss a date|Reproduction without written leave of the arts office is not allowed.|While the arts office takes care to keep these pages correct, it gives no warranty as to their completeness and accepts no liability for any loss that follows from their use.
+Page owner: arts web team. Reviewed 02.05.2024|Filed under arts, 2024-05-02|We keep a few small files on your device so that the search box, your language and the text size stay as you left them. You can refuse all but the necessary ones at any time.|By browsing further you consent to the storage of trackers on your device.
+Got it! Hide this message about tracking files.|This site stores small files to remember your choices. Accept or manage them below.|Your privacy matters: accept all, reject all or choose by purpose.|We and our partners use cookies to measure visits; by continuing you agree.|Cookie settings: necessary, statistics, marketing. Save my choices
+The university operates on shared land and waters; read our statement.|Sign in|Skip to main content|Back to top|Quick links|A to Z|Current students|Future students|Campus life|Apply now|Visit — Events — Search — Directory — Sign in|Home / Apply now / Give / Directory / Jobs|Library · Events · Directory · Support
 Rules for exam deferrals|About stack traces|Dates for robot arms|Getting started: noun genders|garbage collection and your programme|hearing loss explained|Course registration|Bond yields"""
 CONTENT_LINES = """Call extension 2044 only when exam deferrals or timetable changes cannot wait until 11 March 2027.|Copyright in theses rests with the author; the office in the north hall explains licences every 8 weeks.|Menus, sidebars and footers of the site will be redrawn by the team before 20 February 2024.
 Cookies set by the site are covered in lecture 9, where we read consent banners and judge their wording with the class.|Late forms are returned unread unless a physician has signed them.|Members of the public may attend the open part of each council sitting.|A hold on an account is lifted once the balance has been cleared in full.
 Appeals must reach the senate secretary within ten working days of the decision.|The schedule printed on the notice board always takes precedence over this page.|Remember to bring photo identification to every appointment with this office.|The survey of 2024 was posted to 400 members and its results are published every year in the library.
 The newsletter of the society was founded in 1912 and last updated its title in 1950.|In this lecture we share ideas on privacy law and how consent is given on the web.|On 3 May the page was printed in 20 copies for readers who had asked for it.
 * fluid pumps: Alder Hall, 3 October 2027|– robot arms: the Quarry Annex, 2023-02-26|- weld joints: Ivy Terrace, 1 November|waitlists: the Glasshouse, 1 July 2024|timetable changes	436	12 August 2023|robot arms	12	2026-12-01|milling machines: control valves only!|weld joints (sensor arrays)|fee deadlines / appeal forms.
+Please enable JavaScript to view this page.|Internal Server Error. Reference 10-70.|Service temporarily unavailable. The library site is down for upkeep, please retry after 12:00.|It looks like JavaScript is turned off. Turn it on and reload the library site.|410 Page not found. The address you asked for does not exist on this server.
+Sorry, we could not find that page. Try the search or go back to the library start page.|Access denied. You lack permission to view this resource (incident 12).|Sample text for the room area. Replace it with your own copy before publishing.|Your heading here – phone|TODO(term): copy to come from the team.|Fee: undefined. Due: null. Office: #N/A.
+[PHONE] – [DEPARTMENT NAME]|Unsupported browser. The viewer cannot start without client-side scripting.|This form needs scripts. Your browser has them switched off.|Checking your browser before you continue to the site. Ray 2c35d208|503 Upstream timed out — edge node 48|Your session has timed out. Sign in again to continue.
+Cette page nécessite JavaScript. Activez-le puis rechargez.|Die Seite wurde nicht gefunden. Fehlercode 426.|No se encontró la página solicitada (404).|Bitte aktivieren Sie JavaScript, um diese Seite zu sehen.|Ask the {{ room }} for details|test asdf asdf test xxxx qwer|Click here to edit this block – room|Blindtext Nummer 19: dieser Absatz füllt nur die Seite.
 bursary forms → meal plans 20|student cards / waitlists 6|peat bogs: air quality only 19|CP104/CP105/CP106/CP107/CP108/CP109/CP110/CP111/CP112|Wartelisten → Gebührenfristen 40|la matrícula / las becas 60|les bourses (les résidences) 12"""
 
 _WORD = re.compile(r"[^\W\d_]+|\d+|[©›»|·/:>→—–?!•]")
