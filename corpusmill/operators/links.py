@@ -93,9 +93,10 @@ def within_budget(frontier: DataFrame, max_pages: int, order: list[str]) -> Data
     return once.orderBy(*order, "url").limit(max_pages)
 
 
-def crawl_frontier(seeds: DataFrame, links: DataFrame, max_pages: int = 5000, depth_cap: int = 4) -> DataFrame:
+def crawl_frontier(seeds: DataFrame, links: DataFrame, max_pages: int | None = 5000, depth_cap: int = 4) -> DataFrame:
     """url, depth of the pages reached breadth first from ``seeds`` (url) over ``links`` (source_url, link); pages at
-    depth ``depth_cap`` are reached and not mined. Each level is one join; visited pages leave by an anti join."""
+    depth ``depth_cap`` are reached and not mined. Each level is one join; visited pages leave by an anti join.
+    ``max_pages`` None keeps every page reached."""
     seen = cut(seeds.select("url").where("url is not null").distinct().withColumn("depth", F.lit(0)))
     last = seen
     for depth in range(1, depth_cap + 1):
@@ -104,7 +105,7 @@ def crawl_frontier(seeds: DataFrame, links: DataFrame, max_pages: int = 5000, de
         if last.isEmpty():
             break
         seen = seen.unionByName(last)
-    return within_budget(seen, max_pages, ["depth"]).select("url", "depth")
+    return seen if max_pages is None else within_budget(seen, max_pages, ["depth"]).select("url", "depth")
 
 
 def by_host(seeds: DataFrame, url: str = "url") -> DataFrame:

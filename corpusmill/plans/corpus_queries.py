@@ -118,8 +118,11 @@ def link_host_graph(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def crawl_frontier(spark: SparkSession, folder: str) -> DataFrame:
-    found = _links(spark, folder).select("source_url", "link")
-    return links.crawl_frontier(found.select(F.col("source_url").alias("url")), found)
+    """Every page reached from the documents' urls, with its depth. Seeds and sources are canonical as links are, so they
+    meet; hosts that aren't allowed are never entered. The page budget has its own query."""
+    found = _links(spark, folder).select(urls.normalize_url(F.col("source_url"), HOSTS).alias("source_url"), "link").where("source_url is not null")
+    seeds = table(spark, folder, "extracted_documents").select(urls.normalize_url(F.col("url"), HOSTS).alias("url"))
+    return links.crawl_frontier(seeds, found, max_pages=None)
 
 
 @query("SELECT coalesce(sha256(body) = lower(content_hash), false) AS hash_matches, count(*) AS n FROM crawl_results WHERE body IS NOT NULL GROUP BY ALL")

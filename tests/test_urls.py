@@ -52,6 +52,18 @@ def test_frontier_depth_and_budget(spark):
     assert links.crawl_frontier(seeds, edges, max_pages=3).count() == 3
 
 
+def test_frontier_query_keeps_every_page_reached(spark, tmp_path):
+    from corpusmill.plans.corpus_queries import QUERIES
+
+    at = "https://law.northmere-u.example"
+    page = "".join(f"<a href='/p{i}'>x</a>" for i in range(5100)).encode()
+    crawls = [(1, f"{at}/index.html", None, "law", "text/html", page), (2, f"{at}/p7", None, "law", None, b"<a href='/deep'>x</a>"), (3, f"{at}/island", None, "law", None, b"<a href='/never'>x</a>")]
+    spark.createDataFrame(crawls, "fetch_id long, url string, final_url string, host string, content_type string, body binary").write.parquet(str(tmp_path / "crawl_results.parquet"))
+    spark.createDataFrame([(f"{at}/",), (None,), ("https://elsewhere.example/",)], "url string").write.parquet(str(tmp_path / "extracted_documents.parquet"))
+    got = {r.url: r.depth for r in QUERIES["crawl_frontier"](spark, str(tmp_path)).collect()}
+    assert got == {f"{at}/": 0, **{f"{at}/p{i}": 1 for i in range(5100)}, f"{at}/deep": 2}
+
+
 def test_robots_fail_closed(spark):
     frontier = spark.createDataFrame([("a", "https://a/x"), ("a", "https://a/private/x"), ("b", "https://b/x"), ("c", "https://c/x")], "host string, url string")
     robots = spark.createDataFrame([("a", "User-agent: *\nDisallow: /private/"), ("c", "<html>not found</html>")], "host string, rules string")
