@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import functools
 import re
+from re import _constants, _parser
 
 import ahocorasick
 from pyspark.sql import DataFrame
@@ -24,22 +25,6 @@ from pyspark.sql import functions as F
 from corpusmill.functions.arrow import map_columns
 from corpusmill.functions.html import decoded, passages
 
-#: Substrings of the lower-cased text, one of which every sentence that a rule can take holds. (Fixed values.)
-TRIGGERS = {
-    "placeholder": "{ [ <% << % @@ |* *| __ xx".split(),
-    "filler": ["todo", "tbd", "fixme", "lorem", "ipsum", "dolor", "blindtext", "platzhalter", "mustertext", "beispieltext", "texte", "texto", "faux", "dummy", "sample", "placeholder", "filler", "example text",
-               "example content", "example copy", "with your own", "here", "to edit", "to add", "coming soon", "copy to come", "asdf", "qwer", "xxx", "blah", "amet", "tellus", "cursus", "mauris", "vivamus", "cillum", "commodo", "velit", "consectetur", "pariatur", "irure", "culpa"],
-    "values": ["undefined", ": null", ": none", ": nan", "nan/", "[object", "#n/a", "#ref", "#value", "#name", "#div", "invalid date"],
-    "error": ["error", "erreur", "fehler", "not found", "introuvable", "trouv", "gefunden", "verfügbar", "erreichbar", "encontr", "no existe", "find that", "find the", "find this", "find your", "denied", "forbidden",
-              "unauthori", "refus", "interdit", "verweigert", "denegado", "prohibido", "gone", "bad request", "gateway", "unavailable", "indisponible", "no disponible", "temporal", "temporair", "timed out",
-              "time-out", "timeout", "upstream", "too many", "traceback", "exception", "failed", "unable to", "could not", "cannot", "can't", "can’t", "couldn", "went wrong", "oops", "sorry", "whoops", "uh-oh",
-              "your browser", "your connection", "captcha", "human", "maintenance", "construction", "upkeep", "expir", "abgelaufen", "caducado", "does not exist", "lack perm", "lack the perm", "have perm", "have the perm", "overloaded", "offline",
-              "is down", "deprecated", "on line ", "reset"],
-    "scripts": ["javascript", " script", "skript", "unsupported browser", "your browser", "reload", "loading", "nothing appears", "switched off"],
-}
-
-_ALL = [(t, kind) for kind, listed in TRIGGERS.items() for t in listed]
-
 _NAME = r"[^\W\d_][\w .:-]{0,60}"
 _PLACEHOLDER = re.compile(
     r"\{\{[^{}\n]{0,80}\}\}|\{%[^{}\n]{1,120}%\}|[$#]\{[^{}\n]{1,80}\}|<%[^<>\n]{0,80}%>|<<\s*" + _NAME + r"\s*>>|\[\[\s*" + _NAME + r"\s*\]\]|@@\w{2,60}@@"
@@ -104,8 +89,58 @@ _LEAD = re.compile(r"^[\W_]*?(?=[\w\[{<$#@%|*(]|__)", re.S)
 _SENTENCES = re.compile(r"(?<=[.!?…])\s+")
 _SPACES = re.compile(r"\s+")
 
-
-def _filler(sentence: str) -> bool:
+_MARKS = set("[]{}<>%@|*#$_")
+
+
+def required(tree) -> set[str] | None:
+    """Substrings of the lower-cased text, one of which whatever a parsed rule matches holds; None if it has none.
+
+    Of a sequence the part whose shortest substring is longest counts (rare marks weigh like letters more), of
+    alternatives all. Substrings hold no white space, so they are found before runs of it are joined.
+    """
+    parts, run = [], ""
+    for op, value in [*tree, (None, None)]:
+        if op is _constants.LITERAL and not chr(value).isspace():
+            run += chr(value).lower()
+            continue
+        if run:
+            parts.append({run})
+        run, found = "", None
+        if op is _constants.SUBPATTERN:
+            found = required(value[-1])
+        elif op in (_constants.MAX_REPEAT, _constants.MIN_REPEAT) and value[0]:
+            found = required(value[2])
+        elif op is _constants.BRANCH:
+            sets = [required(x) for x in value[1]]
+            found = None if None in sets else set().union(*sets)
+        if found:
+            parts.append(found)
+    return max(parts, key=lambda x: min(len(t) + 3 * bool(_MARKS & set(t)) for t in x), default=None)
+
+
+def _triggers(rule: re.Pattern) -> set[str]:
+    found = required(_parser.parse(rule.pattern, rule.flags & re.I))
+    if not found:
+        raise ValueError(f"a rule has an alternative without a trigger: {rule.pattern[:60]}")
+    return found
+
+
+#: Substrings of the lower-cased text, one of which every sentence that a rule can take holds, read off the rules.
+TRIGGERS = {
+    "placeholder": _triggers(_PLACEHOLDER),
+    "filler": _triggers(_FILLER) | _triggers(_REPEATED),
+    "values": _triggers(_VALUES),
+    "error": _triggers(_ERROR),
+    "scripts": _triggers(_SCRIPTS),
+}
+#: Filler text holds two of these.
+_LONG = frozenset(w for w in LOREM if len(w) > 3)
+#: Mashed keys: three words of four are of ``MASHED`` or one repeated letter, so two of them stand side by side.
+_MASHED = r"(?:([^\W\d_])\%d*|" + "|".join(sorted(MASHED)) + r")"
+_PAIR = re.compile(r"[\W\d_]" + _MASHED % 1 + r"[\W\d_]+" + _MASHED % 2 + r"[\W\d_]")
+
+
+def _filler_words(sentence: str) -> bool:
     words = [w.lower() for w in _WORDS.findall(sentence)]
     if len(words) >= 4:
         latin = sum(w in LOREM for w in words)
@@ -113,7 +148,7 @@ def _filler(sentence: str) -> bool:
             return True
         if sum(w in MASHED or len(set(w)) == 1 for w in words) >= 0.75 * len(words) and len(set(words)) <= 0.8 * len(words):
             return True
-    return bool(_FILLER.match(sentence) or _REPEATED.match(sentence))
+    return False
 
 
 def _placeholders(sentence: str) -> bool:
@@ -127,15 +162,12 @@ def _placeholders(sentence: str) -> bool:
     return False
 
 
-def _kind(sentence: str, kinds: set[str], code: bool) -> str | None:
-    """The kind of residue a sentence is, of the ``kinds`` whose triggers it holds."""
-    if _ABOUT.search(sentence):
-        return None
+def _matched(sentence: str, kinds: set[str], code: bool) -> str | None:
     if "placeholder" in kinds and not code and _placeholders(sentence):
         return "placeholder"
     if "values" in kinds and _VALUES.search(sentence):
         return "values"
-    if "filler" in kinds and _filler(sentence):
+    if "words" in kinds and _filler_words(sentence) or "filler" in kinds and (_FILLER.match(sentence) or _REPEATED.match(sentence)):
         return "filler"
     if len(sentence) < 220:
         if "error" in kinds and _ERROR.match(sentence):
@@ -145,47 +177,55 @@ def _kind(sentence: str, kinds: set[str], code: bool) -> str | None:
     return None
 
 
+def _kind(sentence: str, kinds: set[str], code: bool) -> str | None:
+    """The kind of residue a sentence is, of the ``kinds`` whose triggers its passage holds."""
+    kind = _matched(sentence, kinds, code)
+    return None if kind and _ABOUT.search(sentence) else kind
+
+
 @functools.lru_cache(maxsize=1)
 def _automaton() -> ahocorasick.Automaton:
-    """All triggers in one pass over a text, built once a worker."""
+    """All triggers in one pass over a text, built once a worker; each gives its kinds, and itself if it is of ``_LONG``."""
     automaton = ahocorasick.Automaton()
-    for t in {t for t, _ in _ALL}:
-        automaton.add_word(t, t)
+    for t in set().union(*TRIGGERS.values(), _LONG):
+        automaton.add_word(t, (t if t in _LONG else None, *(kind for kind, listed in TRIGGERS.items() if t in listed)))
     automaton.make_automaton()
     return automaton
 
 
-def _held(low: str, triggers: list[tuple[str, str]]) -> list[tuple[str, str]]:
-    return [x for x in triggers if x[0] in low]
+def triggered(passage: str) -> set[str]:
+    """The kinds of residue that the passage's triggers allow, 'words' for filler text known by its words."""
+    low = passage.lower()
+    found = {x for _, x in _automaton().iter(low)}
+    kinds = {k for x in found for k in x[1:]}
+    if len([x for x in found if x[0]]) > 1 or _PAIR.search(f" {low} "):
+        kinds.add("words")
+    return kinds
 
 
-def residue_kind(passage: str, triggers: list[tuple[str, str]] = _ALL) -> str | None:
+def residue_kind(passage: str) -> str | None:
     """'placeholder', 'filler', 'error', 'scripts' or 'values' if one of the passage's sentences is residue."""
-    held = _held(passage.lower(), triggers)
-    if not held:
+    kinds = triggered(passage)
+    if not kinds:
         return None
-    code = bool(_CODE.search(passage)) and not _VALUES.search(passage)
+    code = "placeholder" in kinds and bool(_CODE.search(passage)) and not _VALUES.search(passage)
     flat = _SPACES.sub(" ", passage).strip()
     for sentence in [flat, *_SENTENCES.split(flat)] if len(flat) < 220 else _SENTENCES.split(flat):
-        kinds = {kind for _, kind in _held(sentence.lower(), held)}
-        if kinds:
-            lead = _LEAD.match(sentence)
-            kind = _kind(sentence[lead.end() :] if lead else sentence, kinds, code)
-            if kind:
-                return kind
+        lead = _LEAD.match(sentence)
+        kind = _kind(sentence[lead.end() :] if lead else sentence, kinds, code)
+        if kind:
+            return kind
     return None
 
 
 def first_residue(lines: list[str]) -> str | None:
     """The kind of the first residue among passages."""
-    there = {t for _, t in _automaton().iter("\n".join(lines).lower())}
-    held = [x for x in _ALL if x[0] in there]
     fenced = False
-    for line in lines if held else ():
+    for line in lines:
         if line.lstrip().startswith("```"):
             fenced = not fenced
         elif not fenced:
-            kind = residue_kind(line, held)
+            kind = residue_kind(line)
             if kind:
                 return kind
     return None

@@ -30,6 +30,46 @@ def test_residue_rules():
     assert residue.first_residue(["```", "{{ x }}", "```", "fine"]) is None
 
 
+def _samples(tree):
+    """Texts that a parsed rule matches: each alternative of each part once, the other parts at their first."""
+    from re import _constants as c
+
+    every = []
+    for op, v in tree:
+        if op is c.LITERAL:
+            every.append([chr(v)])
+        elif op is c.IN:
+            first = next((x for k, x in v if k is c.LITERAL), None)
+            every.append(["1" if (c.CATEGORY, c.CATEGORY_DIGIT) in v else "q" if (c.NEGATE, None) in v or first is None else chr(first)])
+        elif op is c.ANY:
+            every.append(["q"])
+        elif op is c.SUBPATTERN:
+            every.append(_samples(v[-1]))
+        elif op in (c.MAX_REPEAT, c.MIN_REPEAT):
+            inner = _samples(v[2])
+            every.append(([""] if not v[0] else []) + [x * max(v[0], 1) for x in inner])
+        elif op is c.BRANCH:
+            every.append([x for b in v[1] for x in _samples(b)])
+    out = ["".join(x[0] for x in every)]
+    return out + ["".join(w if i == k else x[0] for k, x in enumerate(every)) for i, own in enumerate(every) for w in own[1:]]
+
+
+def test_every_alternative_of_every_rule_has_a_trigger():
+    from re import _parser
+
+    rules = {"placeholder": [residue._PLACEHOLDER], "filler": [residue._FILLER, residue._REPEATED], "values": [residue._VALUES], "error": [residue._ERROR], "scripts": [residue._SCRIPTS]}
+    for kind, listed in rules.items():
+        for rule in listed:
+            samples = _samples(_parser.parse(rule.pattern))
+            assert len(samples) > 3 and not [t for t in samples if not any(x in t.lower() for x in residue.TRIGGERS[kind])], kind
+    lorem = sorted(w for w in residue.LOREM if len(w) > 3)
+    lost = [f"{a} {b} {a} {b}" for a, b in zip(lorem, lorem[1:])] + [" ".join([w] * 4) for w in sorted(residue.MASHED)] + ["zz qq zz qq", "x x x x"]
+    lost += ["Pellentesque habitant morbi tristique senectus et netus et malesuada fames ac turpis egestas.", "foo bar baz foo bar"]
+    assert [t for t in lost if residue.residue_kind(t) != "filler"] == []
+    cases = {"405 Method Not Allowed": "error", "Your session has ended.": "error", "Diese Seite existiert nicht.": "error", "Scripts must be enabled.": "scripts", "Scripting is required.": "scripts"}
+    assert {t: residue.residue_kind(t) for t in cases} == cases
+
+
 def test_residue_frames(spark):
     long = "word " * 50_000
     rows = [(1, "a", "t", 0, "r", "x", 0, "Fine.\n{{ x }} is due"), (1, "a", "t", 0, "r", "x", 0, "Fine.\n{{ x }} is due"), (2, None, None, None, None, None, None, None), (3, "", "", 0, "", "", 0, ""), (4, "a", "t", 0, "r", "x", 0, long), (None, "a", "t", 0, "r", "x", 0, "404 Not Found"), (5, "a", "t", 0, "r", "x", 0, long + "\n404 Not Found")]
