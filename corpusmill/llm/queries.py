@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.llm import boilerplate, encoding, mixing, near_duplicates, rank_fusion, residue, site_lines, splitting, subjects
+from corpusmill.plans.corpus_queries import newest_and_known
+from corpusmill.plans.pipeline import ingest
 from corpusmill.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +22,20 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return pages.unionByName(texts)
 
 
+def p1_kept(spark: SparkSession, folder: str) -> DataFrame:
+    """The records left for the ingest: pages with a body and extracted documents without residue."""
+    pages = residue.pages_without_residue(table(spark, folder, "crawl_results").where("body is not null")).select(F.lit("crawl").alias("kind"), F.col("fetch_id").alias("record_id"))
+    texts = residue.without_residue(table(spark, folder, "extracted_documents")).select(F.lit("extracted").alias("kind"), F.col("document_id").alias("record_id"))
+    return pages.unionByName(texts).distinct()
+
+
+def ingest_states(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents by state after all kept pages went through the pipeline, those with residue left out of it."""
+    newest, known = newest_and_known(spark, folder)
+    found = residue.residue_in_pages(newest).select(F.col("record_id").alias("fetch_id"))
+    return ingest(newest, known, excluded=newest.join(found, "fetch_id", "left_semi").select("url", "content_hash")).summary
+
+
 def _furniture(spark: SparkSession, folder: str) -> boilerplate.Furniture:
     return boilerplate.trained(boilerplate.sample_pages(table(spark, folder, "crawl_results")))
 
@@ -156,7 +172,7 @@ def p10_composition(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p2_found": p2_found, "p2_bodies": p2_bodies, "p3_found": p3_found, "p3_pieces": p3_pieces, "p4_found": p4_found, "p4_clean": p4_clean, "p6_found": p6_found, "p6_ranking": p6_ranking,
+    return {"p1_found": p1_found, "p1_kept": p1_kept, "ingest_states": ingest_states, "p2_found": p2_found, "p2_bodies": p2_bodies, "p3_found": p3_found, "p3_pieces": p3_pieces, "p4_found": p4_found, "p4_clean": p4_clean, "p6_found": p6_found, "p6_ranking": p6_ranking,
             "p7_found": p7_found, "p7_groups": p7_groups, "p8_ids": p8_ids, "p8_roundtrip": p8_roundtrip, "p9_report": p9_report, "p9_mix": p9_mix, "p10_found": p10_found, "p10_composition": p10_composition}
 
 

@@ -264,3 +264,9 @@ def without_residue(df: DataFrame, record: str = "document_id", text: str = "ful
     """``df`` without the records whose text holds residue."""
     found = residue_in_texts(df, record, text).select(F.col("record_id").alias("_residue")).distinct()
     return df.join(found, df[record] == F.col("_residue"), "left_anti")
+
+
+def pages_without_residue(df: DataFrame, record: str = "fetch_id", body: str = "body", content_type: str = "content_type") -> DataFrame:
+    """``df`` without the pages whose own blocks hold residue."""
+    found = residue_in_pages(df, record, body, content_type).select(F.col("record_id").alias("_residue")).distinct()
+    return df.join(found, df[record] == F.col("_residue"), "left_anti")

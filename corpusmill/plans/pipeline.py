@@ -25,12 +25,19 @@ class Ingested:
     summary: DataFrame
 
 
-def ingest(pages: DataFrame, embedded: DataFrame | None = None, encoder: Encoder = hashing_encoder, force: bool = False, settings: Settings = DEFAULTS, reader: PdfReader | None = None) -> Ingested:
-    """``pages``: url, content_hash, content_type, body of successful fetches; ``embedded``: url, embedded_hash.
+def ingest(pages: DataFrame, embedded: DataFrame | None = None, encoder: Encoder = hashing_encoder, force: bool = False, settings: Settings = DEFAULTS, reader: PdfReader | None = None, excluded: DataFrame | None = None) -> Ingested:
+    """``pages``: url, content_hash, content_type, body of successful fetches; ``embedded``: url, embedded_hash;
+    ``excluded``: url, content_hash of pages that the caller leaves out (such as those with residue), whatever else holds.
 
-    States: 'unchanged' (before anything costly), 'extract_skipped', 'quality_rejected', 'error', 'ok'.
+    States: 'excluded', 'unchanged' (before anything costly), 'extract_skipped', 'quality_rejected', 'error', 'ok'.
     """
     own = pages.where("url is not null and content_hash is not null and octet_length(body) > 0").dropDuplicates(["url", "content_hash"])
+    left_out = None
+    if excluded is not None:
+        marks = excluded.select("url", F.lower("content_hash").alias("_out")).distinct()
+        by = (own["url"] == marks["url"]) & (F.lower(own["content_hash"]) == marks["_out"])
+        left_out = own.join(marks, by, "left_semi").select("url", "content_hash")
+        own = own.join(marks, by, "left_anti")
     if embedded is not None and not force:
         same = embedded.select("url", F.lower("embedded_hash").alias("_hash"))
         joined = own.join(same, "url", "left").withColumn("_same", F.coalesce(F.lower("content_hash") == F.col("_hash"), F.lit(False)))
@@ -48,6 +55,8 @@ def ingest(pages: DataFrame, embedded: DataFrame | None = None, encoder: Encoder
     chunks = map_columns(rated.where("state = 'ok'").select("url", "blocks"), chunk, "url string, ordinal int, text string, heading_path string, char_start int, char_end int, url_anchor string, token_count int")
     hashes = own.select("url", "content_hash").dropDuplicates(["url"])
     documents = rated.select("url", "state", "title").unionByName(joined.where("_same").select("url", F.lit("unchanged").alias("state"), F.lit(None).cast("string").alias("title")).distinct()).join(hashes, "url")
+    if left_out is not None:
+        documents = documents.unionByName(left_out.withColumns({"state": F.lit("excluded"), "title": F.lit(None).cast("string")}))
     summary = documents.groupBy("state").agg(F.count("*").alias("n_documents"))
     return Ingested(documents, embed(chunks, encoder=encoder, batch=settings.encode_batch), summary)
 

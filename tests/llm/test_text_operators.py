@@ -82,6 +82,20 @@ def test_residue_frames(spark):
     assert {tuple(r) for r in residue.residue_in_pages(df).collect()} == {(2, "error"), (6, "placeholder")}
 
 
+def test_ingest_leaves_residue_out(spark, tmp_path):
+    import datetime as dt
+
+    entry = __import__("__spark_entry__")
+    good, bad = b"<main><p>" + b"word " * 120 + b"</p></main>", b"<main><p>404 Not Found</p><p>" + b"word " * 120 + b"</p></main>"
+    at = dt.datetime(2025, 1, 1)
+    crawls = [(1, "u", "success", "h1", "text/html", at, good), (2, "v", "success", "h2", None, at, bad)]
+    spark.createDataFrame(crawls, "fetch_id long, url string, status string, content_hash string, content_type string, fetched_at timestamp_ntz, body binary").write.parquet(str(tmp_path / "crawl_results.parquet"))
+    spark.createDataFrame([(7, "u", "Fine."), (8, "v", "404 Not Found")], "document_id long, url string, full_text string").write.parquet(str(tmp_path / "extracted_documents.parquet"))
+    spark.createDataFrame([], "run_id int, document_id long, content_hash string, skipped boolean, finished_at timestamp_ntz").write.parquet(str(tmp_path / "embed_results.parquet"))
+    assert {tuple(r) for r in entry.queries()["ingest_states"](spark, str(tmp_path)).collect()} == {("ok", 1), ("excluded", 1)}
+    assert {tuple(r) for r in entry.queries()["p1_kept"](spark, str(tmp_path)).collect()} == {("crawl", 1), ("extracted", 7)}
+
+
 def test_splitting_brute_force(spark):
     rng = random.Random(1)
     texts = ["x" * 7000, " " * 5000, "a b " * 2000, "Short.", "", "é" * 2400, "é" * 2401, "\n\n".join("Word word, word. " * rng.randrange(1, 40) for _ in range(30)), " " * 3000 + "y" * 3000]
