@@ -37,6 +37,15 @@ def small_side(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
     return F.broadcast(kept) if kept.limit(max_rows + 1).count() <= max_rows else kept
 
 
+def spread(df: DataFrame, source: DataFrame, *by: str, task_bytes: int = 8 << 20) -> DataFrame:
+    """``df`` in partitions for work that costs far more time than bytes: as many as ``source``'s size by the optimizer's
+    estimate asks for, at least two a core, so that tasks stay short and grow in number, not in length."""
+    spark = df.sparkSession
+    size = int(str(source._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    parts = max(2 * spark.sparkContext.defaultParallelism, -(-size // task_bytes) if size < 1 << 56 else 0)  # beyond that it is unknown
+    return df.repartition(parts, *by)
+
+
 def ship(spark: SparkSession) -> None:
     """Puts this package on the executors' Python path, once per application."""
     sc = spark.sparkContext
