@@ -1,74 +1,63 @@
 """Page boilerplate mixed with main content (problem 2).
 
-Gradient-boosted trees score the text nodes of a page's tree from their words and shape, their place, depth and
-siblings and the density of the subtree around them; hierarchical decoding then labels the whole tree at once: a
-subtree is all furniture, all content, or mixed at a price, so ancestors and descendants never contradict. Extracted
-text is read as a tree too: its blocks are separated by blank lines, their lines are the leaves.
+Gradient-boosted trees score the text nodes of a page's tree (DOM). Features: the attribute tokens of the elements
+above (their learnt log-odds and hashed presence), depth, density of text and links in the subtrees around the node,
+its siblings, and its words and shape. Hierarchical decoding then labels the whole tree at once: a subtree is all
+furniture, all content, or mixed at a price, so ancestors and descendants never contradict.
 
-The model is trained in the run on a bounded sample (``SAMPLE_PAGES`` pages, those with the least hash of the id, and
-the seed lines below). Its labels come from the pages whose elements say what they are (nav, footer, aside, main,
-article and the like); those attribute tokens are evidence when pages are decoded, and no feature of the trees.
-Everything but the training sees all rows and whole texts.
+Extracted text is read as a tree too: blocks between blank lines, their lines the leaves. A document is joined to its
+fetched page (same url; the same content hash before the newest), and each line that stands in the page takes over the
+features of its node; lines without a node, and documents without a page, are judged by words, shape and place.
+
+Training: a bounded sample (``SAMPLE_DOCUMENTS`` documents with their pages, least hash of the id). Labels of nodes come
+from elements that say what they are (nav, footer, aside, main, article and the like) and are carried over to the lines
+of the documents; a line that isn't prose and that its page, byte for byte the one extracted, doesn't hold was added
+around the content. In half of the sample all features of the page's tree are hidden, so that the trees learn to judge
+without them. Nothing else is given: no wording stands in this file. Everything but the training sees all rows.
+
+Lines that are residue of problem 1 are no furniture, whatever they stand in.
 
 Defined cases: null, empty and blank texts have no furniture and no body; pages without any text give an empty body;
-repeated rows are found once; without a single page to learn from, the seed lines alone train the model.
+nesting may be of any depth; repeated rows are found once; without anything to learn from, nothing is furniture.
 """
 
 from __future__ import annotations
 
 import html
+import json
 import math
 import random
 import re
+import zlib
 from collections import Counter
+from collections.abc import Iterable
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.functions.arrow import map_columns
 from corpusmill.functions.html import decoded
 from corpusmill.llm.boosting import Boosted
+from corpusmill.llm.residue import residue_kind
+from corpusmill.session import small_side, spread
 
-SAMPLE_PAGES = 1_500
+SAMPLE_DOCUMENTS = 1_000
 SAMPLE_NODES = 60_000
 MIXED_PRICE = 3.0
 CLIP = 4.0
 BATCH = 256
-SEED_WEIGHT = 25
-
-#: Lines of kinds that extractors keep but page elements rarely mark, as examples. (Fixed values.)
-FURNITURE_LINES = """Posted by the editor on 2 May 2024|Posted by web staff on 2024-05-02|By the news team — 4 min read|By library staff — 12 min read|Published 2024-05-02 at 10:15|Published 12.07.2024 at 9:15|Last updated: 2024-05-02
-Last updated: 12.10.2025|Last modified 5 June 2023|Updated on 2023-11-20|Version 12 of 2024-05-02|Version 310 of 16.12.2025|Page owner: web team. Reviewed 2024-05-02|Page owner: library web team. Reviewed 11.01.2025|Filed under news, 2024-05-02
-Filed under research, 26.11.2023|Written by the communications office|Reviewed by the web editors on 3 March 2024|Take our two-minute survey about this section|Take a short survey about this site|Tell us what you think of this page|Was this page helpful? Yes No
-Rate this article (1 to 5)|827 people found this useful|12 people liked this|Flood warning: the lower car park is shut today|Weather alert: the north gate is closed today|New: try the beta of our course finder|New: download our app|Now hiring student assistants for the front counter
-We are hiring: apply today|Vote for us in this season's web awards|Like it? Pass it on!|Tell a friend about this page|Share this page: Mail | Post | Copy link|Share on social media|Print this page Save as PDF|Subscribe to the newsletter and never miss a date|Follow us for updates
-Follow library for updates|Need help? Chat with us now|Need help? Chat with library now|Book an appointment with library|Call extension 834|Contact us|Mailing address: 237 Quarry Road, Northmere|Upcoming in science|Download the library app|You may also like|Related pages|Popular this week|On this page
-Home > Library > Student cards|Home › Registrar › Late penalties|Home :: Careers :: Letters of permission|Home / Law / Orientation week|Home » News » Events|Advising appointments: we set 10 cookies here, change your mind any time|The placements page uses trackers for visit counts; say yes or no
-Consent for advising – Course registration – stored until 2026-09-21|We use cookies. Accept all|Wir verwenden Cookies. Einstellungen speichern|Nous utilisons des témoins. Tout accepter|Usamos cookies. Aceptar todo|Report a barrier or an error on this page: form 929|© 2024 All rights reserved.
-Reproduction without written leave of the office is not allowed.|Information may change without notice; the printed calendar prevails.|The content of this page is provided for information and does not form a contract.|Terms of use · Privacy · Accessibility statement|Who handles student cards|How late penalties works
-Posted by the library desk on 2024-05-02|Posted by the arts desk on 02.05.2024|Posted by the alumni desk on 3 May 2024|By arts staff — 7 min read|By law staff — 172 min read|Need help? Chat with arts now|Book an appointment with arts|Follow arts for updates|Download the arts app|Upcoming in arts
-Subscribe to the arts newsletter and never miss a date|Reproduction without written leave of the arts office is not allowed.|While the arts office takes care to keep these pages correct, it gives no warranty as to their completeness and accepts no liability for any loss that follows from their use.
-Page owner: arts web team. Reviewed 02.05.2024|Filed under arts, 2024-05-02|We keep a few small files on your device so that the search box, your language and the text size stay as you left them. You can refuse all but the necessary ones at any time.|By browsing further you consent to the storage of trackers on your device.
-Got it! Hide this message about tracking files.|This site stores small files to remember your choices. Accept or manage them below.|Your privacy matters: accept all, reject all or choose by purpose.|We and our partners use cookies to measure visits; by continuing you agree.|Cookie settings: necessary, statistics, marketing. Save my choices
-The university operates on shared land and waters; read our statement.|Sign in|Skip to main content|Back to top|Quick links|A to Z|Current students|Future students|Campus life|Apply now|Visit — Events — Search — Directory — Sign in|Home / Apply now / Give / Directory / Jobs|Library · Events · Directory · Support
-Rules for exam deferrals|About stack traces|Dates for robot arms|Getting started: noun genders|garbage collection and your programme|hearing loss explained|Course registration|Bond yields"""
-CONTENT_LINES = """Call extension 2044 only when exam deferrals or timetable changes cannot wait until 11 March 2027.|Copyright in theses rests with the author; the office in the north hall explains licences every 8 weeks.|Menus, sidebars and footers of the site will be redrawn by the team before 20 February 2024.
-Cookies set by the site are covered in lecture 9, where we read consent banners and judge their wording with the class.|Late forms are returned unread unless a physician has signed them.|Members of the public may attend the open part of each council sitting.|A hold on an account is lifted once the balance has been cleared in full.
-Appeals must reach the senate secretary within ten working days of the decision.|The schedule printed on the notice board always takes precedence over this page.|Remember to bring photo identification to every appointment with this office.|The survey of 2024 was posted to 400 members and its results are published every year in the library.
-The newsletter of the society was founded in 1912 and last updated its title in 1950.|In this lecture we share ideas on privacy law and how consent is given on the web.|On 3 May the page was printed in 20 copies for readers who had asked for it.
-* fluid pumps: Alder Hall, 3 October 2027|– robot arms: the Quarry Annex, 2023-02-26|- weld joints: Ivy Terrace, 1 November|waitlists: the Glasshouse, 1 July 2024|timetable changes	436	12 August 2023|robot arms	12	2026-12-01|milling machines: control valves only!|weld joints (sensor arrays)|fee deadlines / appeal forms.
-Please enable JavaScript to view this page.|Internal Server Error. Reference 10-70.|Service temporarily unavailable. The library site is down for upkeep, please retry after 12:00.|It looks like JavaScript is turned off. Turn it on and reload the library site.|410 Page not found. The address you asked for does not exist on this server.
-Sorry, we could not find that page. Try the search or go back to the library start page.|Access denied. You lack permission to view this resource (incident 12).|Sample text for the room area. Replace it with your own copy before publishing.|Your heading here – phone|TODO(term): copy to come from the team.|Fee: undefined. Due: null. Office: #N/A.
-[PHONE] – [DEPARTMENT NAME]|Unsupported browser. The viewer cannot start without client-side scripting.|This form needs scripts. Your browser has them switched off.|Checking your browser before you continue to the site. Ray 2c35d208|503 Upstream timed out — edge node 48|Your session has timed out. Sign in again to continue.
-Cette page nécessite JavaScript. Activez-le puis rechargez.|Die Seite wurde nicht gefunden. Fehlercode 426.|No se encontró la página solicitada (404).|Bitte aktivieren Sie JavaScript, um diese Seite zu sehen.|Ask the {{ room }} for details|test asdf asdf test xxxx qwer|Click here to edit this block – room|Blindtext Nummer 19: dieser Absatz füllt nur die Seite.
-bursary forms → meal plans 20|student cards / waitlists 6|peat bogs: air quality only 19|CP104/CP105/CP106/CP107/CP108/CP109/CP110/CP111/CP112|Wartelisten → Gebührenfristen 40|la matrícula / las becas 60|les bourses (les résidences) 12"""
+HASHED = 16
+MISSING = -1000.0
 
 _WORD = re.compile(r"[^\W\d_]+|\d+|[©›»|·/:>→—–?!•]")
 _BULLET = re.compile(r"^\s*[•*–-]\s")
 _DATE = re.compile(r"\b\d{4}-\d\d-\d\d\b|\b\d\d?[./]\d\d?[./]\d{2,4}\b|\b\d{1,2} [A-Za-zäéûñ]{3,10} \d{4}\b")
 _DIGIT, _CAPITAL, _SEPARATOR = re.compile(r"\d"), re.compile(r"[A-ZÀ-ÖØ-Þ]"), re.compile(r"[|·›»—→]")
-FEATURES = 36
+_PLAIN = re.compile(r"[^\W_]+")
+TEXT_FEATURES = 36
+DOM_FEATURES = 13 + HASHED
+RESIDUE = 24  # the column of text features that says that a text is residue of problem 1
 
 
 def _tokens(text: str) -> list[str]:
@@ -80,19 +69,42 @@ def _grams(tokens: list[str]) -> list[str]:
     return [f"{a} {b}" for a, b in zip(edge, edge[1:])]
 
 
-class Wordings:
-    """Log-odds of words and word pairs for furniture, from labelled nodes."""
+def _key(text: str) -> str:
+    return " ".join(_PLAIN.findall(text.lower()))
+
+
+def _odds(counts: dict, total: tuple[float, float], least: float) -> dict[str, float]:
+    """Log-odds for furniture of what was counted by label."""
+    return {x: math.log((c[1] + 0.5) / total[1]) - math.log((c[0] + 0.5) / total[0]) for x, c in counts.items() if sum(c) >= least}
+
 
-    def __init__(self, texts: list[str], labels: list[int], weights: list[int]) -> None:
-        counts = ({}, {})
-        for text, label, weight in zip(texts, labels, weights):
-            tokens = _tokens(text)
-            for table, items in zip(counts, (set(tokens), set(_grams(tokens)))):
+class Wordings:
+    """Log-odds of words and word pairs for furniture, from labelled texts; a wording counts at most 20 times a part."""
+
+    def __init__(self, labelled: Iterable[tuple[str, int]] = (), parts: Iterable[Wordings] = ()) -> None:
+        """Counts ``labelled`` texts, or puts together what ``parts`` counted."""
+        self.counts: tuple[dict, dict] = ({}, {})
+        self.total, seen = [1.0, 1.0], Counter()
+        for text, label in labelled:
+            key = (text, label)
+            seen[key] += 1
+            tokens = _tokens(text) if seen[key] == 1 else []
+            wording = (" ".join(tokens), label)
+            seen[wording] += 1
+            if not tokens or seen[wording] > 20:
+                continue
+            self.total[label] += 1
+            for table, items in zip(self.counts, (set(tokens), set(_grams(tokens)))):
                 for x in items:
-                    table.setdefault(x, [0.0, 0.0])[label] += weight
-        total = [1 + sum(w for y, w in zip(labels, weights) if y == k) for k in (0, 1)]
-        odds = lambda c: math.log((c[1] + 0.5) / total[1]) - math.log((c[0] + 0.5) / total[0])
-        self.words, self.pairs = ({x: odds(c) for x, c in table.items() if sum(c) >= 3} for table in counts)
+                    table.setdefault(x, [0, 0])[label] += 1
+        for part in parts:
+            self.total = [a + b for a, b in zip(self.total, part.total)]
+            for table, counted in zip(self.counts, part.counts):
+                for x, c in counted.items():
+                    known = table.setdefault(x, [0, 0])
+                    known[0] += c[0]
+                    known[1] += c[1]
+        self.words, self.pairs = (_odds(c, (self.total[0], self.total[1]), 3) for c in self.counts)
 
     def features(self, text: str) -> list[float]:
         tokens = _tokens(text)
@@ -110,11 +122,11 @@ def _shape(text: str) -> list[float]:
     size, capital = len(flat), len(_CAPITAL.findall(flat))
     return [
         size, len(words), len(_DIGIT.findall(flat)) / size, capital / size, size / len(words), flat[-1] in ".!?…", flat[0].isupper(), bool(_BULLET.match(text)),
-        size < 200 and bool(_DATE.search(flat)), len(_SEPARATOR.findall(flat)), flat.count("\t"), "," in flat,
+        size < 200 and bool(_DATE.search(flat)), len(_SEPARATOR.findall(flat)), flat.count("\t"), "," in flat, residue_kind(text) is not None,
     ]
 
 
-def node_features(groups: list[list[str]], depths: list[int], wordings: Wordings) -> np.ndarray:
+def text_features(groups: list[list[str]], wordings: Wordings) -> np.ndarray:
     """One row for each text of each group of siblings: words, shape, place and surroundings."""
     rows: list[list[float]] = []
     own = [[(wordings.features(t), _shape(t)) for t in g] for g in groups]
@@ -124,209 +136,346 @@ def node_features(groups: list[list[str]], depths: list[int], wordings: Wordings
         n, sign = len(g), signs[k]
         sizes = [s[0] for _, s in g]
         total, top, low, around = sum(sign), max(sign), min(sign), [sum(sizes) / n, max(sizes), sum(x < 60 for x in sizes) / n]
-        outside = [means[k - 1] if k else 0.0, means[k + 1] if k + 1 < len(own) else 0.0, k / len(own), depths[k]]
+        outside = [means[k - 1] if k else 0.0, means[k + 1] if k + 1 < len(own) else 0.0, k / len(own)]
         for i, (w, s) in enumerate(g):
             rows.append([
                 *w, n, i / n, *s, *around, (total - sign[i]) / max(1, n - 1), sign[i - 1] if i else 0.0, sign[i + 1] if i + 1 < n else 0.0, top, low, *outside,
             ])
-    return np.array(rows, float).reshape(-1, FEATURES)
-
+    return np.array(rows, float).reshape(-1, TEXT_FEATURES)
 
-# A node of a tree is (tokens of its tag and attributes, children); a leaf is its text.
 
-_MARKUP = re.compile(r"<!--.*?-->|<(script|style|noscript|template|svg|textarea)\b.*?</\1\s*>|<(/?)([a-zA-Z][\w-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<![^>]*>", re.S)
-_ATTRIBUTE = re.compile(r"(?:class|id|role)\s*=\s*[\"']?([^\"'>]*)")
+_MARKUP = re.compile(r"<!--.*?-->|<(script|style|noscript|template|svg|textarea|title)\b.*?</\1\s*>|<(/?)([a-zA-Z][\w-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<![^>]*>", re.S | re.I)
+_ATTRIBUTE = re.compile(r"(?:class|id|role)\s*=\s*[\"']?([^\"'>]*)", re.I)
 _INLINE = frozenset("a abbr b bdi cite code em i label small span strong sub sup time u mark font q s".split())
 _VOID = frozenset("br hr img input meta link source wbr area base col embed".split())
+#: Element names, roles and usual names of classes that say what an element holds: where the labels come from.
 _FURNITURE_TOKENS = frozenset("nav footer aside dialog navigation contentinfo complementary banner menu bottom consent cookie cookies notice rail sidebar side breadcrumb breadcrumbs share related".split())
 _CONTENT_TOKENS = frozenset("main article content".split())
-_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 title".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
-def page_tree(page: str) -> tuple:
-    """The tree of a page's visible text."""
-    root: tuple = (("body",), [])
-    stack, place, text = [("", root)], 0, []
+def _told(tokens: tuple[str, ...]) -> int:
+    """1 for furniture, 0 for content, -1 unknown, by the last telling token of an element."""
+    for t in reversed(tokens):
+        if t in _FURNITURE_TOKENS:
+            return 1
+        if t in _CONTENT_TOKENS:
+            return 0
+    return -1
 
-    def flush() -> None:
-        own = html.unescape("".join(text)).strip()
-        text.clear()
-        if own:
-            stack[-1][1][1].append(own)
 
-    for m in _MARKUP.finditer(page):
-        text.append(page[place : m.start()])
-        place = m.end()
-        name = (m[3] or "").lower()
-        if not name or name in _INLINE:
-            continue
+class Page:
+    """A page's tree in document order: ``parents`` and ``tokens`` of its elements (0 is the root), and its texts with
+    their elements, their share of links and their groups of siblings. Parents come before children everywhere, so
+    whatever goes up or down the tree is one loop."""
+
+    def __init__(self, source: str) -> None:
+        self.parents, self.tokens, self.depth, self.told, self.heading = [-1], [("body",)], [0], [-1], [False]
+        self.texts: list[str] = []
+        self.at: list[int] = []
+        self.links: list[float] = []
+        stack, place, text, linked, inside = [("", 0)], 0, [], 0, False
+        opened: Counter = Counter()
+
+        def flush() -> None:
+            nonlocal linked
+            raw = "".join(text)
+            own = html.unescape(raw).strip()
+            text.clear()
+            if own:
+                self.texts.append(own)
+                self.at.append(stack[-1][1])
+                self.links.append(min(1.0, linked / len(raw)))
+            linked = 0
+
+        for m in _MARKUP.finditer(source):
+            piece = source[place : m.start()]
+            text.append(piece)
+            linked += len(piece) if inside else 0
+            place = m.end()
+            name = (m[3] or "").lower()
+            if name == "a":
+                inside = not m[2]
+            if not name or name in _INLINE:
+                continue
+            flush()
+            if m[2]:
+                if opened[name]:
+                    while True:
+                        closed = stack.pop()[0]
+                        opened[closed] -= 1
+                        if closed == name:
+                            break
+            elif name not in _VOID and not m[4].endswith("/"):
+                up = stack[-1][1]
+                tokens = (name, *re.findall(r"[a-z]+", " ".join(_ATTRIBUTE.findall(m[4])).lower()))
+                told = _told(tokens)
+                self.parents.append(up)
+                self.tokens.append(tokens)
+                self.depth.append(self.depth[up] + 1)
+                self.told.append(told if told >= 0 else self.told[up])
+                self.heading.append(self.heading[up] or name in _HEADINGS)
+                stack.append((name, len(self.parents) - 1))
+                opened[name] += 1
+        text.append(source[place:])
         flush()
-        if m[2]:
-            if any(name == n for n, _ in stack[1:]):
-                while stack.pop()[0] != name:
-                    pass
-        elif name not in _VOID and not m[4].endswith("/"):
-            found = _ATTRIBUTE.findall(m[4])
-            tokens = (name, *re.findall(r"[a-z]+", " ".join(found).lower()))
-            node: tuple = (tokens, [])
-            stack[-1][1][1].append(node)
-            stack.append((name, node))
-    text.append(page[place:])
-    flush()
-    return root
-
-
-def _leaves(node: tuple, depth: int = 0, above: tuple = (), out: list | None = None) -> list:
-    """[(texts, depth, tokens above, where each text stands)] of the groups of sibling texts; blocks of one text join
-    their parent's group, so that paragraphs and list items are siblings."""
-    out = [] if out is None else out
-    group: list[tuple[str, tuple, tuple, int]] = []
-    here = above + node[0]
-    for i, child in enumerate(node[1]):
-        if isinstance(child, str):
-            group.append((child, here, node, i))
-        elif len(child[1]) == 1 and isinstance(child[1][0], str):
-            group.append((child[1][0], here + child[0], child, 0))
+        held = [0] * len(self.parents)
+        for p in self.parents[1:] + self.at:
+            held[p] += 1
+        home = [self.parents[v] if v and held[v] == 1 else v for v in self.at]  # an element of one text joins its siblings
+        order: dict[int, list[int]] = {}
+        for i, v in enumerate(home):
+            order.setdefault(v, []).append(i)
+        self.home, self.groups = home, list(order.values())
+
+    def labels(self) -> list[int]:
+        """Label of each text by what its elements say, -1 if they say nothing; headings name either."""
+        return [-1 if self.heading[v] else self.told[v] for v in self.at]
+
+    def path(self, i: int) -> set[str]:
+        """All attribute tokens above text ``i``."""
+        found, v = set(), self.at[i]
+        while v >= 0:
+            found.update(self.tokens[v])
+            v = self.parents[v]
+        return found
+
+    def features(self, odds: dict[str, float]) -> np.ndarray:
+        """DOM features, a row a text: attribute tokens, depth, subtree density of text and links."""
+        n = len(self.parents)
+        size, link, tags, kids = [0.0] * n, [0.0] * n, [1.0] * n, [0] * n
+        for v, t, share in zip(self.at, self.texts, self.links):
+            size[v] += len(t)
+            link[v] += len(t) * share
+        for v in range(n - 1, 0, -1):
+            p = self.parents[v]
+            size[p] += size[v]
+            link[p] += link[v]
+            tags[p] += tags[v]
+            kids[p] += 1
+        own, total, top, low, bits = [0.0] * n, [0.0] * n, [0.0] * n, [0.0] * n, [0] * n
+        for v in range(n):
+            p = self.parents[v]
+            values = [odds[t] for t in self.tokens[v] if t in odds]
+            mask = 0
+            for t in self.tokens[v]:
+                mask |= 1 << zlib.crc32(t.encode()) % HASHED
+            strongest = max(values, key=abs, default=0.0)
+            if p >= 0:
+                own[v] = strongest if abs(strongest) > 1 else own[p]  # the innermost that tells
+                total[v], top[v], low[v], bits[v] = total[p] + sum(values), max(top[p], *values, -99), min(low[p], *values, 99), bits[p] | mask
+            else:
+                own[v], total[v], top[v], low[v], bits[v] = strongest, sum(values), max(values, default=0.0), min(values, default=0.0), mask
+        rows = []
+        for v, u, share in zip(self.at, self.home, self.links):
+            w = max(0, self.parents[u])
+            rows.append([
+                own[v], total[v], top[v], low[v], self.depth[u], share, math.log1p(size[u]), size[u] / tags[u], link[u] / (size[u] or 1), kids[u],
+                math.log1p(size[w]), size[w] / tags[w], link[w] / (size[w] or 1), *((bits[v] >> k) & 1 for k in range(HASHED)),
+            ])
+        return np.array(rows, float).reshape(-1, DOM_FEATURES)
+
+
+def decode(parents: list[int], at: list[int], logits: list[float], price: float = MIXED_PRICE) -> list[bool]:
+    """Labels of the leaves of a tree: a subtree is all furniture, all content, or mixed at a price (free at the root and
+    where there is nothing to choose between). ``parents``: of the inner nodes, each before its children; ``at``: the
+    node of each leaf."""
+    n = len(parents)
+    total, parts, count = [0.0] * n, [0.0] * n, [0] * n
+    for v, s in zip(at, logits):
+        total[v] += s
+        parts[v] += abs(s)
+        count[v] += 1
+    for v in range(n - 1, 0, -1):
+        p = parents[v]
+        total[p] += total[v]
+        parts[p] += max(abs(total[v]), parts[v] - (price if count[v] > 1 else 0.0))
+        count[p] += 1
+    label: list[bool | None] = [None] * n
+    for v in range(n):
+        above = label[parents[v]] if v else None
+        mixed = parts[v] - (price if v and count[v] > 1 else 0.0) > abs(total[v])
+        label[v] = above if above is not None else (None if mixed else total[v] > 0)
+    return [s > 0 if label[v] is None else bool(label[v]) for v, s in zip(at, logits)]
+
+
+class Text:
+    """An extracted text as a tree: root, blocks between blank lines, lines."""
+
+    def __init__(self, text: str | None) -> None:
+        self.split, self.groups = (text or "").split("\n"), []
+        gap = True
+        for i, line in enumerate(self.split):
+            blank = not line or line.isspace()
+            if not blank:
+                if gap:
+                    self.groups.append([])
+                self.groups[-1].append(i)
+            gap = blank
+        self.numbers = [i for g in self.groups for i in g]
+
+    def texts(self) -> list[list[str]]:
+        return [[self.split[i] for i in g] for g in self.groups]
+
+    def nodes(self, page: Page | None) -> list[list[int]]:
+        """For each line the texts of the page that say the same."""
+        known: dict[str, list[int]] = {}
+        if page is not None:
+            for i, t in enumerate(page.texts):
+                known.setdefault(_key(t), []).append(i)
+        keys = [_key(self.split[i]) for i in self.numbers]
+        return [known.get(k, []) if k else [] for k in keys]
+
+    def carried(self, page: Page, rows: np.ndarray) -> np.ndarray:
+        """DOM features of the lines: those of their node, missing where there is none or where nodes differ."""
+        out = np.full((len(self.numbers), DOM_FEATURES), MISSING)
+        for k, found in enumerate(self.nodes(page)):
+            if found and len({page.told[page.at[i]] for i in found}) == 1:
+                out[k] = rows[found[0]]
+        return out
+
+
+def _prose(line: str) -> bool:
+    return line.rstrip()[-1:] in ".!?…" and len(line.split()) >= 8
+
+
+def line_labels(text: Text, page: Page, same: bool) -> list[int]:
+    """Labels carried over from the page's nodes; ``same``: the text was extracted from just these bytes."""
+    told, out = page.labels(), []
+    for i, found in zip(text.numbers, text.nodes(page)):
+        labels = {told[k] for k in found}
+        if residue_kind(text.split[i]):
+            out.append(0)
+        elif found:
+            out.append(labels.pop() if len(labels) == 1 else -1)
         else:
-            _leaves(child, depth + 1, here, out)
-    if group:
-        out.append((group, depth))
+            out.append(1 if same and not _prose(text.split[i]) else -1)
     return out
 
 
-def _evidence(tokens: tuple) -> int:
-    """1 for furniture, 0 for content, -1 unknown, by the innermost telling token."""
-    for t in reversed(tokens):
-        if t in _FURNITURE_TOKENS:
-            return 1
-        if t in _CONTENT_TOKENS:
-            return 0
-    return -1
+class Sampled:
+    """A labelled tree of the sample: a page or a document's text."""
 
+    def __init__(self, groups: list[list[str]], labels: list[int], page: Page | None, text: Text | None, order: list[int]) -> None:
+        self.groups, self.labels, self.page, self.text, self.order = groups, labels, page, text, order
 
-def decode(node: object, logit: dict, price: float = MIXED_PRICE, free: bool = True) -> dict:
-    """Labels (by the leaves' keys) of the tree ``node``: lists are inner nodes, other values keys of ``logit``."""
-    labels: dict = {}
+    def labelled(self) -> list[tuple[str, int]]:
+        flat = [t for g in self.groups for t in g]
+        return [(t, y) for t, y in zip(flat, self.labels) if y >= 0]
 
-    def best(x: object) -> tuple[float, float]:
-        """(sum of the logits, best score of the subtree)."""
-        if not isinstance(x, list):
-            return logit[x], abs(logit[x])
-        parts = [best(c) for c in x]
-        total = sum(p[0] for p in parts)
-        return total, max(abs(total), sum(p[1] for p in parts) - price)
+    def dom(self, odds: dict[str, float]) -> np.ndarray:
+        if self.page is None:
+            return np.full((len(self.labels), DOM_FEATURES), MISSING)
+        rows = self.page.features(odds)
+        return self.text.carried(self.page, rows) if self.text is not None else rows[self.order]
 
-    def put(x: object, label: bool | None) -> None:
-        if not isinstance(x, list):
-            labels[x] = label if label is not None else logit[x] > 0
-            return
-        if label is None:
-            parts = [best(c) for c in x]
-            total = sum(p[0] for p in parts)
-            mixed = sum(p[1] for p in parts) - (0 if x is node and free else price)
-            label = None if mixed > abs(total) else total > 0
-        for c in x:
-            put(c, label)
-
-    put(node, None)
-    return labels
-
-
-def _varied(line: str, rng: random.Random) -> str:
-    """A line as extractors leave it: other numbers, case, spacing or ends."""
-    line = re.sub(r"\d", lambda m: str(rng.randrange(10)), line)
-    line = rng.choice((line, line, line, line, line.upper(), line.lower(), re.sub(" ", "  ", line)))
-    return rng.choice(("", "", "", "", "• ", "   ")) + line + rng.choice(("", "", "", "", " !", " ...", " »"))
-
-
-def _strewn(pages: list, seeds: list[tuple[str, int]], seed: int = 7) -> list[tuple[list[list[str]], list[int]]]:
-    """The sample's pages as extracted text has them: furniture of the page and seed lines strewn between and into the
-    blocks of content, so that the surroundings of a line alone don't decide."""
-    rng, out = random.Random(seed), []
-    for told, _ in pages:
-        parts = [[(t, y) for t, y in g if y == k] for k in (0, 1) for g in told]
-        content, furniture = [x for g in parts for x in g if x[1] == 0], [x for g in parts for x in g if x[1] == 1]
-        if not content:
+
+#: (text or None, body or None, content type, whether the text was extracted from these bytes)
+Row = tuple[str | None, bytes | None, str | None, bool]
+
+
+def labelled_trees(sample: list[Row], nodes: int = SAMPLE_NODES) -> list[Sampled]:
+    """The sample's pages and texts with their labels, up to about ``nodes`` labelled nodes."""
+    trees, count = [], 0
+    for text, body, kind, same in sample:
+        if body is None or count >= nodes:
             continue
-        blocks: list[list[tuple[str, int]]] = []
-        while content:
-            n = rng.choice((1, 1, 1, 2, 4))
-            blocks.append(content[:n])
-            content = content[n:]
-        extra = [rng.choice(seeds) for _ in range(rng.randrange(2, 7))] + rng.sample(furniture, min(len(furniture), 3))
-        for t, y in extra:
-            k = rng.randrange(len(blocks) + 1)
-            if rng.random() < 0.6 or k == len(blocks):
-                blocks.insert(k, [(_varied(t, rng), y)])
-            else:
-                blocks[k] = [*blocks[k], (_varied(t, rng), y)]
-        if len(furniture) > 5:
-            blocks.insert(rng.choice((0, len(blocks))), [(_varied(t, rng), y) for t, y in furniture[: rng.randrange(3, 12)]])
-        out.append(([[t for t, _ in g] for g in blocks], [y for g in blocks for _, y in g]))
-    return out
+        page = Page(decoded(body, kind))
+        told, order = page.labels(), [i for g in page.groups for i in g]
+        own = [Sampled([[page.texts[i] for i in g] for g in page.groups], [told[i] for i in order], page, None, order)]
+        if text and not text.isspace():
+            t = Text(text)
+            own.append(Sampled(t.texts(), line_labels(t, page, same), page, t, []))
+        trees += own
+        count += sum(y >= 0 for s in own for y in s.labels)
+    return trees
 
 
 class Furniture:
     """The trained model."""
 
-    def __init__(self, pages: list[tuple[list[list[tuple[str, int]]], list[int]]], seed_weight: int = SEED_WEIGHT) -> None:
-        """``pages``: (groups of (text, label or -1), depths) of the sample."""
-        seeds = [(t, y) for y, block in ((1, FURNITURE_LINES), (0, CONTENT_LINES)) for line in block.split("\n") for t in line.split("|") if t.strip()]
-        known = [(t, y) for groups, _ in pages for g in groups for t, y in g if y >= 0]
-        seen: Counter = Counter()
-        own = []
-        for t, y in known:  # a wording that comes very often tells nothing new
-            seen[" ".join(_tokens(t)), y] += 1
-            if seen[" ".join(_tokens(t)), y] <= 20:
-                own.append((t, y))
-        self.wordings = Wordings([t for t, _ in own + seeds], [y for _, y in own + seeds], [1] * len(own) + [seed_weight] * len(seeds))
-        x, y, weight = [], [], []
-        for groups, depths in pages:
-            rows = node_features([[t for t, _ in g] for g in groups], depths, self.wordings)
-            labels = [label for g in groups for _, label in g]
-            keep = [i for i, label in enumerate(labels) if label >= 0]
-            x.append(rows[keep])
-            y += [labels[i] for i in keep]
-            weight += [1.0] * len(keep)
-        for groups, labels in _strewn(pages, seeds):
-            x.append(node_features(groups, [1] * len(groups), self.wordings))
-            y += labels
-            weight += [1.0] * len(labels)
-        for t, label in seeds:
-            x.append(node_features([[t]], [1], self.wordings))
-            y.append(label)
-            weight.append(float(seed_weight))
+    def __init__(self, trees: list[Sampled], seed: int = 7) -> None:
+        self.wordings, self.odds, self.trees = Wordings(), {}, None
+        labels = [y for t in trees for y in t.labels if y >= 0]
+        if len(set(labels)) < 2:
+            return
+        halves = [Wordings(x for i, t in enumerate(trees) if i // 2 % 2 == k for x in t.labelled()) for k in (0, 1)]
+        self.wordings, self.odds = Wordings(parts=halves), self._token_odds(trees)
+        rng, x, y = random.Random(seed), [], []
+        for i, t in enumerate(trees):  # words are judged by the other half, so that none vouches for itself
+            keep = [k for k, label in enumerate(t.labels) if label >= 0]
+            if not keep:
+                continue
+            dom = t.dom(self.odds)
+            if rng.random() < 0.5:
+                dom[:] = MISSING
+            x.append(np.concatenate([text_features(t.groups, halves[1 - i // 2 % 2]), dom], 1)[keep])
+            y += [t.labels[k] for k in keep]
+        for w in (self.wordings, *halves):
+            w.counts = ({}, {})  # the model travels with every task
         target = np.array(y, float)
-        mass = np.array(weight)
+        mass = np.ones(len(target))
         for k in (0.0, 1.0):
-            mass[target == k] /= mass[target == k].sum()
-        self.trees = Boosted().fit(np.concatenate(x), target, mass * len(target))
-
-    def lines(self, text: str | None) -> list[int]:
+            mass[target == k] *= 0.5 * len(target) / (target == k).sum()
+        self.trees = Boosted().fit(np.concatenate(x), target, mass)
+
+    @staticmethod
+    def _token_odds(trees: list[Sampled]) -> dict[str, float]:
+        counts: dict = {}
+        total = [1.0, 1.0]
+        for t in trees:
+            if t.text is None:
+                for k, label in zip(t.order, t.labels):
+                    if label >= 0:
+                        total[label] += 1
+                        for token in t.page.path(k):
+                            counts.setdefault(token, [0, 0])[label] += 1
+        return _odds(counts, (total[0], total[1]), 20)
+
+    def to_json(self) -> str:
+        return json.dumps({"words": self.wordings.words, "pairs": self.wordings.pairs, "odds": self.odds, "trees": self.trees and self.trees.to_dict()})
+
+    @classmethod
+    def from_json(cls, kept: str) -> Furniture:
+        got, model = json.loads(kept), cls([])
+        model.wordings.words, model.wordings.pairs, model.odds = got["words"], got["pairs"], got["odds"]
+        model.trees = Boosted.from_dict(got["trees"]) if got["trees"] else None
+        return model
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        """Keeps the model in a folder of any file system that Spark knows."""
+        spark.createDataFrame([(self.to_json(),)], "model string").coalesce(1).write.mode("overwrite").parquet(path)
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> Furniture:
+        return cls.from_json(spark.read.parquet(path).first()[0])
+
+    def _scores(self, rows: list[np.ndarray]) -> list[list[float]]:
+        """Clipped logits of each matrix, all scored together; without a model all are content."""
+        if not rows:
+            return []
+        all_rows = np.concatenate(rows)
+        score = self.trees.logits(all_rows).clip(-CLIP, CLIP) if self.trees is not None else np.full(len(all_rows), -CLIP)
+        return [x.tolist() for x in np.split(score, np.cumsum([len(r) for r in rows])[:-1])]
+
+    def lines(self, text: str | None, page: str | None = None) -> list[int]:
         """Numbers of the furniture lines of an extracted text."""
-        return self.many_lines([text])[0]
+        return self.many_lines([text], [page])[0]
 
-    def many_lines(self, texts: list[str | None]) -> list[list[int]]:
+    def many_lines(self, texts: list[str | None], pages: list[str | None]) -> list[list[int]]:
         """``lines`` of many texts, scored together."""
-        trees, rows = [], []
-        for text in texts:
-            split, groups, gap = (text or "").split("\n"), [], True
-            for i, line in enumerate(split):
-                blank = not line or line.isspace()
-                if not blank:
-                    if gap:
-                        groups.append([])
-                    groups[-1].append(i)
-                gap = blank
-            trees.append(groups)
-            rows.append(node_features([[split[i] for i in g] for g in groups], [1] * len(groups), self.wordings))
-        score = self.trees.logits(np.concatenate(rows)).clip(-CLIP, CLIP).tolist() if rows else []
-        out, at = [], 0
-        for groups in trees:
-            numbers = [i for g in groups for i in g]
-            labels = decode(groups, dict(zip(numbers, score[at : at + len(numbers)]))) if groups else {}
-            at += len(numbers)
-            out.append([i for i, furniture in labels.items() if furniture])
+        trees, rows = [Text(t) for t in texts], []
+        for t, source in zip(trees, pages):
+            dom = np.full((len(t.numbers), DOM_FEATURES), MISSING)
+            if source is not None and t.numbers:
+                page = Page(source)
+                dom = t.carried(page, page.features(self.odds))
+            rows.append(np.concatenate([text_features(t.texts(), self.wordings), dom], 1))
+        out = []
+        for t, own, score in zip(trees, rows, self._scores(rows)):
+            at = [k + 1 for k, g in enumerate(t.groups) for _ in g]
+            labels = decode([-1] + [0] * len(t.groups), at, score)
+            out.append([i for i, furniture, residue in zip(t.numbers, labels, own[:, RESIDUE]) if furniture and not residue])
         return out
 
     def body(self, page: str) -> str:
@@ -335,77 +484,144 @@ class Furniture:
 
     def bodies(self, pages: list[str]) -> list[str]:
         """``body`` of many pages, scored together."""
-        trees = [page_tree(p) for p in pages]
-        grouped = [_leaves(t) for t in trees]
-        rows = [node_features([[t for t, *_ in g] for g, _ in groups], [d for _, d in groups], self.wordings) for groups in grouped]
-        score = self.trees.logits(np.concatenate(rows)).clip(-CLIP, CLIP) if rows else np.zeros(0)
-        ends = np.cumsum([len(r) for r in rows])
-        return [self._body(t, g, score[e - len(r) : e].tolist()) for t, g, r, e in zip(trees, grouped, rows, ends)]
-
-    def _body(self, tree: tuple, groups: list, score: list[float]) -> str:
-        if not groups:
-            return ""
-        flat = [leaf for g, _ in groups for leaf in g]
-        logit, keyed = {}, {}
-        for k, ((_, tokens, node, i), s) in enumerate(zip(flat, score)):
-            told = _evidence(tokens)
-            own = 0.0 if _HEADINGS.intersection(tokens) else s  # a heading goes with what stands around it
-            logit[k] = own + (0 if told < 0 else CLIP if told else -CLIP)
-            keyed[id(node), i] = k
-
-        def keys(node: tuple) -> list:
-            return [keyed[id(node), i] if isinstance(c, str) else keys(c) for i, c in enumerate(node[1])]
-
-        def ordered(x: object) -> list:
-            return [k for c in x for k in ordered(c)] if isinstance(x, list) else [x]
-
-        keyed_tree = keys(tree)
-        labels = decode(keyed_tree, logit)
-        return "\n\n".join(flat[k][0] for k in ordered(keyed_tree) if not labels[k])
-
-
-def sample_pages(df: DataFrame, record: str = "fetch_id", body: str = "body", content_type: str = "content_type", pages: int = SAMPLE_PAGES) -> list[tuple[bytes, str | None]]:
-    """The bounded sample to learn from: the pages with the least hash of their id."""
-    own = df.select(F.col(record).alias("_id"), F.col(body).alias("_body"), F.col(content_type).alias("_type")).where("_id is not null and _body is not null")
-    ids = [r[0] for r in own.select("_id").distinct().orderBy(F.xxhash64("_id"), "_id").limit(pages).collect()]
-    return [(bytes(r[0]), r[1]) for r in own.where(F.col("_id").isin(ids)).dropDuplicates(["_id"]).orderBy("_id").select("_body", "_type").collect()] if ids else []
-
-
-def trained(sample: list[tuple[bytes, str | None]], nodes: int = SAMPLE_NODES) -> Furniture:
-    """The model learnt from a sample's marked elements; headings are left out, as they name either."""
-    pages, count = [], 0
-    for body, kind in sample:
-        groups = _leaves(page_tree(decoded(body, kind)))
-        told = [[(t, -1 if _HEADINGS.intersection(tokens) else _evidence(tokens)) for t, tokens, *_ in g] for g, _ in groups]
-        if groups and count < nodes:
-            pages.append((told, [d for _, d in groups]))
-            count += sum(map(len, told))
-    return Furniture(pages)
-
-
-def furniture_lines(df: DataFrame, model: Furniture, document: str = "document_id", text: str = "full_text") -> DataFrame:
-    """document, line_no of each furniture line."""
-
-    def run(ids: list, texts: list) -> tuple:
-        found = [(d, n) for k in range(0, len(ids), BATCH) for d, lines in zip(ids[k : k + BATCH], model.many_lines(texts[k : k + BATCH])) for n in lines]
+        trees = [Page(p) for p in pages]
+        return ["\n\n".join(t for t, furniture in zip(p.texts, labels) if not furniture) for p, labels in zip(trees, self.page_labels(trees))]
+
+    def page_labels(self, pages: list[Page], hidden: bool = False) -> list[list[bool]]:
+        """Whether each text of each page is furniture; ``hidden``: without the features of the tree, for measuring."""
+        rows, orders = [], [[i for g in p.groups for i in g] for p in pages]
+        for p, order in zip(pages, orders):
+            dom = np.full((len(order), DOM_FEATURES), MISSING) if hidden else p.features(self.odds)[order]
+            rows.append(np.concatenate([text_features([[p.texts[i] for i in g] for g in p.groups], self.wordings), dom], 1))
+        out = []
+        for p, order, score in zip(pages, orders, self._scores(rows)):
+            logit = [0.0] * len(order)
+            for i, s in zip(order, score):
+                logit[i] = 0.0 if p.heading[p.at[i]] else s  # a heading goes with what stands around it
+            out.append(decode(p.parents, p.at, logit))
+        return out
+
+
+def trained(sample: list[Row], nodes: int = SAMPLE_NODES) -> Furniture:
+    """The model learnt from a sample."""
+    return Furniture(labelled_trees(sample, nodes))
+
+
+def held_out(sample: list[tuple[str, Row]]) -> list[tuple[str, int, float, float]]:
+    """(what, nodes, precision, recall) on hosts that the model hasn't seen: a third of the hosts of (host, row).
+
+    Truth is what the pages' elements say; their features are hidden from the trees ('… unmarked') or not.
+    """
+    away = set(sorted({h for h, _ in sample}, key=lambda h: (zlib.crc32(h.encode()), h))[::3])
+    model, rest = trained([r for h, r in sample if h not in away]), [r for h, r in sample if h in away]
+    tallies: dict[str, list[int]] = {}
+
+    def tally(what: str, pairs: Iterable[tuple[int, bool]]) -> None:
+        t = tallies.setdefault(what, [0, 0, 0, 0])
+        for truth, found in pairs:
+            if truth >= 0:
+                for k, hit in enumerate((True, found, truth == 1, truth == 1 and found)):
+                    t[k] += hit
+
+    for text, body, kind, same in rest:
+        if body is None:
+            continue
+        source = decoded(body, kind)
+        page = Page(source)
+        tally("nodes", zip(page.labels(), model.page_labels([page])[0]))
+        tally("nodes unmarked", zip(page.labels(), model.page_labels([page], hidden=True)[0]))
+        if text and not text.isspace():
+            t = Text(text)
+            labels = line_labels(t, page, same)
+            for what, given in (("lines", source), ("lines unmarked", None)):
+                found = set(model.lines(text, given))
+                tally(what, ((y, i in found) for i, y in zip(t.numbers, labels)))
+    return [(what, n, both / (found or 1), both / (true or 1)) for what, (n, found, true, both) in sorted(tallies.items())]
+
+
+def _fetches(pages: DataFrame) -> DataFrame:
+    return pages.where("body is not null and url is not null and fetch_id is not null").select(
+        "url", F.lower("content_hash").alias("_hash"), F.struct("fetched_at", "fetch_id", F.xxhash64("body").alias("sum")).alias("_fetch"))
+
+
+def chosen_pages(docs: DataFrame, pages: DataFrame) -> DataFrame:
+    """_doc, _fetch_id, _sum, _same: the fetch that each document belongs to, of the same content hash if there is one, else
+    the newest of its url. Fetches are reduced by url and hash before anything is joined, so a hot url stays small."""
+    own = docs.select("_doc", "_url", F.lower("_hash").alias("_want")).where("_url is not null").distinct()
+    by_hash = _fetches(pages).groupBy("url", "_hash").agg(F.max("_fetch").alias("_fetch"))
+    newest = by_hash.groupBy("url").agg(F.max("_fetch").alias("_newest"))
+    named = by_hash.where("_hash is not null").withColumnsRenamed({"url": "_u", "_fetch": "_exact"})
+    got = own.join(newest, own["_url"] == newest["url"]).join(named, (F.col("_url") == F.col("_u")) & (F.col("_want") == named["_hash"]), "left")
+    best = F.coalesce("_exact", "_newest")
+    return got.select("_doc", best["fetch_id"].alias("_fetch_id"), best["sum"].alias("_sum"), F.col("_exact").isNotNull().alias("_same"))
+
+
+def _documents(df: DataFrame, document: str, text: str) -> DataFrame:
+    url, content_hash = (F.col(c) if c in df.columns else F.lit(None).cast("string") for c in ("url", "content_hash"))
+    return df.select(F.col(document).cast("bigint").alias("_doc"), F.col(text).alias("_text"), url.alias("_url"), content_hash.alias("_hash")).where("_doc is not null")
+
+
+def _bodies(pages: DataFrame) -> DataFrame:
+    return pages.where("body is not null").select(F.col("fetch_id").alias("_f"), F.xxhash64("body").alias("_s"), F.col("content_type").alias("_type"), F.col("body").alias("_body"))
+
+
+def sample_documents(df: DataFrame, pages: DataFrame, document: str = "document_id", text: str = "full_text", documents: int = SAMPLE_DOCUMENTS) -> list[tuple[str, Row]]:
+    """The bounded sample to learn from: (host, row) of the documents with a page that have the least hash of the id.
+    Without any such document, the pages with the least hash of theirs."""
+    docs = _documents(df, document, text)
+    chosen = chosen_pages(docs, pages).orderBy(F.xxhash64("_doc"), "_doc", "_fetch_id", "_sum").limit(documents).collect()
+    if not chosen:
+        ids = [r[0] for r in pages.where("body is not null and fetch_id is not null").select("fetch_id").distinct().orderBy(F.xxhash64("fetch_id"), "fetch_id").limit(documents).collect()]
+        rows = pages.where(F.col("fetch_id").isin(ids) & F.col("body").isNotNull()).select("fetch_id", "url", "content_type", "body").collect() if ids else []
+        best = {r[0]: r for r in sorted(rows, key=lambda r: (r[0], bytes(r[3]), r[2] or "", r[1] or ""))}
+        return [(_host(r[1]), (None, bytes(r[3]), r[2], False)) for _, r in sorted(best.items())]
+    texts = {}
+    for r in docs.where(F.col("_doc").isin([c[0] for c in chosen])).select("_doc", "_text", "_url").collect():
+        texts[r[0]] = max(texts.get(r[0], ("", "")), (r[1] or "", r[2] or ""))
+    bodies = {}
+    for r in _bodies(pages).where(F.col("_f").isin(sorted({c[1] for c in chosen}))).collect():
+        bodies[r[0], r[1]] = max(bodies.get((r[0], r[1]), ("", b"")), (r[2] or "", bytes(r[3])))
+    return [(_host(texts[d][1]), (texts[d][0], bodies[f, s][1], bodies[f, s][0], same)) for d, f, s, same in chosen if d in texts and (f, s) in bodies]
+
+
+def _host(url: str | None) -> str:
+    return (url or "").split("//")[-1].split("/")[0]
+
+
+def _with_pages(df: DataFrame, pages: DataFrame | None, document: str, text: str) -> DataFrame:
+    """_doc, _text, _type, _body: the documents with their pages, null where there is none."""
+    docs = _documents(df, document, text).where("_text is not null")
+    if pages is None:
+        return spread(docs.select("_doc", "_text", F.lit(None).cast("string").alias("_type"), F.lit(None).cast("binary").alias("_body")), df)
+    chosen = small_side(chosen_pages(docs, pages).select("_doc", "_fetch_id", "_sum"), max_rows=1_000_000)
+    bodies = _bodies(pages)
+    held = bodies.join(chosen, (F.col("_f") == F.col("_fetch_id")) & (F.col("_s") == F.col("_sum"))).select("_doc", "_type", "_body")
+    return spread(docs.select("_doc", "_text"), df, "_doc").join(spread(held, df, "_doc"), "_doc", "left").select("_doc", "_text", "_type", "_body")
+
+
+def furniture_lines(df: DataFrame, model: Furniture, pages: DataFrame | None = None, document: str = "document_id", text: str = "full_text") -> DataFrame:
+    """document, line_no of each furniture line; ``pages``: the fetches (fetch_id, url, content_hash, fetched_at,
+    content_type, body) that the documents (with url and content_hash) were extracted from."""
+
+    def run(ids: list, texts: list, kinds: list, bodies: list) -> tuple:
+        sources = [decoded(b, k) if b is not None else None for k, b in zip(kinds, bodies)]
+        found = [(d, n) for k in range(0, len(ids), BATCH) for d, lines in zip(ids[k : k + BATCH], model.many_lines(texts[k : k + BATCH], sources[k : k + BATCH])) for n in lines]
         return [d for d, _ in found], [n for _, n in found]
 
-    own = df.select(F.col(document).cast("bigint").alias("_doc"), F.col(text).alias("_text")).where("_doc is not null and _text is not null")
-    return map_columns(own, run, "_doc bigint, line_no int").distinct().withColumnRenamed("_doc", document)
+    return map_columns(_with_pages(df, pages, document, text), run, "_doc bigint, line_no int").distinct().withColumnRenamed("_doc", document)
 
 
-def main_text(df: DataFrame, model: Furniture, document: str = "document_id", text: str = "full_text") -> DataFrame:
-    """document, main_text: the text without its furniture lines; null stays null."""
+def main_text(df: DataFrame, model: Furniture, pages: DataFrame | None = None, document: str = "document_id", text: str = "full_text") -> DataFrame:
+    """document, main_text: the text without its furniture lines; null texts have none."""
 
-    def run(ids: list, texts: list) -> tuple:
+    def run(ids: list, texts: list, kinds: list, bodies: list) -> tuple:
         out = []
-        for t in texts:
-            drop = set(model.lines(t))
-            out.append(None if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if i not in drop).strip("\n"))
+        for t, k, b in zip(texts, kinds, bodies):
+            drop = set(model.lines(t, decoded(b, k) if b is not None else None))
+            out.append("\n".join(x for i, x in enumerate(t.split("\n")) if i not in drop).strip("\n"))
         return ids, out
 
-    own = df.select(F.col(document).cast("bigint").alias("_doc"), F.col(text).alias("_text"))
-    return map_columns(own, run, "_doc bigint, main_text string").distinct().withColumnRenamed("_doc", document)
+    return map_columns(_with_pages(df, pages, document, text), run, "_doc bigint, main_text string").distinct().withColumnRenamed("_doc", document)
 
 
 def main_bodies(df: DataFrame, model: Furniture, record: str = "fetch_id", body: str = "body", content_type: str = "content_type") -> DataFrame:
@@ -416,4 +632,4 @@ def main_bodies(df: DataFrame, model: Furniture, record: str = "fetch_id", body:
         return ids, [t for k in range(0, len(pages), BATCH) for t in model.bodies(pages[k : k + BATCH])]
 
     own = df.select(F.col(record).cast("bigint").alias("_id"), F.col(content_type).alias("_type"), F.col(body).alias("_body")).where("_body is not null")
-    return map_columns(own, run, "_id bigint, main_body string").distinct().withColumnRenamed("_id", record)
+    return map_columns(spread(own, df), run, "_id bigint, main_body string").distinct().withColumnRenamed("_id", record)

@@ -8,10 +8,13 @@ BINS = 32
 
 
 class Boosted:
-    """Binary classifier; deterministic. ``fit`` on a bounded sample, ``logits`` anywhere."""
+    """Binary classifier; deterministic. ``fit`` on a bounded sample, ``logits`` anywhere.
 
-    def __init__(self, trees: int = 60, depth: int = 4, rate: float = 0.25, least: int = 8, ridge: float = 1.0) -> None:
-        self.trees, self.depth, self.rate, self.least, self.ridge = trees, depth, rate, least, ridge
+    Each tree sees ``share`` of the rows, drawn anew with a fixed seed.
+    """
+
+    def __init__(self, trees: int = 60, depth: int = 4, rate: float = 0.25, least: float = 2.0, ridge: float = 1.0, share: float = 0.5) -> None:
+        self.trees, self.depth, self.rate, self.least, self.ridge, self.share = trees, depth, rate, least, ridge, share
         self.cuts: list[np.ndarray] = []
         self.nodes: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self.base = 0.0
@@ -21,51 +24,67 @@ class Boosted:
 
     def fit(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> Boosted:
         self.cuts = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, BINS + 1)[1:-1])) for j in range(x.shape[1])]
-        b, n = self._binned(x), len(y)
+        bins, n, rng = self._binned(x), len(y), np.random.default_rng(7)
         mean = float((y * weight).sum() / weight.sum())
         self.base = float(np.log(mean / (1 - mean)))
         score = np.full(n, self.base)
         for _ in range(self.trees):
-            p = 1 / (1 + np.exp(-score))
-            g, h = weight * (y - p), weight * p * (1 - p)
-            size = (1 << (self.depth + 1)) - 1
-            feature, cut, value = np.full(size, -1), np.zeros(size, np.int64), np.zeros(size)
-            at = np.zeros(n, np.int64)
-            for level in range(self.depth + 1):
-                first, width = (1 << level) - 1, 1 << level
-                local = at - first
-                live = (local >= 0) & (local < width)
-                sums = [np.bincount(local[live], v[live], width) for v in (g, h)]
-                value[first : first + width] = sums[0] / (sums[1] + self.ridge)
-                if level == self.depth:
-                    break
-                best_gain = np.full(width, 1e-6)
-                for j in range(b.shape[1]):
-                    cell = local[live] * BINS + b[live, j]
-                    gs, hs, ns = (np.bincount(cell, v, width * BINS).reshape(width, BINS).cumsum(1) for v in (g[live], h[live], np.ones(live.sum())))
-                    gl, hl, nl = gs[:, :-1], hs[:, :-1], ns[:, :-1]
-                    gr, hr, nr = gs[:, -1:] - gl, hs[:, -1:] - hl, ns[:, -1:] - nl
-                    gain = gl**2 / (hl + self.ridge) + gr**2 / (hr + self.ridge) - gs[:, -1:] ** 2 / (hs[:, -1:] + self.ridge)
-                    gain[(nl < self.least) | (nr < self.least)] = 0
-                    k = gain.argmax(1)
-                    top = gain[np.arange(width), k]
-                    better = top > best_gain
-                    best_gain[better] = top[better]
-                    feature[first : first + width][better], cut[first : first + width][better] = j, k[better]
-                split = live & (feature[at] >= 0)
-                go_right = b[np.arange(n), np.maximum(feature[at], 0)] > cut[at]
-                at = np.where(split, 2 * at + 1 + go_right, at)
-            score += self.rate * value[at]
-            self.nodes.append((feature, cut, value))
+            rows = np.flatnonzero(rng.random(n) < self.share)
+            p = 1 / (1 + np.exp(-score[rows]))
+            g, h = weight[rows] * (y[rows] - p), weight[rows] * p * (1 - p)
+            self.nodes.append(self._tree(bins[rows], g, h))
+            score += self.rate * self._values(bins, self.nodes[-1])
         return self
 
+    def _tree(self, b: np.ndarray, g: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        size, width_all = (1 << (self.depth + 1)) - 1, b.shape[1]
+        feature, cut, value = np.full(size, -1), np.zeros(size, np.int64), np.zeros(size)
+        at = np.zeros(len(b), np.int64)
+        for level in range(self.depth + 1):
+            first, width = (1 << level) - 1, 1 << level
+            live = np.flatnonzero(at >= first)
+            local = at[live] - first
+            gl_, hl_ = g[live], h[live]
+            value[first : first + width] = np.bincount(local, gl_, width) / (np.bincount(local, hl_, width) + self.ridge)
+            if level == self.depth:
+                break
+            best = np.full(width, 1e-6)
+            for j in range(width_all):
+                cell = local * BINS + b[live, j]
+                gs, hs = (np.bincount(cell, v, width * BINS).reshape(width, BINS).cumsum(1) for v in (gl_, hl_))
+                gl, hl = gs[:, :-1], hs[:, :-1]
+                gr, hr = gs[:, -1:] - gl, hs[:, -1:] - hl
+                gain = gl**2 / (hl + self.ridge) + gr**2 / (hr + self.ridge) - gs[:, -1:] ** 2 / (hs[:, -1:] + self.ridge)
+                gain[(hl < self.least) | (hr < self.least)] = 0
+                k = gain.argmax(1)
+                top = gain[np.arange(width), k]
+                better = top > best
+                best[better] = top[better]
+                feature[first : first + width][better], cut[first : first + width][better] = j, k[better]
+            split = feature[at[live]] >= 0
+            moved = live[split]
+            where = at[moved]
+            at[moved] = 2 * where + 1 + (b[moved, feature[where]] > cut[where])
+        return feature, cut, value
+
+    def _values(self, b: np.ndarray, tree: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+        feature, cut, value = tree
+        at, rows = np.zeros(len(b), np.int64), np.arange(len(b))
+        for _ in range(self.depth):
+            f = feature[at]
+            at = np.where(f >= 0, 2 * at + 1 + (b[rows, np.maximum(f, 0)] > cut[at]), at)
+        return value[at]
+
     def logits(self, x: np.ndarray) -> np.ndarray:
-        b, rows = self._binned(x), np.arange(len(x))
-        score = np.full(len(x), self.base)
-        for feature, cut, value in self.nodes:
-            at = np.zeros(len(x), np.int64)
-            for _ in range(self.depth):
-                f = feature[at]
-                at = np.where(f >= 0, 2 * at + 1 + (b[rows, np.maximum(f, 0)] > cut[at]), at)
-            score += self.rate * value[at]
-        return score
+        b = self._binned(x)
+        return self.base + self.rate * sum((self._values(b, t) for t in self.nodes), np.zeros(len(x)))
+
+    def to_dict(self) -> dict:
+        return {"depth": self.depth, "rate": self.rate, "base": self.base, "cuts": [c.tolist() for c in self.cuts], "nodes": [[a.tolist() for a in t] for t in self.nodes]}
+
+    @classmethod
+    def from_dict(cls, kept: dict) -> Boosted:
+        model = cls(trees=len(kept["nodes"]), depth=kept["depth"], rate=kept["rate"])
+        model.base, model.cuts = kept["base"], [np.array(c) for c in kept["cuts"]]
+        model.nodes = [(np.array(f), np.array(c), np.array(v)) for f, c, v in kept["nodes"]]
+        return model

@@ -36,13 +36,17 @@ def ingest_states(spark: SparkSession, folder: str) -> DataFrame:
     return ingest(newest, known, excluded=newest.join(found, "fetch_id", "left_semi").select("url", "content_hash")).summary
 
 
+def _sample(spark: SparkSession, folder: str) -> list[tuple[str, boilerplate.Row]]:
+    return boilerplate.sample_documents(table(spark, folder, "extracted_documents"), table(spark, folder, "crawl_results"))
+
+
 def _furniture(spark: SparkSession, folder: str) -> boilerplate.Furniture:
-    return boilerplate.trained(boilerplate.sample_pages(table(spark, folder, "crawl_results")))
+    return boilerplate.trained([row for _, row in _sample(spark, folder)])
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     """Lines of extracted documents that are page furniture."""
-    return boilerplate.furniture_lines(table(spark, folder, "extracted_documents"), _furniture(spark, folder))
+    return boilerplate.furniture_lines(table(spark, folder, "extracted_documents"), _furniture(spark, folder), table(spark, folder, "crawl_results"))
 
 
 def p2_bodies(spark: SparkSession, folder: str) -> DataFrame:
@@ -50,6 +54,11 @@ def p2_bodies(spark: SparkSession, folder: str) -> DataFrame:
     return boilerplate.main_bodies(table(spark, folder, "crawl_results"), _furniture(spark, folder))
 
 
+def p2_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Precision and recall of nodes and lines on hosts kept out of the training (a report over the bounded sample)."""
+    return spark.createDataFrame(boilerplate.held_out(_sample(spark, folder)), "what string, n bigint, precision double, recall double")
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     """Items over 2,400 characters: those that the splitter cut."""
     chunks = splitting.split_oversized(table(spark, folder, "chunks"), ["document_id", "ordinal"])
@@ -172,7 +181,7 @@ def p10_composition(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p1_kept": p1_kept, "ingest_states": ingest_states, "p2_found": p2_found, "p2_bodies": p2_bodies, "p3_found": p3_found, "p3_pieces": p3_pieces, "p4_found": p4_found, "p4_clean": p4_clean, "p6_found": p6_found, "p6_ranking": p6_ranking,
+    return {"p1_found": p1_found, "p1_kept": p1_kept, "ingest_states": ingest_states, "p2_found": p2_found, "p2_bodies": p2_bodies, "p2_quality": p2_quality, "p3_found": p3_found, "p3_pieces": p3_pieces, "p4_found": p4_found, "p4_clean": p4_clean, "p6_found": p6_found, "p6_ranking": p6_ranking,
             "p7_found": p7_found, "p7_groups": p7_groups, "p8_ids": p8_ids, "p8_roundtrip": p8_roundtrip, "p9_report": p9_report, "p9_mix": p9_mix, "p10_found": p10_found, "p10_composition": p10_composition}
 
 

@@ -1,3 +1,4 @@
+import datetime as dt
 import random
 
 import numpy as np
@@ -83,7 +84,6 @@ def test_residue_frames(spark):
 
 
 def test_ingest_leaves_residue_out(spark, tmp_path):
-    import datetime as dt
 
     entry = __import__("__spark_entry__")
     good, bad = b"<main><p>" + b"word " * 120 + b"</p></main>", b"<main><p>404 Not Found</p><p>" + b"word " * 120 + b"</p></main>"
@@ -153,43 +153,81 @@ def _page(i, marked=True):
     return f"<body><div class='c1'><ul>{nav}</ul></div><div class='c2'><h1>Title</h1>{text}</div><div class='c3'>{foot}</div></body>".encode()
 
 
-def test_boilerplate(spark):
-    pages = spark.createDataFrame([(i, "text/html", _page(i)) for i in range(60)] + [(99, None, None)], "fetch_id long, content_type string, body binary")
-    sample = boilerplate.sample_pages(pages, pages=40)
-    assert len(sample) == 40 and sample == boilerplate.sample_pages(pages.repartition(7), pages=40)
-    model = boilerplate.trained(sample)
+ADDED = ["Filed on 3 May 2024 by the desk", "Pass this on to a friend", "Rate this entry: 1 2 3"]
+
+
+def _corpus(spark, n):
+    """Pages, and documents extracted from them with lines added that no page holds."""
+    pages, docs = [], []
+    for i in range(n):
+        url, body = f"https://h{i % 5}.example/{i}", _page(i)
+        rng = random.Random(i)
+        text = boilerplate.Page(body.decode()).texts
+        content = [t for t in text if t.startswith("In week")]
+        lines = [*text[:3], "", content[0], "", content[1], "", rng.choice(ADDED), "", content[2], "", "© 2024 All rights reserved."]
+        pages.append((i, url, f"A{i}", dt.datetime(2024, 1, 1), "text/html", body))
+        docs.append((i, url, f"a{i}", "\n".join(lines)))
+    return (spark.createDataFrame(pages + pages[:2], "fetch_id long, url string, content_hash string, fetched_at timestamp, content_type string, body binary"),
+            spark.createDataFrame(docs, "document_id long, url string, content_hash string, full_text string"))
+
+
+def test_boilerplate(spark, tmp_path):
+    pages, docs = _corpus(spark, 60)
+    sample = boilerplate.sample_documents(docs, pages, documents=40)
+    assert len(sample) == 40 and sample == boilerplate.sample_documents(docs.repartition(7), pages.repartition(5), documents=40) and all(r[3] for _, r in sample)
+    model = boilerplate.trained([r for _, r in sample])
+    model.save(spark, str(tmp_path / "model"))
+    model = boilerplate.Furniture.load(spark, str(tmp_path / "model"))
     for i in range(100, 120):  # held out, without telling elements
         body = model.body(_page(i, marked=False).decode())
         assert body.startswith("Title") and body.count("In week") == 6 and not any(f"\n{n}" in body for n in NAV) and "©" not in body
-    text = "Home\nNews\nEvents\n\n" + CONTENT[0] + "\n\n" + CONTENT[5] + "\nLast updated: 2024-05-02\n\nLike it? Pass it on!\n\nCall extension 2044 only when court maps cannot wait until 3 May.\n\n© 2024 All rights reserved."
+    text = "Home\nNews\nEvents\n\n" + CONTENT[0] + "\n\n" + CONTENT[5] + "\nFiled on 7 June 2023 by the desk\n\nPass this on to a friend\n\n" + CONTENT[9] + "\n\n© 2024 All rights reserved."
     assert model.lines(text) == [0, 1, 2, 7, 9, 13]
-    df = spark.createDataFrame([(1, "x", text), (1, "x", text), (2, "x", None), (3, "x", ""), (4, "x", " \n "), (5, "x", CONTENT[1] * 3000), (None, "x", text)], "document_id long, line_no string, full_text string")
-    assert {tuple(r) for r in boilerplate.furniture_lines(df, model).collect()} == {(1, n) for n in (0, 1, 2, 7, 9, 13)}
-    assert {r.document_id for r in boilerplate.main_text(df, model).collect()} == {1, 2, 3, 4, 5, None}
-    assert boilerplate.furniture_lines(df.limit(0), model).count() == 0 and boilerplate.sample_pages(pages.limit(0)) == []
-    assert boilerplate.trained([]).lines("Posted by the editor on 2 May 2024") == [0]
+    for given in (None, pages):
+        rows = [(1, "u", "x", text), (1, "u", "x", text), (2, "u", "x", None), (3, None, None, ""), (4, None, None, " \n "), (5, "u", "x", CONTENT[1] * 3000), (None, "u", "x", text)]
+        df = spark.createDataFrame(rows, "document_id long, url string, content_hash string, full_text string").withColumn("line_no", F.lit("x")).withColumn("body", F.lit(1))
+        assert {tuple(r) for r in boilerplate.furniture_lines(df, model, given).collect()} == {(1, n) for n in (0, 1, 2, 7, 9, 13)}
+        assert {r.document_id for r in boilerplate.main_text(df, model, given).collect()} == {1, 3, 4, 5}
+        assert boilerplate.furniture_lines(df.limit(0), model, given).count() == 0
+    quality = {q[0]: q for q in boilerplate.held_out(sample)}
+    assert set(quality) == {"lines", "lines unmarked", "nodes", "nodes unmarked"} and all(p > 0.95 and r > 0.95 for _, _, p, r in quality.values())
+    assert boilerplate.sample_documents(docs.limit(0), pages.limit(0)) == []
+    alone = boilerplate.sample_documents(docs.limit(0), pages, documents=30)  # pages only
+    assert len(alone) == 30 and boilerplate.trained([r for _, r in alone]).body(_page(101).decode()).startswith("Title")
+    assert boilerplate.trained([]).lines("Posted by the editor on 2 May 2024") == [] and boilerplate.trained([]).body("<p>a") == "a"
+
+
+def test_lines_take_over_their_nodes():
+    page = boilerplate.Page("<nav><a href=/>Home</a></nav><MAIN><p>Home runs matter.</p><SCRIPT>var x = 1;</SCRIPT></MAIN><footer>Maps</footer>")
+    assert page.texts == ["Home", "Home runs matter.", "Maps"] and page.labels() == [1, 0, 1] and page.links == [1.0, 0.0, 0.0]
+    text = boilerplate.Text("home\nHome runs matter.\n\nShare it\nThe gate of the old house is open in spring and autumn.\nInternal Server Error.")
+    assert boilerplate.line_labels(text, page, True) == [1, 0, 1, -1, 0] and boilerplate.line_labels(text, page, False) == [1, 0, -1, -1, 0]
+
+
+def test_deep_pages():
+    page = "<div>" * 5_000 + "deep" + "</div>" * 5_000 + "<DIV><p>next</p>"
+    assert boilerplate.Page(page).texts == ["deep", "next"] and boilerplate.Furniture([]).body(page) == "deep\n\nnext"
 
 
 def test_decoding_is_consistent():
     rng = random.Random(5)
-    for _ in range(50):
-        logit = {i: rng.uniform(-4, 4) for i in range(7)}
-        tree = [[0, 1, [2, 3]], [4, 5], 6]
-        labels = boilerplate.decode(tree, logit, price=1.5)
-        assert set(labels) == set(range(7))
-
-        def score(pick):  # brute force over the labels of all inner nodes
-            def best(x, forced):
-                if not isinstance(x, list):
-                    return logit[x] if forced == 1 else -logit[x] if forced == 0 else abs(logit[x])
-                options = [sum(best(c, f) for c in x) for f in ((forced,) if forced is not None else (0, 1))]
-                return max(options + ([sum(best(c, None) for c in x) - pick] if forced is None else []))
-
-            return best
-
-        reached = sum(logit[k] if v else -logit[k] for k, v in labels.items())
-        assert reached <= sum(map(abs, logit.values())) + 1e-9
-        assert reached >= max(abs(sum(logit.values())), score(1.5)(tree, None)) - 1e-9
+    parents, at = [-1, 0, 1, 0, 0], [1, 1, 2, 2, 3, 3, 0]
+    for _ in range(200):
+        logit = [rng.uniform(-4, 4) for _ in at]
+        labels, best = boilerplate.decode(parents, at, logit, price=1.5), -99.0
+        kids = {v: [k for k, p in enumerate(parents) if p == v] for v in range(5)}
+
+        def worth(v, forced):
+            own = [s for s, a in zip(logit, at) if a == v]
+            if forced is not None:
+                return (1 if forced else -1) * sum(own) + sum(worth(k, forced) for k in kids[v])
+            mixed = sum(map(abs, own)) + sum(worth(k, None) for k in kids[v]) - (1.5 if v and len(own) + len(kids[v]) > 1 else 0)
+            return max(mixed, worth(v, True), worth(v, False))
+
+        best = worth(0, None)
+        gained = sum(s if y else -s for s, y in zip(logit, labels))
+        assert best - 1e-9 <= gained <= best + 3 * 1.5 + 1e-9  # the prices paid are all that lies between
+    assert boilerplate.decode([-1], [], []) == []
 
 
 def test_subjects(spark):
