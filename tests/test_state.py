@@ -29,23 +29,65 @@ def test_changed_documents(spark):
     assert _changed(spark, tie, [(1, 1, "b", False, T(1))], [(1, T(2), T(3))]) == []
 
 
+def test_runs_in_blocks(spark, monkeypatch):
+    runs = [(i, T(1 + i // 24, i % 24), T(1 + i // 24, i % 24)) for i in range(40)]
+    crawls = [(k, "uv"[k % 2], "success", 200, f"h{k // 3}", 5, T(1, k), T(1, k)) for k in range(20)]
+    embeds = [(k, 1 + k % 2, f"H{k // 3}", False, T(1, k)) for k in range(0, 20, 3)]
+    whole = _changed(spark, crawls, embeds, runs)
+    monkeypatch.setattr(incremental, "RUNS_A_BLOCK", 17)
+    assert len(whole) > 5 and _changed(spark, crawls, embeds, runs) == whole
+
+
 def test_descends_only_where_digests_differ(spark):
-    rows = [(i, i * 7, i * 7 + (i == 77)) for i in range(256)] + [(300, None, 5)]
-    df = spark.createDataFrame(rows, "leaf int, now long, saved long")
-    assert {r.leaf for r in incremental.differing_leaves(df, [], 9, 4).collect()} == {77, 300}
+    rows = [(i, side, i * 7 + (i == 77 and side == "now")) for i in range(256) for side in ("now", "saved")] + [(300, "now", 5)]
+    df = spark.createDataFrame(rows, "leaf long, side string, digest long")
+    odd = lambda rows: F.filter(F.array(F.lit("x")), lambda _: incremental._xor(rows, lambda x: F.lit(True)) != 0)
+    assert {(r.leaf, *r.found) for r in incremental.descend(df, odd, ["side"], 9, 4).collect()} == {(77, "x"), (300, "x")}
 
 
 def test_merkle_store(spark, tmp_path):
-    store = incremental.MerkleStore(spark, str(tmp_path / "state"), bits=6)
-    one = spark.createDataFrame([(i, f"h{i}", 1) for i in range(50)] + [(None, "x", 1), (99, None, 1), (3, "h3", 1)], "key long, digest string, leaf int")
-    assert store.changes(one, "key", "digest").count() == 50
-    store.publish(one, "key", "digest", one)
-    assert store.changes(one, "key", "digest").count() == 0
-    two = spark.createDataFrame([(i, f"h{i}" if i % 10 else "new", 1) for i in range(1, 52)], "key long, digest string, leaf int")
-    assert {(r.key, r.change) for r in store.changes(two, "key", "digest").collect()} == {(0, "removed"), (50, "added"), (51, "added"), *((i, "changed") for i in (10, 20, 30, 40))}
-    before = store.version()
-    store.publish(two, "key", "digest", two)
-    assert store.version() != before and store.changes(two, "key", "digest").count() == 0
+    store = incremental.MerkleStore(spark, str(tmp_path / "state"))
+    frame = lambda rows: spark.createDataFrame(rows, "key long, digest string, leaf int")
+    one = frame([(i, f"h{i}", 1) for i in range(500)] + [(None, "x", 1), (999, None, 1), (3, "h3", 1)])
+    got = store.changes(one, "key", "digest")
+    assert got.rows.count() == 500 and store.version() is None
+    store.publish(got, one)
+    assert store.changes(one, "key", "digest").rows.count() == 0 and store.output().count() == 503
+    two = frame([(i, f"h{i}" if i % 100 else "new", 1) for i in range(1, 502)])
+    got = store.changes(two, "key", "digest")
+    assert {(r.key, r.change) for r in got.rows.collect()} == {(0, "removed"), (500, "added"), (501, "added"), *((i, "changed") for i in (100, 200, 300, 400))}
+    assert got.leaves.count() <= 7 < 2**got.bits / 8  # most leaves are pruned
+    store.publish(got, two)
+    records = spark.read.parquet(str(tmp_path / "state" / store.version() / "records"))
+    assert records.count() < 100 and store.changes(two, "key", "digest").rows.count() == 0
+    assert store.changes(frame([]), "key", "digest").rows.count() == 501
+
+
+def test_merkle_store_survives(spark, tmp_path, monkeypatch):
+    store = incremental.MerkleStore(spark, str(tmp_path / "state"))
+    frame = lambda rows: spark.createDataFrame(rows, "key long, digest string")
+    frame([(1, "a")]).write.parquet(str(tmp_path / "source"))
+    source = lambda: spark.read.parquet(str(tmp_path / "source"))
+    got = store.changes(source(), "key", "digest")
+    with monkeypatch.context() as m:  # lost between writing and the swap
+        m.setattr(store, "_context", None)
+        with pytest.raises(AttributeError):
+            store.publish(got, source())
+    assert store.version() is None and store.changes(source(), "key", "digest").rows.count() == 1
+    frame([(2, "b")]).write.mode("append").parquet(str(tmp_path / "source"))  # arrives in between: not marked as done
+    store.publish(got, source().where("key = 1"))
+    assert [tuple(r) for r in store.changes(source(), "key", "digest").rows.collect()] == [(2, "added")]
+    one, other = store.changes(source(), "key", "digest"), store.changes(source(), "key", "digest")
+    store.publish(one, source())
+    with pytest.raises(incremental.Conflict):
+        store.publish(other, source())
+    monkeypatch.setattr(incremental, "KEPT_VERSIONS", 2)
+    for n in range(3):  # all leaves anew once there are too many versions
+        frame([(10 + n, "c")]).write.mode("append").parquet(str(tmp_path / "source"))
+        got = store.changes(source(), "key", "digest")
+        assert got.rows.count() == 1
+        store.publish(got, source())
+    assert len(store._commit()[1]["versions"]) <= 2 and store.changes(source(), "key", "digest").rows.count() == 0
 
 
 def test_upsert_and_replace(spark):
