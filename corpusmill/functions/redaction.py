@@ -18,10 +18,32 @@ PATTERNS = (
 )
 _COMPILED = [(label, re.compile(p)) for label, p in PATTERNS]
 
+_LETTER = r"\p{L}\p{N}_"
+_BLANK = r"\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+def jvm_pattern(pattern: str) -> str:
+    """The same pattern for the JVM, where classes and word bounds are ASCII unless they are spelled out: letters and
+    digits of all scripts, so that no address with an accent stays in clear."""
+    out, inside = [], False
+    for part in re.findall(r"\\.|\(\?i\)|.", pattern):
+        inside = part == "[" or inside and part != "]"
+        classes = {r"\w": _LETTER, r"\d": r"\p{Nd}", r"\s": _BLANK}
+        if part in classes:
+            out.append(classes[part] if inside else f"[{classes[part]}]")
+        elif part == r"\b":
+            out.append(f"(?:(?<=[{_LETTER}])(?![{_LETTER}])|(?<![{_LETTER}])(?=[{_LETTER}]))")
+        else:
+            out.append("(?iu)" if part == "(?i)" else part)
+    return "".join(out)
+
+
+_JVM = [(label, jvm_pattern(p)) for label, p in PATTERNS]
+
 
 def mask(text: Column) -> Column:
-    """Every identifier replaced by ⟨LABEL⟩, in the JVM."""
-    for label, p in PATTERNS:
+    """Every identifier replaced by ⟨LABEL⟩, in the JVM; the same ones as ``redact_text`` finds."""
+    for label, p in _JVM:
         text = F.regexp_replace(text, p, f"⟨{label}⟩")
     return text
 
@@ -29,7 +51,7 @@ def mask(text: Column) -> Column:
 def counts(text: Column) -> dict[str, Column]:
     """Identifiers by label, each counted after the labels before it were masked."""
     out = {}
-    for label, p in PATTERNS:
+    for label, p in _JVM:
         out[label] = F.coalesce(F.regexp_count(text, F.lit(p)), F.lit(0))
         text = F.regexp_replace(text, p, f"⟨{label}⟩")
     return out

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -226,27 +227,56 @@ def ingest_states(spark: SparkSession, folder: str) -> DataFrame:
     return ingest(*newest_and_known(spark, folder)).summary
 
 
+#: Texts with identifiers in other scripts, so that the queries and their SQL are held to them too.
+PLANTED = ("Write to josé@uni.example, jürgen.müller@uni.example or anna_b@unì.example.", "Numéro 123456789é and 123456789; é416-555-0199, 416-555-0199.", "Нина: нина@почта.example, K7L 3N6, éK7L 3N6.", "__é__ a_é@b.example _é_")
+
+
+def _word_bounds(column: str) -> str:
+    """RE2's word bounds know ASCII only: letters and digits of other scripts are put between underscores, which it takes
+    for letters, and real underscores are doubled, so that ``_plain`` can undo it."""
+    return f"regexp_replace(replace({column}, '_', '__'), '([^\\x00-\\x7F\\p{{M}}\\p{{P}}\\p{{S}}\\p{{Z}}\\p{{C}}])', '_\\1_', 'g')"
+
+
+def _re2(pattern: str) -> str:
+    """Classes of all scripts for RE2."""
+    out, inside = [], False
+    for part in re.findall(r"\\.|.", pattern):
+        inside = part == "[" or inside and part != "]"
+        classes = {r"\w": r"\p{L}\p{N}_", r"\d": r"\p{Nd}"}
+        out.append((classes[part] if inside else f"[{classes[part]}]") if part in classes else part)
+    return "".join(out)
+
+
 def _masked_sql(column: str, labels: int) -> str:
     for label, p in redaction.PATTERNS[:labels]:
-        column = f"regexp_replace({column}, '{p}', '⟨{label}⟩', 'g')"
+        column = f"regexp_replace({column}, '{_re2(p)}', '⟨{label}⟩', 'g')"
     return column
 
 
-_PII_TEXTS = "(SELECT 'document' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'chunk', chunk_id, text FROM chunks UNION ALL SELECT 'question', question_id, redacted_text FROM questions)"
+def _plain(column: str) -> str:
+    return f"replace(regexp_replace({column}, '_([^\\x00-\\x7F])_', '\\1', 'g'), '__', '_')"
+
+
+_PII_TEXTS = "(SELECT 'document' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'chunk', chunk_id, text FROM chunks UNION ALL SELECT 'question', question_id, redacted_text FROM questions" + "".join(
+    f" UNION ALL SELECT 'planted', {i}, '{t}'" for i, t in enumerate(PLANTED)) + ")"
 
 
 def _pii_texts(spark: SparkSession, folder: str) -> DataFrame:
     part = lambda t, kind, key, text: table(spark, folder, t).select(F.lit(kind).alias("kind"), F.col(key).alias("id"), F.col(text).alias("text"))
-    return part("documents", "document", "doc_id", "text").unionAll(part("chunks", "chunk", "chunk_id", "text")).unionAll(part("questions", "question", "question_id", "redacted_text"))
+    planted = spark.createDataFrame([("planted", i, t) for i, t in enumerate(PLANTED)], "kind string, id bigint, text string")
+    return part("documents", "document", "doc_id", "text").unionAll(part("chunks", "chunk", "chunk_id", "text")).unionAll(part("questions", "question", "question_id", "redacted_text")).unionAll(planted)
+
+
+_MARKED = f"(SELECT kind, id, {_word_bounds('text')} AS text FROM {_PII_TEXTS})"
 
 
-@query("SELECT kind, id, " + ", ".join(f"coalesce(len(regexp_extract_all({_masked_sql('text', i)}, '{p}')), 0) AS n_{label.lower()}" for i, (label, p) in enumerate(redaction.PATTERNS)) + f" FROM {_PII_TEXTS}")
+@query("SELECT kind, id, " + ", ".join(f"coalesce(len(regexp_extract_all({_masked_sql('text', i)}, '{_re2(p)}')), 0) AS n_{label.lower()}" for i, (label, p) in enumerate(redaction.PATTERNS)) + f" FROM {_MARKED}")
 def pii_counts(spark: SparkSession, folder: str) -> DataFrame:
     found = redaction.counts(F.col("text"))
     return _pii_texts(spark, folder).select("kind", "id", *[c.alias(f"n_{label.lower()}") for label, c in found.items()])
 
 
-@query(f"SELECT kind, id, sha256({_masked_sql('text', 4)}) AS masked_sha256 FROM {_PII_TEXTS}")
+@query(f"SELECT kind, id, sha256({_plain(_masked_sql('text', 4))}) AS masked_sha256 FROM {_MARKED}")
 def pii_mask(spark: SparkSession, folder: str) -> DataFrame:
     return _pii_texts(spark, folder).select("kind", "id", F.sha2(redaction.mask(F.col("text")), 256).alias("masked_sha256"))
 

@@ -97,6 +97,19 @@ def test_quality_gate(spark):
     assert [r[0] for r in df.select(quality.is_usable(F.col("t"))).collect()] == [True] + [False] * 9
 
 
+def test_masks_are_the_same_in_the_jvm(spark):
+    import random
+
+    rng = random.Random(3)
+    parts = ["josé@uni.example", "jürgen.müller@uni.example", "a_b@почта.example", "é", "ß", "_", " ", ".", "@", "416-555-0199", "(416) 555 0199", "123456789", "١٢٣٤٥٦٧٨٩", "K7L 3N6", "k7l-3n6", "x\u0301", "\xa0", "\x1f", "中", "+1 ", "ſ1ſ 1ſ1", "⅓", "-", "tel:"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 9))) for _ in range(3000)] + ["", " "]
+    df = spark.createDataFrame([(t,) for t in texts] + [(None,)], "t string")
+    got = [r.m for r in df.select(redaction.mask(F.col("t")).alias("m")).collect()]
+    plain = lambda t: __import__("re").sub(r"⟨([A-Z_]+)_\d+⟩", r"⟨\1⟩", redaction.redact_text(t)[0])
+    assert got[:-1] == [plain(t) for t in texts] and got[-1] is None
+    assert "josé" not in got[texts.index(next(t for t in texts if "josé@" in t and "⟨EMAIL⟩" in plain(t)))]
+
+
 def test_redaction_roundtrip(spark):
     text = "Mail a.b@c.org or call (519) 884-0710, id 123456789, N2L 3C5, CP104 and a.b@c.org"
     masked, kept = redaction.redact_text(text)
