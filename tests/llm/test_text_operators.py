@@ -31,6 +31,20 @@ def test_residue_rules():
     assert residue.first_residue(["```", "{{ x }}", "```", "fine"]) is None
 
 
+def test_residue_of_any_length_and_general_grammar():
+    long = " while the request was handled by worker" * 40
+    cases = {
+        "Internal Server Error" + long: "error", "Please enable JavaScript" + long: "scripts", "HTTP Status 500 – Internal Server Error": "error", "Error establishing a database connection": "error", "418 I'm a Teapot": "error", "421 Misdirected Request": "error",
+        "Welcome back, [username]!": "placeholder", "Use of JavaScript is required": "scripts", "You need JavaScript enabled to run this app.": "scripts", "An unexpected error has occurred.": "error", "The requested URL /x was not found on this server.": "error",
+    }
+    assert {t: residue.residue_kind(t) for t in cases} == cases
+    for t in ("Liquid uses {{ page.title }} for the heading.", "The tag `{{ x }}` prints x.", "405 students took part.", "500 internal scholarships are given.", "The requested document must not be folded."):
+        assert residue.residue_kind(t) is None, t
+    assert residue.first_residue(["A template is filled in later.", "{{ x }} holds the name", "```", "{{ y }}", "```"]) is None  # explained and beside code
+    assert residue.first_residue(["A template is filled in later.", "Dear {{ x }}, your {{ y }} is {{ z }}"]) == "placeholder"  # dense
+    assert residue.first_residue(["Fine", "```", "404 Not Found"]) == "error"  # a fence that is never closed
+
+
 def _samples(tree):
     """Texts that a parsed rule matches: each alternative of each part once, the other parts at their first."""
     from re import _constants as c
@@ -78,9 +92,9 @@ def test_residue_frames(spark):
     assert {tuple(r) for r in residue.residue_in_texts(df).collect()} == {(1, "placeholder"), (5, "error")}
     assert residue.residue_in_texts(df.limit(0)).count() == 0
     assert {r.document_id for r in residue.without_residue(df).collect()} == {2, 3, 4, None}
-    pages = [(1, "text/html", b"<main><p>Fine.</p></main><noscript>Please enable JavaScript.</noscript>"), (2, "text/html; charset=iso-8859-1", "<p>Page introuvable. é</p>".encode("latin-1")), (3, None, None), (4, None, b""), (5, "text/html", b"<pre>{{ x }}</pre><p>ok</p>"), (6, "text/html", b"\xff\xfe<p>{{ x }}</p>"), (6, "text/html", b"\xff\xfe<p>{{ x }}</p>")]
+    pages = [(1, "text/html", b"<main><p>Fine.</p></main><noscript>Please enable JavaScript.</noscript>"), (2, "text/html; charset=iso-8859-1", "<p>Page introuvable. é</p>".encode("latin-1")), (3, None, None), (4, None, b""), (5, "text/html", b"<pre>{{ x }}</pre><p>ok</p>"), (7, "text/html", b"<html><head><title>404 Not Found</title></head><p>Fine.</p>"), (6, "text/html", b"\xff\xfe<p>{{ x }}</p>"), (6, "text/html", b"\xff\xfe<p>{{ x }}</p>")]
     df = spark.createDataFrame(pages, "fetch_id long, content_type string, body binary")
-    assert {tuple(r) for r in residue.residue_in_pages(df).collect()} == {(2, "error"), (6, "placeholder")}
+    assert {tuple(r) for r in residue.residue_in_pages(df).collect()} == {(2, "error"), (6, "placeholder"), (7, "error")}
 
 
 def test_ingest_leaves_residue_out(spark, tmp_path):
