@@ -172,17 +172,22 @@ def p9_mix(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
-    return subjects.document_subjects(table(spark, folder, "documents")).select("doc_id", "subject")
+    return subjects.document_subjects(table(spark, folder, "documents"), table(spark, folder, "subject_labels")).select("doc_id", "subject")
 
 
 def p10_composition(spark: SparkSession, folder: str) -> DataFrame:
     """Documents by subject."""
-    return subjects.composition(table(spark, folder, "documents"))
+    return subjects.composition(table(spark, folder, "documents"), table(spark, folder, "subject_labels"))
+
+
+def p10_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Agreement with labels kept out of the learning (a report over the bounded sample)."""
+    return subjects.agreement(spark, table(spark, folder, "documents"), table(spark, folder, "subject_labels"))
 
 
 def queries() -> dict[str, Query]:
     return {"p1_found": p1_found, "p1_kept": p1_kept, "ingest_states": ingest_states, "p2_found": p2_found, "p2_bodies": p2_bodies, "p2_quality": p2_quality, "p3_found": p3_found, "p3_pieces": p3_pieces, "p4_found": p4_found, "p4_clean": p4_clean, "p6_found": p6_found, "p6_ranking": p6_ranking,
-            "p7_found": p7_found, "p7_groups": p7_groups, "p8_ids": p8_ids, "p8_roundtrip": p8_roundtrip, "p9_report": p9_report, "p9_mix": p9_mix, "p10_found": p10_found, "p10_composition": p10_composition}
+            "p7_found": p7_found, "p7_groups": p7_groups, "p8_ids": p8_ids, "p8_roundtrip": p8_roundtrip, "p9_report": p9_report, "p9_mix": p9_mix, "p10_found": p10_found, "p10_composition": p10_composition, "p10_quality": p10_quality}
 
 
 def oracle_sql() -> dict[str, str]:

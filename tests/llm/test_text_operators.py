@@ -246,12 +246,28 @@ def test_decoding_is_consistent():
 
 def test_subjects(spark):
     law = "The court heard witness testimony. A new case on tort claims followed. Bail hearings took place."
-    rows = [(1, law), (1, law), (2, None), (3, ""), (4, "  "), (5, "Nothing here."), (6, "Les dates d’abandon et les bourses. Les-bourses sont là."), (7, law + " One passing word on hash tables."), (8, "hash and other tables"), (9, "UNIT  TESTS and “code review”. Pull requests!"), (10, law * 500)]
+    rows = [(1, law), (1, law), (2, None), (3, ""), (4, "  "), (5, "Nothing here."), (6, "Les stages coopératifs et les bourses. Les-bourses sont là."), (7, law + " One passing word on hash tables."), (9, "UNIT  TESTS and “refactoring”. Pull requests!"), (10, law * 500)]
     rows += [(i, "Nothing to see.") for i in range(100, 180)]  # rarity is a share of all documents
     df = spark.createDataFrame([(*r, "x", 1.0) for r in rows], "doc_id long, text string, subject string, score double")
     got = {tuple(r) for r in subjects.document_subjects(df).select("doc_id", "subject").collect()}
-    assert got == {(1, "law"), (6, "student_services"), (7, "law"), (8, "software"), (9, "software"), (10, "law")}
+    assert got == {(1, "law"), (6, "student_services"), (7, "law"), (9, "software"), (10, "law")}
     assert subjects.document_subjects(df.limit(0)).count() == 0
     assert {r.subject: r.n_documents for r in subjects.composition(df).collect()}["law"] == 3
-    assert subjects.calibrate([(law, {"law"})])[2] == 1.0
-    assert df.select(F.col("subject")).count() == len(rows)
+    assert subjects.calibrate([({"law": 3.0, "arts": 0.5}, 5, {"law"})])[2] == 1.0
+
+
+def test_subjects_learn_from_labels(spark):
+    word = lambda i, k: f"The {('quorn', 'blick', 'zamt')[k]} {('sorvel', 'tindal')[i % 2]} stood open. Then the {('quorn', 'blick', 'zamt')[k]} closed again."
+    rows = [(i, word(i, i % 3)) for i in range(90)]
+    labels = [(i, ("arts", "law", "sport")[i % 3], "x") for i in range(60)] + [(0, "arts", "y"), (None, "law", "x"), (7, None, "x"), (999, "law", "x")]
+    df, known = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, subject string, labeller string")
+    got = {tuple(r) for r in subjects.document_subjects(df, known).select("doc_id", "subject").collect()}
+    assert {(i, ("arts", "law", "sport")[i % 3]) for i in range(60, 90)} == {x for x in got if x[0] >= 60}
+    assert {r.recall for r in subjects.agreement(spark, df, known).collect()} == {1.0}
+    assert subjects.document_subjects(df, known.limit(0)).count() == 0
+
+
+def test_longer_terms_win():
+    table = subjects.Terms("law | en | 1 | court\nsport | en | 1 | tennis court; sprint*\n# x", [("yield", "science", 0.9)])
+    name = lambda t: {table.subject[i] for f in table.in_text(t)[1] for i in f}
+    assert name("The tennis courts open.") == {"sport"} and name("Courts of tennis. Sprinting!") == {"law", "sport"} and name("Yields") == {"science"} and name("") == set()
