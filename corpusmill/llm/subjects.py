@@ -23,6 +23,7 @@ import functools
 import math
 import re
 import unicodedata
+import zlib
 from collections import Counter, defaultdict
 
 import ahocorasick
@@ -208,7 +209,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, doc: str = "doc_id", tex
     texts: dict = {}
     for r in rows.where("_text is not null").collect():
         texts[r[0]] = max(r[1], texts.get(r[0], ""))
-    return [(d, texts[d], few[d]) for d in sorted(texts)]
+    return [(d, texts[d], few[d]) for d in sorted(texts, key=lambda d: (zlib.crc32(str(d).encode()), str(d)))]
 
 
 def document_subjects(df: DataFrame, labels: DataFrame | None = None, doc: str = "doc_id", text: str = "text", path: str | None = None, min_score: float | None = None, min_share: float | None = None) -> DataFrame:
