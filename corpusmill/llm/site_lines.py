@@ -3,7 +3,8 @@
 Lines are keyed by a 64-bit hash of their lower-cased letters; distinct documents are counted per (site, key)
 with map-side combining, thresholded by document share, and joined back to the occurrences. Both the key and the
 site are in the grouping key and the document is in the first exchange, so a site with a third of all rows spreads
-over all tasks. At most ``1 / share`` times a site's mean number of lines per document can pass, so the list of
+over all tasks. The texts are split and normalised once; their lines' hashes are kept in the shared checkpoint folder and
+read for the counts and for the occurrences. At most ``1 / share`` times a site's mean number of lines per document can pass, so the list of
 frequent lines is small; it is broadcast only after its rows were counted.
 
 Defined cases: null text gives no lines but its document counts in the share; lines without letters are never
@@ -16,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.session import small_side
+from corpusmill.session import cut, small_side
 
 MIN_DOCUMENTS = 4
 MIN_SHARE = 0.05
@@ -35,14 +36,18 @@ def _lines(df: DataFrame, doc: str, site: str, text: str) -> DataFrame:
     return split.select("_doc", "_site", "_no", line_key(F.col("_line")).alias("_key")).where(F.col("_key").isNotNull())
 
 
+def _frequent(df: DataFrame, lines: DataFrame, doc: str, site: str, min_documents: int, min_share: float) -> DataFrame:
+    sizes = df.groupBy(F.coalesce(F.col(site), F.lit("")).alias("_site")).agg(F.count_distinct(F.col(doc)).alias("site_docs"))
+    counts = lines.groupBy("_site", "_key").agg(F.count_distinct("_doc").alias("n_docs")).where(F.col("n_docs") >= min_documents)
+    return counts.join(sizes, "_site").where(F.col("n_docs") >= F.col("site_docs") * F.lit(min_share))
+
+
 def frequent_lines(
     df: DataFrame, doc: str = "document_id", site: str = "host", text: str = "full_text",
     min_documents: int = MIN_DOCUMENTS, min_share: float = MIN_SHARE,
 ) -> DataFrame:
     """(_site, _key, n_docs, site_docs) of every line standing in enough distinct documents of its site."""
-    sizes = df.groupBy(F.coalesce(F.col(site), F.lit("")).alias("_site")).agg(F.count_distinct(F.col(doc)).alias("site_docs"))
-    counts = _lines(df, doc, site, text).groupBy("_site", "_key").agg(F.count_distinct("_doc").alias("n_docs")).where(F.col("n_docs") >= min_documents)
-    return counts.join(sizes, "_site").where(F.col("n_docs") >= F.col("site_docs") * F.lit(min_share))
+    return _frequent(df, _lines(df, doc, site, text), doc, site, min_documents, min_share)
 
 
 def repeated_line_occurrences(
@@ -50,9 +55,9 @@ def repeated_line_occurrences(
     min_documents: int = MIN_DOCUMENTS, min_share: float = MIN_SHARE,
 ) -> DataFrame:
     """(doc, line_no) of each occurrence of a frequent line, once for repeated rows."""
-    often = small_side(frequent_lines(df, doc, site, text, min_documents, min_share).select("_site", "_key"), MAX_BROADCAST_LINES)
-    hits = _lines(df, doc, site, text).join(often, ["_site", "_key"], "left_semi")
-    return hits.select(F.col("_doc").alias(doc), F.col("_no").alias("line_no")).distinct()
+    lines = cut(_lines(df, doc, site, text))
+    often = small_side(_frequent(df, lines, doc, site, min_documents, min_share).select("_site", "_key"), MAX_BROADCAST_LINES)
+    return lines.join(often, ["_site", "_key"], "left_semi").select(F.col("_doc").alias(doc), F.col("_no").alias("line_no")).distinct()
 
 
 def without_repeated_lines(
