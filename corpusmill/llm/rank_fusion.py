@@ -1,12 +1,13 @@
 """One ranking from several differently-scaled scores (problem 6).
 
 Leximin ordering: within a question each score becomes a percentile (its rank among the hits that have the score, as a
-share of all hits of the question), a missing score counts as the lowest, each hit's percentiles are sorted ascending and the vectors compared
-lexicographically from the largest: the best worst score wins, so no range can dominate and no weak score is masked.
+share of all hits of the question), a missing score counts as the lowest, each hit's percentiles are sorted ascending and
+the vectors compared lexicographically from the largest: the best worst score wins, so no range can dominate and no weak
+score is masked.
 
-Ranks inside a group use no window over the group: the group's values are cut at percentile sketches into buckets of
-about ``ROWS_PER_BUCKET``, bucket counts give the offsets, and the window runs inside one bucket. Ties share a value
-and values are counted before the shuffle, so a question with a third of all rows spreads over all tasks.
+Questions of up to ``ROWS_AT_ONCE`` rows are ranked by windows that share one exchange. A larger question is ranked
+without a window over it: its rows are range-partitioned in their final order, ties by id, so that many tasks share it;
+counts of the partitions give the offsets. Both ways give the same ranks.
 
 Defined cases: null and NaN scores are missing; ties share a rank; repeated rows are one hit; a null question is a
 group of its own; equal vectors are ordered by id; an empty table gives an empty ranking.
@@ -17,74 +18,71 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusmill.session import cut
+from corpusmill.session import cut, small_side
 
-ROWS_PER_BUCKET = 20_000
+ROWS_AT_ONCE = 100_000
 SCORES = (("dense_distance", False), ("sparse_score", True), ("rrf_score", True))
 
 
-def _bucketed(df: DataFrame, group: list[str], value: str, rows_per_bucket: int) -> DataFrame:
-    """``df`` with _bucket, rising with ``value`` (a double) inside its group; groups below the size have one bucket."""
-    points = [i / 200 for i in range(1, 200)]
-    big = df.groupBy(*group).agg(F.count("*").alias("_n"), F.percentile_approx(value, points, 20_000).alias("_cuts"))
-    big = big.where(F.col("_n") > rows_per_bucket).withColumn("_cuts", F.array_distinct("_cuts")).drop("_n")
-    joined = df.join(big.select(*[F.col(g).alias(f"_b{i}") for i, g in enumerate(group)], "_cuts"), _same(group), "left")
-    bucket = F.when(F.col("_cuts").isNull(), 0).otherwise(F.size(F.filter("_cuts", lambda c: c < F.col(value))))
-    return joined.withColumn("_bucket", bucket).drop("_cuts", *[f"_b{i}" for i in range(len(group))])
+def _before(df: DataFrame, order: list[str], weight: Column) -> DataFrame:
+    """``df`` with _before: the sum of ``weight`` over the rows of its _g that come first in ``order`` (ascending, unique
+    inside a group), however large a group is."""
+    placed = cut(df.repartitionByRange("_g", *order).withColumn("_part", F.spark_partition_id()))
+    parts = placed.groupBy("_g", "_part").agg(F.sum(weight).alias("_sum"))
+    earlier = parts.select(F.col("_g").alias("_pg"), F.col("_part").alias("_pp"), (F.sum("_sum").over(Window.partitionBy("_g").orderBy("_part")) - F.col("_sum")).alias("_offset"))
+    inside = F.sum(weight).over(Window.partitionBy("_g", "_part").orderBy(*order)) - weight
+    joined = placed.withColumn("_inside", inside).join(earlier, F.col("_g").eqNullSafe(F.col("_pg")) & (F.col("_part") == F.col("_pp")))
+    return joined.withColumn("_before", F.col("_offset") + F.col("_inside")).drop("_pg", "_pp", "_part", "_offset", "_inside")
 
 
-def _same(group: list[str]) -> Column:
-    condition = F.lit(True)
-    for i, g in enumerate(group):
-        condition &= F.col(g).eqNullSafe(F.col(f"_b{i}"))
-    return condition
+def _vector(df: DataFrame, n: int) -> DataFrame:
+    """``df`` with _v, the percentiles as integers out of _hits (so that they compare exactly; 0: missing), ascending,
+    and their negatives to order by."""
+    df = df.withColumn("_v", F.array_sort(F.array(*[F.coalesce(F.col("_hits") - F.col(f"_r{k}") + 1, F.lit(0)) for k in range(n)])))
+    return df.withColumns({f"_o{k}": -F.col("_v")[k] for k in range(n)})
 
 
-def _offsets(df: DataFrame, group: list[str], n: Column) -> DataFrame:
-    """``df`` with _before: the rows of its group in lower buckets, and _all: the rows of its group."""
-    counts = df.groupBy(*group, "_bucket").agg(F.sum(n).alias("_size"))
-    w = Window.partitionBy(*group)  # at most 200 buckets a group
-    counts = counts.withColumn("_all", F.sum("_size").over(w)).withColumn("_before", F.sum("_size").over(w.orderBy("_bucket")) - F.col("_size"))
-    counts = counts.select(*[F.col(g).alias(f"_b{i}") for i, g in enumerate(group)], F.col("_bucket").alias("_at"), "_all", "_before")
-    return df.join(counts, _same(group) & (F.col("_bucket") == F.col("_at"))).drop("_at", *[f"_b{i}" for i in range(len(group))])
+def _ranked_at_once(own: DataFrame, n: int) -> DataFrame:
+    by = Window.partitionBy("_g")
+    ranked = own.withColumns({f"_r{k}": F.when(F.col(f"_s{k}").isNotNull(), F.rank().over(by.orderBy(F.col(f"_s{k}").desc_nulls_last()))) for k in range(n)})
+    ranked = _vector(ranked.withColumn("_hits", F.count("*").over(by)), n)
+    return ranked.withColumn("final_rank", F.row_number().over(by.orderBy(*[f"_o{k}" for k in range(n)], "_i", *[f"_s{k}" for k in range(n)])).cast("bigint"))
 
 
-def value_ranks(df: DataFrame, group: list[str], value: str, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
-    """group, value, rank, n: the 1-based rank of each distinct value (higher is better; ties share the best rank)
-    among the group's n rows whose value is there."""
-    values = df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count("*").alias("_n")).withColumn("_low", -F.col(value))
-    placed = _offsets(_bucketed(values, group, "_low", rows_per_bucket), group, F.col("_n"))
-    w = Window.partitionBy(*group, "_bucket").orderBy("_low")
-    return placed.select(*group, value, (F.col("_before") + F.sum("_n").over(w) - F.col("_n") + 1).alias("rank"), F.col("_all").alias("n"))
+def _ranked_in_parts(own: DataFrame, n: int) -> DataFrame:
+    own = cut(own)
+    out = own
+    for k in range(n):
+        values = own.where(f"_s{k} is not null").groupBy("_g", f"_s{k}").agg(F.count("*").alias("_n")).withColumn("_low", -F.col(f"_s{k}"))
+        ranks = _before(values, ["_low"], F.col("_n")).select(F.col("_g").alias("_rg"), F.col(f"_s{k}").alias("_rs"), (F.col("_before") + 1).alias(f"_r{k}"))
+        out = out.join(ranks, F.col("_g").eqNullSafe(F.col("_rg")) & (F.col(f"_s{k}") == F.col("_rs")), "left").drop("_rg", "_rs")
+    sizes = own.groupBy("_g").agg(F.count("*").alias("_hits")).withColumnRenamed("_g", "_rg")
+    out = _vector(out.join(sizes, F.col("_g").eqNullSafe(F.col("_rg"))).drop("_rg"), n)
+    order = [*[f"_o{k}" for k in range(n)], "_i", *[f"_s{k}" for k in range(n)]]
+    return _before(out, order, F.lit(1)).withColumn("final_rank", (F.col("_before") + 1).cast("bigint"))
 
 
 def leximin_ranking(
-    hits: DataFrame, group: str = "question_id", item: str = "chunk_id", scores: tuple[tuple[str, bool], ...] = SCORES, rows_per_bucket: int = ROWS_PER_BUCKET
+    hits: DataFrame, group: str = "question_id", item: str = "chunk_id", scores: tuple[tuple[str, bool], ...] = SCORES, rows_at_once: int = ROWS_AT_ONCE
 ) -> DataFrame:
     """group, item, each score's rank_<score> (null where missing), percentiles (sorted ascending) and final_rank.
 
     ``scores`` are (column, whether higher is better); a hit is one distinct (group, item, scores).
     """
     clean = lambda c, up: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double") * (1 if up else -1))
-    names = [c for c, _ in scores]
-    own = hits.select(F.col(group).alias("_g"), F.col(item).alias("_i"), *[clean(c, up).alias(f"_s{k}") for k, (c, up) in enumerate(scores)]).distinct()
-    out = own = cut(own)
-    for k in range(len(scores)):
-        ranks = value_ranks(own.select("_g", f"_s{k}"), ["_g"], f"_s{k}", rows_per_bucket)
-        ranks = ranks.select(F.col("_g").alias("_rg"), F.col(f"_s{k}").alias("_rs"), F.col("rank").alias(f"_r{k}"), F.col("n").alias(f"_n{k}"))
-        out = out.join(ranks, F.col("_g").eqNullSafe(F.col("_rg")) & (F.col(f"_s{k}") == F.col("_rs")), "left").drop("_rg", "_rs")
-    sizes = own.groupBy("_g").agg(F.count("*").alias("_all")).withColumnRenamed("_g", "_rg")
-    out = out.join(sizes, F.col("_g").eqNullSafe(F.col("_rg"))).drop("_rg").withColumnRenamed("_all", "_hits")
-    # as integers out of _hits, so that vectors compare exactly; 0: missing
-    out = out.withColumn("_v", F.array_sort(F.array(*[F.coalesce(F.col("_hits") - F.col(f"_r{k}") + 1, F.lit(0)) for k in range(len(scores))])))
-    gaps = F.size(F.filter("_v", lambda x: x == 0))
-    out = cut(out.withColumn("_gaps", gaps).withColumn("_low", -F.coalesce(F.try_element_at("_v", F.col("_gaps") + 1), F.lit(0)).cast("double")))
-    placed = _bucketed(out, ["_g", "_gaps"], "_low", rows_per_bucket).withColumn("_bucket", F.col("_gaps") * 1000 + F.col("_bucket"))
-    placed = _offsets(placed, ["_g"], F.lit(1))
-    w = Window.partitionBy("_g", "_bucket").orderBy(*[F.col("_v")[k].desc() for k in range(len(scores))], "_i", *[f"_s{k}" for k in range(len(scores))])
-    place = (F.col("_before") + F.row_number().over(w)).cast("bigint")
+    own = hits.select(F.col(group).alias("_g"), F.col(item).alias("_i"), *[clean(c, up).alias(f"_s{k}") for k, (c, up) in enumerate(scores)])
+    n = len(scores)
+    large = cut(own.groupBy("_g").agg(F.count("*").alias("_n")).where(F.col("_n") > rows_at_once).select(F.col("_g").alias("_big")))
+    if large.isEmpty():
+        ranked = _ranked_at_once(own.distinct(), n)
+    else:
+        big, same = small_side(large), F.col("_g").eqNullSafe(F.col("_big"))
+        shown = ["_g", "_i", *[f"_r{k}" for k in range(n)], "_v", "_hits", "final_rank"]
+        few, many = own.join(big, same, "left_anti").distinct(), own.join(big, same, "left_semi").distinct()
+        ranked = _ranked_at_once(few, n).select(shown).unionByName(_ranked_in_parts(many, n).select(shown))
     percentiles = F.transform("_v", lambda x: x / F.col("_hits"))
-    return placed.select(F.col("_g").alias(group), F.col("_i").alias(item), *[F.col(f"_r{k}").cast("bigint").alias(f"rank_{c}") for k, c in enumerate(names)], percentiles.alias("percentiles"), place.alias("final_rank"))
+    ranks = [F.col(f"_r{k}").cast("bigint").alias(f"rank_{c}") for k, (c, _) in enumerate(scores)]
+    return ranked.select(F.col("_g").alias(group), F.col("_i").alias(item), *ranks, percentiles.alias("percentiles"), "final_rank")
 
 
 def undisputed_hits(hits: DataFrame, best: int = 3, rival: int = 6) -> DataFrame:

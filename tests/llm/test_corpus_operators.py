@@ -30,8 +30,8 @@ def test_leximin_against_brute_force(spark):
             rows.append((q, c, rng.choice([None, float("nan"), *([round(rng.random(), 1)] * 6)]), rng.choice([None, rng.random() * 10**q]), rng.choice([None, round(rng.random(), 2)]), "x"))
     rows += rows[:30] + [(None, 1, 0.5, 1.0, 1.0, "x")]
     df = spark.createDataFrame(rows, "question_id long, chunk_id long, dense_distance double, sparse_score double, rrf_score double, final_rank string")
-    for size in (20_000, 4):  # one bucket, and many
-        got = rank_fusion.leximin_ranking(df, rows_per_bucket=size).collect()
+    for size in (100_000, 45, 4):  # at once, one question in parts, all in parts
+        got = rank_fusion.leximin_ranking(df, rows_at_once=size).collect()
         assert len(got) == 241
         for q in range(6):
             hits = list(dict.fromkeys(tuple(r[1:5]) for r in rows if r[0] == q))
