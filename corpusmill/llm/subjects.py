@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.functions.arrow import map_columns
-from corpusmill.session import cut, spread
+from corpusmill.session import cut
 
 MIN_SCORE = 1.6
 MIN_SHARE = 0.45
@@ -68,7 +68,8 @@ def words_of(text: str) -> list[str]:
 
 
 def sentences_of(text: str | None) -> list[list[str]]:
-    flat = unicodedata.normalize("NFKC", text or "")
+    flat = text or ""
+    flat = flat if flat.isascii() else unicodedata.normalize("NFKC", flat)
     return [w for w in map(words_of, _SENTENCE.split(flat)) if w]
 
 
@@ -220,25 +221,21 @@ def document_subjects(df: DataFrame, labels: DataFrame | None = None, doc: str =
 
     def match(docs: list, texts: list) -> tuple:
         table = _table(listing, tuple(learned))
-        found = [table.in_text(t) for t in texts]
-        return docs, [n for n, _ in found], [s for _, s in found]
-
-    own = df.select(F.col(doc).alias("_doc"), F.col(text).alias("_text")).where("_doc is not null and trim(_text) <> ''")
-    kind = {f.name: f.dataType.simpleString() for f in own.schema}["_doc"]
-    matched = cut(map_columns(spread(own, df), match, f"_doc {kind}, _total int, _sentences array<array<int>>"))
-
-    def vote(docs: list, totals: list, sentences: list) -> tuple:
-        table, counts = _table(listing, tuple(learned)), defaultdict(lambda: [0, 0])
-        for found in sentences:
+        out: tuple = ([], [], [], [])
+        for t in texts:
+            total, found = table.in_text(t)
             scores = scores_of(table, {}, found)
             agreed = {s for s, x in scores.items() if x >= 0.5 * max(scores.values())}
-            for i in {i for f in found for i in f}:
-                counts[i][0] += 1
-                counts[i][1] += table.subject[i] in agreed
-        return list(counts), [n for n, _ in counts.values()], [h for _, h in counts.values()]
+            held = {i for f in found for i in f}
+            for column, value in zip(out, (total, found, sorted(held), sorted(i for i in held if table.subject[i] in agreed))):
+                column.append(value)
+        return (docs, *out)
 
-    votes = map_columns(matched.where("size(_sentences) > 0"), vote, "term int, n bigint, hits bigint").groupBy("term").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits"))
-    counts = {r.term: (r.n, r.hits) for r in votes.collect()}  # one row a term
+    own = df.select(F.col(doc).alias("_doc"), F.col(text).alias("_text")).where("_doc is not null and trim(_text) <> ''")
+    kind = {f.name: f.dataType.simpleString() for f in own.schema}["_doc"]
+    matched = cut(map_columns(own, match, f"_doc {kind}, _total int, _sentences array<array<int>>, _held array<int>, _agreed array<int>"))
+    tally = lambda c: matched.select(F.explode(c).alias("term")).groupBy("term").agg(F.count("*").alias(c))
+    counts = {r.term: (r["_held"], r["_agreed"] or 0) for r in tally("_held").join(tally("_agreed"), "term", "left").collect()}  # one row a term
     consistency, rare = consistencies(counts), rarities({i: n for i, (n, _) in counts.items()}, matched.count())
     rarity = {i: x * consistency[i] for i, x in rare.items()}
     table = Terms(listing, learned)
@@ -254,7 +251,7 @@ def document_subjects(df: DataFrame, labels: DataFrame | None = None, doc: str =
         rows = [(d, s, x) for d, n, found in zip(docs, totals, sentences) for s, x in assigned(scores_of(table, rarity, found), n, least, share).items()]
         return [r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows]
 
-    scored = map_columns(matched.where("size(_sentences) > 0"), score, f"_doc {kind}, subject string, score double")
+    scored = map_columns(matched.where("size(_sentences) > 0").select("_doc", "_total", "_sentences"), score, f"_doc {kind}, subject string, score double")
     return scored.groupBy(F.col("_doc").alias(doc), "subject").agg(F.max("score").alias("score"))
 
 
