@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
+from collections import deque
+from collections.abc import Callable
 from itertools import takewhile
 
 from pyspark.sql import DataFrame
@@ -18,23 +20,30 @@ from pyspark.sql import functions as F
 from corpusmill.config import DEFAULTS, Settings
 from corpusmill.functions.arrow import map_columns
 
+#: The spans (start, end) of a text's tokens, in order. A subword tokenizer gives the offsets that it reports.
+Tokenizer = Callable[[str], list[tuple[int, int]]]
 _TOKEN = re.compile(r"\w+|[^\w\s]")
 _PARAGRAPH = re.compile(r"\n\s*\n")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\s*\n\s*")
 JOINER, SEPARATOR = "\n\n", " > "
 
 
-def count_tokens(text: str | None) -> int:
+def word_spans(text: str) -> list[tuple[int, int]]:
     """Runs of word characters and single marks."""
-    return len(_TOKEN.findall(text or ""))
+    return [m.span() for m in _TOKEN.finditer(text)]
+
+
+def count_tokens(text: str | None, tokenizer: Tokenizer | None = None) -> int:
+    """Tokens of a text, by itself."""
+    return len((tokenizer or word_spans)(text)) if text else 0
 
 
 class _Ruler:
     """Tokens of slices of one text."""
 
-    def __init__(self, text: str) -> None:
+    def __init__(self, text: str, tokenizer: Tokenizer | None = None) -> None:
         self.text = text
-        self.spans = [m.span() for m in _TOKEN.finditer(text)]
+        self.spans = [(a, b) for a, b in (tokenizer or word_spans)(text) if a < b]
         self.starts = [a for a, _ in self.spans]
         self.ends = [b for _, b in self.spans]
 
@@ -100,7 +109,7 @@ def _shared(paths: list[str]) -> str:
     return SEPARATOR.join(x[0] for x in takewhile(lambda x: len(set(x)) == 1, levels))
 
 
-def chunk_document(blocks: list[tuple[str, str, str | None, int]], settings: Settings = DEFAULTS) -> list[tuple]:
+def chunk_document(blocks: list[tuple[str, str, str | None, int]], settings: Settings = DEFAULTS, tokenizer: Tokenizer | None = None) -> list[tuple]:
     """(text, heading_path, char_start, char_end, url_anchor, token_count) of each chunk of a document's blocks
     (text, heading_path, anchor_id, char_start), in reading order."""
     limit, small = settings.target_chunk_tokens, settings.small_section_tokens
@@ -112,21 +121,31 @@ def chunk_document(blocks: list[tuple[str, str, str | None, int]], settings: Set
         if groups:
             group, joined, tokens = groups[-1]
             before = group[-1]
-            own = count_tokens(text)
+            own = count_tokens(text, tokenizer)
             adjoins = start == before[3] + len(before[0]) + len(JOINER)
             if adjoins and _kin(before[1] or "", path or "") and min(tokens, own) < small and tokens + own <= limit:
                 groups[-1] = [[*group, block], joined + JOINER + text, tokens + own]
                 continue
-        groups.append([[block], text, count_tokens(text)])
+        groups.append([[block], text, count_tokens(text, tokenizer)])
     out = []
     for group, text, _ in groups:
         base, path, anchor = group[0][3], _shared([b[1] or "" for b in group]), next((b[2] for b in group if b[2]), None)
-        ruler = _Ruler(text)
-        out += [(text[a:b], path, base + a, base + b, anchor, count_tokens(text[a:b])) for a, b in ruler.packed(limit, settings.overlap_tokens)]
+        ruler, todo = _Ruler(text, tokenizer), deque()
+        todo.extend(ruler.packed(limit, settings.overlap_tokens))
+        while todo:  # a slice's own tokens may be more than its part of the whole text's: then it is cut again
+            a, b = todo.popleft()
+            n = count_tokens(text[a:b], tokenizer)
+            if n > limit and b - a > 1:
+                inner = _Ruler(text[a:b], tokenizer)
+                parts = inner.windows(0, b - a, max(1, limit * limit // n))
+                parts = parts if len(parts) > 1 else [(0, (b - a) // 2), ((b - a) // 2, b - a)]
+                todo.extendleft((a + x, a + y) for x, y in reversed(parts))
+                continue
+            out.append((text[a:b], path, base + a, base + b, anchor, n))
     return out
 
 
-def chunk_blocks(blocks: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
+def chunk_blocks(blocks: DataFrame, settings: Settings = DEFAULTS, tokenizer: Tokenizer | None = None) -> DataFrame:
     """Chunks of all documents from (document_id, block_no, text, heading_path, anchor_id, char_start) rows; a
     document's blocks meet in one task, as the packing is sequential."""
     own = blocks.dropDuplicates(["document_id", "block_no"]).where("document_id is not null")
@@ -135,7 +154,7 @@ def chunk_blocks(blocks: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     def run(ids: list, groups: list) -> tuple:
         rows = []
         for d, g in zip(ids, groups):
-            rows += [(d, i, *c) for i, c in enumerate(chunk_document([(b["text"], b["heading_path"] or "", b["anchor_id"], b["char_start"]) for b in g], settings))]
+            rows += [(d, i, *c) for i, c in enumerate(chunk_document([(b["text"], b["heading_path"] or "", b["anchor_id"], b["char_start"]) for b in g], settings, tokenizer))]
         return tuple(map(list, zip(*rows))) if rows else tuple([] for _ in range(8))
 
     return map_columns(grouped, run, "document_id bigint, ordinal int, text string, heading_path string, char_start int, char_end int, url_anchor string, token_count int")

@@ -29,7 +29,7 @@ def hashing_encoder(texts: list[str], dimensions: int = 64) -> list[list[float]]
     return (out / np.where(size > 0, size, 1)).astype(np.float32).tolist()
 
 
-def batches(texts: list[str], size: int) -> Iterator[list[str]]:
+def batches(texts: list, size: int) -> Iterator[list]:
     for i in range(0, len(texts), size):
         yield texts[i : i + size]
 
@@ -52,19 +52,34 @@ def encode_texts(texts: list[str], encoder: Encoder = hashing_encoder, batch: in
     return out
 
 
-def embed(df: DataFrame, text: str = "text", out: str = "embedding", encoder: Encoder = hashing_encoder, batch: int = DEFAULTS.encode_batch) -> DataFrame:
-    """``df`` with the vector of ``text`` (null for null)."""
+def embed(df: DataFrame, text: str = "text", out: str = "embedding", encoder: Encoder = hashing_encoder, batch: int = DEFAULTS.encode_batch, error: str | None = None) -> DataFrame:
+    """``df`` with the vector of ``text`` (null for null); with ``error``, a column of that name says why a row has none,
+    and a text that the encoder can't take fails neither the others nor the job."""
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema)
     at = df.columns.index(text)
 
     def run(*cols: list) -> tuple:
         there = [i for i, t in enumerate(cols[at]) if t is not None]
         vectors: list = [None] * len(cols[at])
-        for i, v in zip(there, encode_texts([cols[at][i] for i in there], encoder, batch)):
-            vectors[i] = v
-        return (*cols, vectors)
-
-    return map_columns(df, run, f"{kinds}, {out} array<float>")
+        errors: list = [None] * len(cols[at])
+        for part in batches(there, batch):
+            try:
+                got = encode_texts([cols[at][i] for i in part], encoder, batch)
+            except Exception:
+                if error is None:
+                    raise
+                got = []
+                for i in part:
+                    try:
+                        got += encode_texts([cols[at][i]], encoder, batch, retries=0)
+                    except Exception as x:
+                        got.append(None)
+                        errors[i] = f"{type(x).__name__}: {x}"
+            for i, v in zip(part, got):
+                vectors[i] = v
+        return (*cols, vectors, errors) if error else (*cols, vectors)
+
+    return map_columns(df, run, f"{kinds}, {out} array<float>" + (f", {error} string" if error else ""))
 
 
 def oversize(df: DataFrame, tokens: str = "token_count", most: int = DEFAULTS.max_chunk_tokens) -> DataFrame:

@@ -23,6 +23,7 @@ once; no embed row: everything that counts is changed; empty tables give an empt
 
 from __future__ import annotations
 
+import dataclasses
 import functools
 import json
 import math
@@ -207,10 +208,10 @@ class MerkleStore:
         kept = self._commit()[1]
         return kept["version"] if kept else None
 
-    def output(self) -> DataFrame | None:
+    def output(self, name: str = "output") -> DataFrame | None:
         """The output that was published last."""
         version = self.version()
-        return self.spark.read.parquet(f"{self.folder}/{version}/output") if version else None
+        return self.spark.read.parquet(f"{self.folder}/{version}/{name}") if version else None
 
     def changes(self, df: DataFrame, key: str, digest: str) -> Changes:
         """The changes against the commit in force; of its records only those of differing leaves are read."""
@@ -246,11 +247,19 @@ class MerkleStore:
     def _tree(records: DataFrame) -> DataFrame:
         return records.groupBy("leaf").agg(F.bit_xor(F.xxhash64("key", "digest")).alias("digest"))
 
-    def publish(self, changes: Changes, output: DataFrame) -> str:
-        """Writes ``output`` and the changed leaves of the snapshot, then puts them in force together."""
+    def publish(self, changes: Changes, output: DataFrame | dict[str, DataFrame], failed: DataFrame | None = None) -> str:
+        """Writes ``output`` (or several by name) and the changed leaves of the snapshot, then puts them in force together.
+
+        ``failed``: keys that couldn't be processed; they stay changes for the next run."""
         version = f"v-{uuid.uuid4().hex}"
         at, last = f"{self.folder}/{version}", self._commit()[1]
-        output.write.parquet(f"{at}/output")
+        for name, frame in (output if isinstance(output, dict) else {"output": output}).items():
+            frame.write.parquet(f"{at}/{name}")
+        if failed is not None:
+            marked = failed.select(F.col("key").alias("_failed")).distinct()
+            joined = changes.records.join(marked, F.col("key") == F.col("_failed"), "left")
+            undone = joined.withColumn("digest", F.when(F.col("_failed").isNotNull(), F.concat(F.lit("failed:"), "digest")).otherwise(F.col("digest"))).drop("_failed")
+            changes = dataclasses.replace(changes, records=undone)
         records = changes.records if changes.whole else changes.records.join(changes.leaves, "leaf", "left_semi")
         records.repartitionByRange("leaf").sortWithinPartitions("leaf").write.parquet(f"{at}/records")
         tree = self._tree(self.spark.read.parquet(f"{at}/records")).withColumn("version", F.lit(version))

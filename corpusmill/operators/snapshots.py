@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions.urls import is_persistable
+from corpusmill.session import cut
 
 
 def document_id_of(url: Column) -> Column:
@@ -42,11 +43,18 @@ def upsert_documents(stored: DataFrame, fetched: DataFrame) -> DataFrame:
 
 def replace_chunks(stored: DataFrame, fresh: DataFrame, changed: DataFrame) -> DataFrame:
     """All chunks after the documents of ``changed`` (document_id) were chunked again into ``fresh``: same ordinals keep
-    their chunk_id, ordinals that are no more are gone, documents chunked to nothing keep nothing."""
+    their chunk_id, ordinals that are no more are gone, documents chunked to nothing keep nothing.
+
+    New ids: 128 bits of document and ordinal where ids are strings, else numbers above all that are stored."""
     untouched = stored.join(changed.select("document_id").distinct(), "document_id", "left_anti")
     ids = stored.groupBy("document_id", "ordinal").agg(F.min("chunk_id").alias("_id"))
-    made = F.xxhash64("document_id", "ordinal")
     new = fresh.join(changed.select("document_id").distinct(), "document_id", "left_semi").join(ids, ["document_id", "ordinal"], "left")
+    if dict(stored.dtypes)["chunk_id"] == "string":
+        made = F.md5(F.concat_ws("\x1f", "document_id", F.col("ordinal").cast("string")))
+    else:
+        last = stored.agg(F.max("chunk_id")).first()[0]
+        new = cut(new.repartitionByRange("document_id", "ordinal").sortWithinPartitions("document_id", "ordinal"))
+        made = F.lit(0 if last is None else last) + 1 + F.monotonically_increasing_id()
     new = new.withColumn("chunk_id", F.coalesce("_id", made)).drop("_id")
     return untouched.unionByName(new.select(*[c for c in untouched.columns if c in new.columns]), allowMissingColumns=True)
 

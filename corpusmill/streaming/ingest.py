@@ -3,29 +3,39 @@
 from __future__ import annotations
 
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from corpusmill.operators.encode import Encoder, hashing_encoder
 from corpusmill.plans.pipeline import ingest
 
+PARTS = 256
+
 
 def ingest_stream(pages: DataFrame, folder: str, checkpoint: str, encoder: Encoder = hashing_encoder) -> DataStreamWriter:
     """Writer that ingests each micro-batch of ``pages`` once: a batch's chunks and hashes are written under its number,
-    so a batch that is repeated after a failure replaces itself."""
+    so a batch that is repeated after a failure replaces itself. Of the history only the parts are read that hold urls of
+    the batch (``PARTS`` by hash of the url)."""
+
+    def part(url: str) -> Column:
+        return F.pmod(F.xxhash64(url), F.lit(PARTS)).cast("int")
 
     def one(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
+        batch = batch.persist()
+        wanted = [r[0] for r in batch.select(part("url").alias("part")).distinct().collect()]  # at most PARTS numbers
         try:
-            known = spark.read.parquet(f"{folder}/documents").where(F.col("batch") < number).groupBy("url").agg(F.max_by("content_hash", "batch").alias("embedded_hash"))
+            history = spark.read.parquet(f"{folder}/documents").where((F.col("batch") < number) & F.col("part").isin(wanted)).where("state in ('ok', 'unchanged', 'quality_rejected')")
+            known = history.groupBy("url").agg(F.max_by(F.when(F.col("state") != "quality_rejected", F.col("content_hash")), "batch").alias("embedded_hash"))
         except Exception as x:
             if "PATH_NOT_FOUND" not in str(x):
                 raise
             known = None
         done = ingest(batch, known, encoder)
-        done.documents.where("state in ('ok', 'unchanged')").write.mode("overwrite").parquet(f"{folder}/documents/batch={number}")
+        done.documents.withColumn("part", part("url")).write.mode("overwrite").partitionBy("part").parquet(f"{folder}/documents/batch={number}")
         done.chunks.write.mode("overwrite").parquet(f"{folder}/chunks/batch={number}")
+        batch.unpersist()
 
     return pages.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint)
 
@@ -42,5 +52,3 @@ def weekly_counts(questions: DataFrame, topic: str = "topic_label", at: str = "a
     timed = questions.withColumn("_at", F.col(at).cast("timestamp")).withWatermark("_at", late)
     out = timed.groupBy(F.window("_at", "7 days", startTime="4 days").alias("w"), F.coalesce(topic, F.lit("unknown")).alias("topic")).agg(F.count("*").alias("size"))
     return out.select(F.col("w.start").cast("date").alias("week_start"), "topic", "size")
-
-

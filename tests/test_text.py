@@ -170,3 +170,82 @@ def test_ingest_is_idempotent(spark):
     assert {r.state: r.n_documents for r in again.summary.collect()}["unchanged"] == 1 and again.chunks.count() == 0
     assert ingest(pages, first.documents.selectExpr("url", "content_hash as embedded_hash"), force=True).chunks.count() == 1
     assert summary_text(first.summary).splitlines() == ["Ingest summary", "pages: 3", "embedded: 1", "unchanged: 0", "extract skipped: 1", "quality rejected: 1", "errors: 0"]
+
+
+def _crawl(spark, rows):
+    return spark.createDataFrame(rows, "url string, content_hash string, content_type string, body binary, fetched_at timestamp_ntz, fetch_id long")
+
+
+def test_last_fetch_of_a_url_counts(spark):
+    import datetime as dt
+
+    page = lambda w: b"<main><p>" + (w + " ").encode() * 120 + b"</p></main>"
+    pages = _crawl(spark, [("u", "h1", "text/html", page("old"), dt.datetime(2025, 1, 1), 1), ("u", "h2", "text/html", page("new"), dt.datetime(2025, 1, 2), 2), ("u", "h2", "text/html", page("new"), dt.datetime(2025, 1, 2), 2)])
+    got = ingest(pages)
+    assert [(r.url, r.content_hash, r.state) for r in got.documents.collect()] == [("u", "h2", "ok")]
+    assert [(r.ordinal, r.content_hash, r.text[:3]) for r in got.chunks.collect()] == [(0, "h2", "new")]
+
+
+def test_one_failure_stays_alone(spark):
+    def encoder(texts):
+        if any("bad" in t for t in texts):
+            raise ValueError("can't")
+        return [[1.0]] * len(texts)
+
+    import datetime as dt
+
+    from corpusmill.config import Settings
+
+    def tokenizer(text):
+        if "worse" in text:
+            raise RuntimeError("no tokens")
+        return chunking.word_spans(text)
+
+    pages = _crawl(spark, [(w, w, "text/html", b"<main><p>" + (w + " ").encode() * 120 + b"</p></main>", dt.datetime(2025, 1, 1), 1) for w in ("good", "bad", "worse")])
+    got = ingest(pages, encoder=encoder, tokenizer=tokenizer, settings=Settings(encode_retries=0, encode_backoff_s=0))
+    assert {r.url: (r.state, r.error) for r in got.documents.collect()} == {"good": ("ok", None), "bad": ("error", "ValueError: can't"), "worse": ("error", "RuntimeError: no tokens")}
+    assert {r.url for r in got.chunks.collect()} == {"good"}
+
+
+def test_run_ingest_end_to_end(spark, tmp_path):
+    import datetime as dt
+
+    from corpusmill.plans.pipeline import run_ingest
+
+    page = lambda w, n=120: b"<title>T</title><main><p>" + (w + " ").encode() * n + b"</p></main>"
+    day = lambda d: dt.datetime(2025, 1, d)
+    first = [("u", "A1", "text/html", page("one", 500), day(1), 1), ("v", "B1", "text/html", page("two"), day(1), 2), ("w", "C1", "text/html", page("short", 3), day(1), 3), ("x", "D1", "image/png", b"x", day(1), 4)]
+    got = run_ingest(spark, str(tmp_path / "s"), _crawl(spark, first))
+    assert {r.state: r.n_documents for r in got.summary.collect()} == {"ok": 2, "quality_rejected": 1, "extract_skipped": 1}
+    documents = {r.url: r for r in got.documents.collect()}
+    assert documents["u"].embedded_hash == "a1" and documents["u"].title == "T" and documents["u"].is_active and not documents["w"].is_active and documents["w"].embedded_hash is None
+    ids = {(r.document_id, r.ordinal): r.chunk_id for r in got.chunks.collect()}
+    assert len(ids) == 3 and len(set(ids.values())) == 3
+    again = run_ingest(spark, str(tmp_path / "s"), _crawl(spark, first))
+    assert {r.state: r.n_documents for r in again.summary.collect()} == {"unchanged": 4}
+    assert {(r.document_id, r.ordinal): r.chunk_id for r in again.chunks.collect()} == ids and {r.url: r for r in again.documents.collect()} == documents
+    then = [*first, ("u", "A2", "text/html", page("three"), day(2), 5), ("v", "B2", "text/html", page("tiny", 2), day(2), 6)]
+
+    def broken(texts):
+        raise ValueError("no")
+
+    from corpusmill.config import Settings
+
+    failed = run_ingest(spark, str(tmp_path / "s"), _crawl(spark, then), encoder=broken, settings=Settings(encode_retries=0, encode_backoff_s=0))
+    assert {r.state: r.n_documents for r in failed.summary.collect()} == {"unchanged": 2, "error": 1, "quality_rejected": 1}
+    assert {r.url: r.embedded_hash for r in failed.documents.collect()}["u"] == "a1" and failed.chunks.count() == 2  # u keeps what it had, v is gone
+    last = run_ingest(spark, str(tmp_path / "s"), _crawl(spark, then))
+    assert {r.state: r.n_documents for r in last.summary.collect()} == {"unchanged": 3, "ok": 1}
+    left = [(r.ordinal, r.text[:5], r.chunk_id) for r in last.chunks.collect()]
+    assert left == [(0, "three", ids[documents["u"].document_id, 0])] and not {r.url: r.is_active for r in last.documents.collect()}["v"]
+
+
+def test_chunks_by_a_subword_tokenizer():
+    def pairs(text):  # two characters a token, spaces too: slices may tokenise to more than their share
+        return [(i, min(i + 2, len(text))) for i in range(0, len(text), 2)]
+
+    text = " ".join(f"word{i}" for i in range(900)) + ". " + "x" * 5000
+    chunks = chunking.chunk_document(_blocks((text, "A")), tokenizer=pairs)
+    assert all(c[5] == len(pairs(c[0])) <= 350 for c in chunks) and all(text[c[2] : c[3]] == c[0] for c in chunks)
+    covered = set().union(*(range(c[2], c[3]) for c in chunks))
+    assert all(i in covered for i, ch in enumerate(text) if ch != " ")
