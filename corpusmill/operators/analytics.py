@@ -8,6 +8,8 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusmill.session import cut
+
 #: Patterns of facts. (Fixed values.)
 FACTS = (
     ("date", r"\b\d{4}-\d{2}-\d{2}\b"),
@@ -56,9 +58,10 @@ def conflicts(facts: DataFrame, key: list[str], value: str, source: str) -> Data
     """key, n_values, n_sources, values of facts that have two values or more in different sources.
 
     Values are counted before their list is built, so a fact stated by a third of all sources is one row a value."""
-    by_value = facts.where(F.col(value).isNotNull()).groupBy(*key, value).agg(F.min(source).alias("_first"), F.max(source).alias("_last"))
-    grouped = by_value.groupBy(*key).agg(F.count("*").alias("n_values"), F.min("_first").alias("_low"), F.max("_last").alias("_high"), F.array_sort(F.collect_list(value)).alias("values"))
-    return grouped.where("n_values > 1 and _low <> _high").drop("_low", "_high")
+    stated = facts.where(F.col(value).isNotNull())
+    values = stated.groupBy(*key, value).agg(F.count("*").alias("_n")).groupBy(*key).agg(F.count("*").alias("n_values"), F.array_sort(F.collect_list(value)).alias("values"))
+    sources = stated.groupBy(*key, source).agg(F.count("*").alias("_n")).groupBy(*key).agg(F.count("*").alias("n_sources"))
+    return values.where("n_values > 1").join(sources.where("n_sources > 1"), key).select(*key, "n_values", "n_sources", "values")
 
 
 def fact_candidates(df: DataFrame, document: str, text: str) -> DataFrame:
@@ -108,7 +111,7 @@ def rate_limit_windows(events: DataFrame, user: str = "user_id", at: str = "ts",
 
 def question_clusters(vectors: DataFrame, key: str, vector: str, counts: tuple[int, ...] = (2, 4, 6, 8, 10), seed: int = 1) -> DataFrame:
     """key, cluster by k-means, the number of clusters chosen by silhouette."""
-    own = vectors.where(F.col(vector).isNotNull()).select(F.col(key).alias("_key"), array_to_vector(F.transform(vector, lambda x: x.cast("double"))).alias("features")).cache()
+    own = cut(vectors.where(F.col(vector).isNotNull()).select(F.col(key).alias("_key"), array_to_vector(F.transform(vector, lambda x: x.cast("double"))).alias("features")))
     best = None
     for k in counts:
         fitted = KMeans(k=k, seed=seed).fit(own).transform(own)

@@ -5,12 +5,13 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions import redaction, urls
 from corpusmill.operators import analytics, chunking, encode, extract, links, quality, snapshots
-from corpusmill.plans.pipeline import ingest
+from corpusmill.plans.pipeline import ingest, run_ingest
+from corpusmill.session import cut, scratch
 from corpusmill.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -101,27 +102,39 @@ def crawl_budget(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _links(spark: SparkSession, folder: str) -> DataFrame:
-    pages = table(spark, folder, "crawl_results").where("body is not null").dropDuplicates(["fetch_id"])
+    pages = table(spark, folder, "crawl_results").where("body is not null").groupBy("fetch_id").agg(F.max_by(F.struct("url", "final_url", "host", "content_type", "body"), F.xxhash64("url", "final_url", "content_type", "body")).alias("p")).select("fetch_id", "p.*")
     pages = pages.withColumn("base", F.coalesce("final_url", "url"))
     found = links.extract_links(pages, HOSTS, base="base")
     return found.join(pages.select("fetch_id", F.col("url").alias("source_url"), F.col("host").alias("source_host")), "fetch_id")
 
 
-@query()
+_LINKS_SQL = f"""
+WITH p AS (SELECT DISTINCT ON (fetch_id) fetch_id, url, host, coalesce(final_url, url) AS base, replace(CAST(body AS VARCHAR), '\\x22', '"') AS page FROM crawl_results WHERE body IS NOT NULL AND contains(lower(coalesce(content_type, 'text/html')), 'text/html')),
+h AS (SELECT fetch_id, url, host, base, unnest(regexp_extract_all(page, '<a [^>]*href="([^"]*)"', 1)) AS href, generate_subscripts(regexp_extract_all(page, '<a [^>]*href="([^"]*)"', 1), 1) - 1 AS position FROM p),
+a AS (SELECT fetch_id, url AS source_url, host AS source_host, position, regexp_extract(base, '^(https?://[^/?#]*)', 1) || href AS u FROM h WHERE starts_with(href, '/') AND NOT starts_with(href, '//')),
+n AS (SELECT fetch_id, source_url, source_host, position, {_NORMAL} AS link FROM a),
+l AS (SELECT fetch_id, source_url, source_host, link, min(position) AS position FROM (SELECT *, link AS u FROM n WHERE link IS NOT NULL) WHERE NOT ({_DENIED}) GROUP BY ALL)"""
+
+
+@query(_LINKS_SQL + " SELECT fetch_id, CAST(position AS INTEGER) AS position, link FROM l")
 def extract_links(spark: SparkSession, folder: str) -> DataFrame:
     return _links(spark, folder).select("fetch_id", "position", "link")
 
 
-@query()
+@query(_LINKS_SQL + " SELECT source_host, regexp_extract(link, '^https://([^/:?#]*)', 1) AS target_host, count(*) AS n_links FROM l GROUP BY ALL")
 def link_host_graph(spark: SparkSession, folder: str) -> DataFrame:
     return links.host_graph(_links(spark, folder))
 
 
-@query()
+@query(_LINKS_SQL.replace("WITH p AS", "WITH RECURSIVE p AS") + f""",
+g AS (SELECT DISTINCT source, link FROM (SELECT {_NORMAL} AS source, link FROM (SELECT source_url AS u, link FROM l)) WHERE source IS NOT NULL),
+s AS (SELECT DISTINCT {_NORMAL} AS url FROM (SELECT url AS u FROM extracted_documents)),
+r AS (SELECT url, 0 AS depth FROM s WHERE url IS NOT NULL UNION SELECT g.link, r.depth + 1 FROM r JOIN g ON g.source = r.url WHERE r.depth < 4)
+SELECT url, min(depth) AS depth FROM r GROUP BY url""")
 def crawl_frontier(spark: SparkSession, folder: str) -> DataFrame:
     """Every page reached from the documents' urls, with its depth. Seeds and sources are canonical as links are, so they
     meet; hosts that aren't allowed are never entered. The page budget has its own query."""
-    found = _links(spark, folder).select(urls.normalize_url(F.col("source_url"), HOSTS).alias("source_url"), "link").where("source_url is not null")
+    found = cut(_links(spark, folder).select(urls.normalize_url(F.col("source_url"), HOSTS).alias("source_url"), "link").where("source_url is not null").distinct())
     seeds = table(spark, folder, "extracted_documents").select(urls.normalize_url(F.col("url"), HOSTS).alias("url"))
     return links.crawl_frontier(seeds, found, max_pages=None)
 
@@ -191,11 +204,38 @@ def excess_ordinals(spark: SparkSession, folder: str) -> DataFrame:
     return snapshots.excess_ordinals(table(spark, folder, "chunks"), sizes)
 
 
+@query("SELECT DISTINCT document_id, 0 AS n_mismatch, 0 AS n_oversize, 0 AS n_gaps FROM extract_blocks WHERE document_id IS NOT NULL AND regexp_matches(text, '\\S')")
+def chunk_invariants(spark: SparkSession, folder: str) -> DataFrame:
+    """By document: chunks that aren't the slice of the stored text that they name, chunks over the limit, and gaps between
+    chunks that hold text. The SQL says that there are none, for each document with text in its blocks."""
+    texts = table(spark, folder, "extracted_documents").select("document_id", "full_text").distinct()
+    chunks = chunking.chunk_blocks(table(spark, folder, "extract_blocks")).join(texts, "document_id")
+    slice_ = lambda a, b: F.substring(F.col("full_text"), a + 1, b - a)
+    w = Window.partitionBy("document_id").orderBy("char_start", "char_end")
+    before = F.coalesce(F.max("char_end").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    marked = chunks.withColumn("_gap", slice_(before, F.col("char_start")))
+    number = lambda c: F.count_if(c).cast("int")
+    return marked.groupBy("document_id").agg(
+        number(~slice_(F.col("char_start"), F.col("char_end")).eqNullSafe(F.col("text"))).alias("n_mismatch"), number(F.col("token_count") > 350).alias("n_oversize"), number(F.col("_gap").rlike(r"(?U)\S")).alias("n_gaps"))
+
+
 @query()
 def chunk_documents(spark: SparkSession, folder: str) -> DataFrame:
     return chunking.chunk_blocks(table(spark, folder, "extract_blocks"))
 
 
+@query("SELECT 0 AS n_moved_ids, 0 AS n_repeated_ids, 0 AS n_repeated_keys, count(DISTINCT (document_id, ordinal)) FILTER (document_id NOT IN (SELECT document_id FROM extract_blocks WHERE document_id IS NOT NULL)) AS n_untouched FROM chunks")
+def replaced_invariants(spark: SparkSession, folder: str) -> DataFrame:
+    """After the replacement: ids that a stored key lost, ids and keys that stand there twice, and the chunks of documents that weren't touched."""
+    stored, after = table(spark, folder, "chunks"), cut(replace_chunks(spark, folder).select("chunk_id", "document_id", "ordinal"))
+    ids = stored.groupBy("document_id", "ordinal").agg(F.min("chunk_id").alias("_old"))
+    moved = after.join(ids, ["document_id", "ordinal"]).where("chunk_id <> _old").agg(F.count("*").cast("int").alias("n_moved_ids"))
+    twice = lambda c, name: after.groupBy(*c).count().agg(F.count_if(F.col("count") > 1).cast("int").alias(name))
+    touched = table(spark, folder, "extract_blocks").select("document_id").distinct()
+    untouched = after.join(touched, "document_id", "left_anti").agg(F.count("*").alias("n_untouched"))
+    return moved.join(twice(["chunk_id"], "n_repeated_ids"), F.lit(True)).join(twice(["document_id", "ordinal"], "n_repeated_keys"), F.lit(True)).join(untouched, F.lit(True))  # one row each
+
+
 @query()
 def replace_chunks(spark: SparkSession, folder: str) -> DataFrame:
     """The chunk snapshot after every document with blocks was chunked again."""
@@ -203,6 +243,14 @@ def replace_chunks(spark: SparkSession, folder: str) -> DataFrame:
     return snapshots.replace_chunks(stored, chunking.chunk_blocks(blocks), blocks)
 
 
+@query("SELECT DISTINCT chunk_id, CAST(CASE WHEN text IS NOT NULL THEN 64 END AS INTEGER) AS n_dims, CASE WHEN text IS NOT NULL THEN regexp_matches(text, '[\\p{L}\\p{N}]') END AS unit FROM chunks")
+def embed_shapes(spark: SparkSession, folder: str) -> DataFrame:
+    """Length of each chunk's vector, and whether its norm is 1 (0 for texts without words)."""
+    got = embed_chunks(spark, folder)
+    norm = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
+    return got.select("chunk_id", F.when(F.col("embedding").isNotNull(), F.size("embedding")).alias("n_dims"), (F.abs(norm - 1) < 1e-4).alias("unit")).distinct()
+
+
 @query()
 def embed_chunks(spark: SparkSession, folder: str) -> DataFrame:
     return encode.embed(table(spark, folder, "chunks").select("chunk_id", "text").distinct()).select("chunk_id", "embedding")
@@ -216,11 +264,42 @@ def oversize_chunks(spark: SparkSession, folder: str) -> DataFrame:
 def newest_and_known(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """The newest kept page of every url, and what is embedded of each."""
     pages = table(spark, folder, "crawl_results").where("status = 'success' and body is not null").withColumn("content_type", F.coalesce("content_type", F.lit("text/html")))
-    newest = pages.groupBy("url").agg(F.max_by(F.struct("fetch_id", "content_hash", "content_type", "body"), F.struct("fetched_at", "fetch_id")).alias("p")).select("url", "p.*")
+    newest = pages.groupBy("url").agg(F.max_by(F.struct("fetch_id", "fetched_at", "content_hash", "content_type", "body"), F.struct("fetched_at", "fetch_id")).alias("p")).where("url is not null").select("url", "p.*")
     known = table(spark, folder, "extracted_documents").select("document_id", "url").distinct().join(snapshots.embedded_state(table(spark, folder, "embed_results")), "document_id")
     return newest, known.select("url", "embedded_hash")
 
 
+_NEWEST = "SELECT * FROM (SELECT url, lower(content_hash) AS content_hash, octet_length(body) AS n FROM crawl_results WHERE status = 'success' AND body IS NOT NULL AND url IS NOT NULL QUALIFY row_number() OVER (PARTITION BY url ORDER BY fetched_at DESC, fetch_id DESC) = 1) WHERE content_hash IS NOT NULL AND n > 0"
+
+
+@query(f"""WITH n AS ({_NEWEST}), k AS (SELECT url, max(hash) AS hash FROM (SELECT DISTINCT document_id, url FROM extracted_documents) JOIN ({_LAST_EMBED}) USING (document_id) GROUP BY url)
+SELECT n.url, n.content_hash, coalesce(n.content_hash = k.hash, false) AS unchanged FROM n LEFT JOIN k ON n.url = k.url""")
+def ingest_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document that the pipeline saw, with the hash that it took and whether it could be left as it is."""
+    done = ingest(*newest_and_known(spark, folder)).documents
+    return done.select("url", F.lower("content_hash").alias("content_hash"), (F.col("state") == "unchanged").alias("unchanged"))
+
+
+@query("SELECT 0 AS n_repeated_keys, 0 AS n_oversize, 0 AS n_without_vector, 0 AS n_gaps_in_ordinals")
+def ingest_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    """Faults in the chunks of the pipeline: keys that stand there twice, chunks over the limit or without a vector, documents whose ordinals don't run from 0."""
+    per = ingest(*newest_and_known(spark, folder)).chunks.groupBy("url", "ordinal").agg(F.count("*").alias("n"), F.max("token_count").alias("tokens"), F.count("embedding").alias("vectors"))
+    per = per.groupBy("url").agg(F.count_if(F.col("n") > 1).alias("a"), F.count_if(F.col("tokens") > 350).alias("b"), F.count_if(F.col("vectors") < F.col("n")).alias("c"), (F.max("ordinal") + 1 - F.count("*")).alias("d"))
+    total = lambda c, name: F.coalesce(F.sum(c), F.lit(0)).cast("int").alias(name)
+    return per.agg(total("a", "n_repeated_keys"), total("b", "n_oversize"), total("c", "n_without_vector"), total("d", "n_gaps_in_ordinals"))
+
+
+@query(f"WITH n AS ({_NEWEST}) SELECT count(*) AS n_documents, count(*) AS n_unchanged_again, 0 AS n_documents_lost, 0 AS n_chunks_lost FROM n")
+def ingest_twice(spark: SparkSession, folder: str) -> DataFrame:
+    """A run over all pages into an empty store, and the same run again: everything is unchanged then."""
+    pages, _ = newest_and_known(spark, folder)
+    store = scratch(spark, "ingest")
+    one, two = run_ingest(spark, store, pages), run_ingest(spark, store, pages)
+    lost = lambda a, b, key, name: a.select(key).join(b.select(key), key, "left_anti").agg(F.count("*").cast("int").alias(name))
+    counts = two.summary.agg(F.sum("n_documents").alias("n_documents"), F.coalesce(F.sum(F.when(F.col("state") == "unchanged", F.col("n_documents"))), F.lit(0)).alias("n_unchanged_again"))
+    return counts.join(lost(one.documents, two.documents, "document_id", "n_documents_lost"), F.lit(True)).join(lost(one.chunks, two.chunks, "chunk_id", "n_chunks_lost"), F.lit(True))  # one row each
+
+
 @query()
 def ingest_states(spark: SparkSession, folder: str) -> DataFrame:
     """Documents by state after all kept pages went through the pipeline; `llm.queries` has the one that leaves residue out."""
@@ -328,17 +407,21 @@ def k_anonymous_report(spark: SparkSession, folder: str) -> DataFrame:
     return analytics.k_anonymous(table(spark, folder, "questions"), unit="question_id", coarse={"health": analytics.COARSE_TOPIC})
 
 
-@query("""SELECT p_name, p_type, p_size, count(*) AS n_values, sum(n) AS n_sources, list_sort(list(p_brand)) AS values FROM (
-  SELECT p_name, p_type, p_size, p_brand, count(*) AS n, min(p_partkey) AS a, max(p_partkey) AS b FROM part GROUP BY ALL) GROUP BY p_name, p_type, p_size HAVING count(*) > 1 AND min(a) <> max(b)""".replace("sum(n) AS n_sources, ", ""))
-def fact_conflicts(spark: SparkSession, folder: str) -> DataFrame:
-    return analytics.conflicts(table(spark, folder, "part"), ["p_name", "p_type", "p_size"], "p_brand", "p_partkey")
-
-
 @query("SELECT document_id, kind, value, count(*) AS n FROM (" + " UNION ALL ".join(f"SELECT document_id, '{k}' AS kind, unnest(regexp_extract_all(full_text, '{p}')) AS value FROM extracted_documents" for k, p in analytics.FACTS) + ") GROUP BY ALL")
 def fact_candidates(spark: SparkSession, folder: str) -> DataFrame:
     return analytics.fact_candidates(table(spark, folder, "extracted_documents"), "document_id", "full_text")
 
 
+@query("""WITH f AS (SELECT document_id, kind, value FROM (""" + " UNION ALL ".join(f"SELECT document_id, '{k}' AS kind, unnest(regexp_extract_all(full_text, '{p}')) AS value FROM extracted_documents" for k, p in analytics.FACTS) + """)),
+j AS (SELECT DISTINCT f.document_id, title, kind, value FROM f JOIN extracted_documents AS d ON f.document_id = d.document_id WHERE title IS NOT NULL)
+SELECT title, kind, count(DISTINCT value) AS n_values, count(DISTINCT document_id) AS n_sources, list_sort(list(DISTINCT value)) AS values FROM j GROUP BY title, kind HAVING n_values > 1 AND n_sources > 1""")
+def fact_conflicts(spark: SparkSession, folder: str) -> DataFrame:
+    """Pages of one title that state different dates, amounts or deadlines."""
+    pages = table(spark, folder, "extracted_documents")
+    stated = analytics.fact_candidates(pages, "document_id", "full_text").join(pages.where("title is not null").select("document_id", "title").distinct(), "document_id")
+    return analytics.conflicts(stated, ["title", "kind"], "value", "document_id")
+
+
 @query("SELECT user_id, time_bucket(INTERVAL '10 minutes', ts) AS window_start, count(*) AS n_requests FROM events GROUP BY ALL HAVING count(*) > 1")
 def rate_limit_windows(spark: SparkSession, folder: str) -> DataFrame:
     return analytics.rate_limit_windows(table(spark, folder, "events"), most=1)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -17,11 +18,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if current.isDefined():
         return current.get()
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if not named and not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     folder = named or tempfile.mkdtemp(prefix="corpusmill-checkpoint-")
     sc.setCheckpointDir(folder)
     return folder
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh folder in the shared checkpoint folder."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder, so that what follows survives lost executors."""
     ensure_checkpoint_dir(df.sparkSession)

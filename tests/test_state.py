@@ -121,7 +121,7 @@ def test_reports(spark):
     assert got == {"fees": (6, 0.5), "unknown": (4, 0.5)}
     assert [r.topic for r in analytics.k_anonymous(q).collect()] == ["fees"]
     facts = spark.createDataFrame([("k", "1", 1), ("k", "2", 2), ("s", "1", 1), ("s", "1", 2), ("o", "1", 1), ("o", "2", 1), ("n", None, 1)], "key string, value string, source int")
-    assert [tuple(r) for r in analytics.conflicts(facts, ["key"], "value", "source").collect()] == [("k", 2, ["1", "2"])]
+    assert [tuple(r) for r in analytics.conflicts(facts, ["key"], "value", "source").collect()] == [("k", 2, 2, ["1", "2"])]
     answers = spark.createDataFrame([("A [1]. B [2].", 2), ("A [3].", 2), ("No mark.", 2)], "answer string, n_chunks int")
     assert [(r.all_resolve, r.uncited) for r in analytics.citation_validity(answers).collect()] == [(True, 0), (False, 0), (False, 1)]
     assert spark.range(1).select(analytics.support_areas(F.lit("anxiety and debt"))).first()[0] == ["health", "hardship"]
