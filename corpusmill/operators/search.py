@@ -1,9 +1,13 @@
 """Batches of questions against all chunks: exact dense top-k, full-text top-k, reciprocal-rank fusion.
 
 Dense: the questions' vectors, at most ``BLOCK`` at a time, go to the tasks, each Arrow batch of chunk vectors is
-matrix products, and only the best k of a task leave it; the final ranking is a window over k rows a task. Sparse:
-chunk tokens are joined to the questions' tokens, so no pair without a common token is built, and counted with
-map-side combining. Ties are ordered by chunk id.
+matrix products, and only the best k of a task leave it; the final ranking is a window over k rows a task. With an
+index (``train_cells``, ``with_cells``) a question is compared only with the chunks of its nearest cells, whose distances
+are exact; ``probes_for`` finds how many cells a recall takes. Without one the search is exact.
+
+Sparse: postings (token, chunk, positions) are made in one pass without an exchange, of the questions' tokens only where
+they are few, or kept as a table (``postings``); they are joined to the questions' tokens, so no pair without a common
+token is built. Ties are ordered by chunk id; a chunk that stands there twice counts once.
 """
 
 from __future__ import annotations
@@ -15,11 +19,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusmill.functions.arrow import map_columns
-from corpusmill.functions.fulltext import analyze, cover_rank, lexemes
+from corpusmill.functions.arrow import columns, map_columns
+from corpusmill.functions.fulltext import analyze, cover_rank
 from corpusmill.session import cut, small_side
 
 BLOCK = 20_000
+#: Lexemes of the questions that are sent to the tasks, about 30 MB; beyond them all lexemes of the chunks are kept.
+MAX_TOKENS = 500_000
 
 
 def cosine_distance(a: Column, b: Column) -> Column:
@@ -29,6 +35,61 @@ def cosine_distance(a: Column, b: Column) -> Column:
     return F.when(norm > 0, F.lit(1.0) - dot(a, b) / norm)
 
 
+def _kth(distance: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """A bound that the best k distinct ids of each row keep."""
+    repeats = len(ids) - len(np.unique(ids))
+    k += repeats
+    return np.partition(distance, k - 1, axis=1)[:, k - 1] if distance.shape[1] > k else np.full(len(distance), np.inf)
+
+
+def _matrix(column: pa.Array, rows: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(rows, -1).astype(np.float64)
+
+
+def train_cells(vectors: DataFrame, key: str, vector: str, cells: int = 64, sample: int = 20_000, rounds: int = 10) -> np.ndarray:
+    """Unit centroids of an index, by k-means over a bounded sample: the ``sample`` vectors with the least hash of the key."""
+    own = vectors.where(F.col(key).isNotNull() & F.col(vector).isNotNull())
+    rows = own.select(F.col(vector).alias("v")).orderBy(F.xxhash64(key), key).limit(sample).collect()
+    v = np.array([r.v for r in rows], np.float64)
+    size = np.linalg.norm(v, axis=1) if len(v) else np.zeros(0)
+    v = v[size > 0] / size[size > 0, None] if len(v) else np.zeros((0, 1))
+    if not len(v):
+        return v
+    centres = v[np.random.RandomState(1).permutation(len(v))[: min(cells, len(v))]]
+    for _ in range(rounds):
+        nearest = (v @ centres.T).argmax(1)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, nearest, v)
+        length = np.linalg.norm(sums, axis=1)
+        centres = np.where(length[:, None] > 0, sums / np.where(length > 0, length, 1)[:, None], centres)
+    return centres
+
+
+def with_cells(chunks: DataFrame, centres: np.ndarray) -> DataFrame:
+    """chunk_id, embedding, cell of every chunk with a vector; written partitioned by cell it is the stored index."""
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                v = _matrix(b.column(1), b.num_rows)
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array((v @ centres.T).argmax(1).astype(np.int32))], names=["chunk_id", "embedding", "cell"])
+
+    kind = dict(chunks.dtypes)["embedding"]
+    return chunks.where("chunk_id is not null and embedding is not null").select("chunk_id", "embedding").mapInArrow(assign, f"chunk_id bigint, embedding {kind}, cell int")
+
+
+def probes_for(chunks: DataFrame, questions: DataFrame, centres: np.ndarray, k: int = 30, recall: float = 0.95, sample: int = 200) -> int:
+    """The least number of cells to look at for ``recall`` on a bounded sample of questions, against the exact search."""
+    few = cut(questions.where("question_id is not null and vector is not null").orderBy(F.xxhash64("question_id"), "question_id").limit(sample).select("question_id", "vector"))
+    exact = cut(dense_topk(chunks, few, k).select("question_id", "chunk_id"))
+    cell = with_cells(chunks.join(exact.select("chunk_id").distinct(), "chunk_id", "left_semi"), centres).select("chunk_id", "cell").dropDuplicates(["chunk_id"])
+    rows = exact.join(cell, "chunk_id").collect()  # at most sample x k
+    vectors = {r.question_id: np.array(r.vector, np.float64) for r in few.collect()}
+    place = {q: np.argsort(np.argsort(-(centres @ v))) for q, v in vectors.items()}
+    depths = np.sort([place[r.question_id][r.cell] for r in rows])
+    return int(depths[min(len(depths) - 1, int(np.ceil(recall * len(depths))))]) + 1 if len(depths) else 1
+
+
 class _Nearest:
     """The best k of a task for each question, ties by id; memory is questions × k."""
 
@@ -42,27 +103,40 @@ class _Nearest:
         n, k = distance.shape[0], self.k
         limit = self.distance[start : start + n, -1].copy()
         if distance.shape[1] > k:
-            limit = np.minimum(limit, np.partition(distance, k - 1, axis=1)[:, k - 1])
+            limit = np.minimum(limit, _kth(distance, ids, k))
         row, column = np.nonzero(distance <= limit[:, None])
         rows = np.concatenate([row, np.repeat(np.arange(n), k)])
         values = np.concatenate([distance[row, column], self.distance[start : start + n].ravel()])
         named = np.concatenate([ids[column], self.ids[start : start + n].ravel()])
-        order = np.lexsort((named, values, rows))
+        order = np.lexsort((values, named, rows))  # an id keeps its least distance
+        first = np.ones(len(order), bool)
+        first[1:] = (np.diff(rows[order]) != 0) | (np.diff(named[order]) != 0) | ~np.isfinite(values[order][1:])
+        order = order[first]
+        order = order[np.lexsort((named[order], values[order], rows[order]))]
         place = np.arange(len(order)) - np.searchsorted(rows[order], np.arange(n))[rows[order]]
         order = order[place < k]
-        self.distance[start : start + n], self.ids[start : start + n] = values[order].reshape(n, k), named[order].reshape(n, k)
+        self.distance[start : start + n], self.ids[start : start + n] = np.inf, 0
+        spot = rows[order] + start, place[place < k]
+        self.distance[spot], self.ids[spot] = values[order], named[order]
 
     def kept(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         row, column = np.nonzero(np.isfinite(self.distance))
         return row, self.ids[row, column], self.distance[row, column]
 
 
-def dense_topk(chunks: DataFrame, questions: DataFrame, k: int = 30, block: int = BLOCK, digits: int = 6) -> DataFrame:
+def dense_topk(chunks: DataFrame, questions: DataFrame, k: int = 30, block: int = BLOCK, digits: int = 6, centres: np.ndarray | None = None, probes: int = 8) -> DataFrame:
     """question_id, chunk_id, dense_distance (rounded), dense_rank of each question's nearest ``k`` chunks.
 
-    ``chunks``: chunk_id, embedding; ``questions``: question_id, vector. Null and zero vectors take no part.
+    ``chunks``: chunk_id, embedding; ``questions``: question_id, vector. Null and zero vectors take no part. With
+    ``centres`` (of ``train_cells``) the chunks of a question's ``probes`` nearest cells are looked at; a column cell
+    (``with_cells``) is used if ``chunks`` has one.
     """
     asked = questions.where("question_id is not null and vector is not null").select("question_id", "vector").dropDuplicates(["question_id"])
+    near = chunks.where("chunk_id is not null and embedding is not null")
+    if centres is not None:
+        near = (near if "cell" in chunks.columns else with_cells(near, centres)).select("chunk_id", "embedding", "cell")
+    else:
+        near = near.select("chunk_id", "embedding")
     out = None
     rows = asked.toLocalIterator()
     while part := [r for _, r in zip(range(block), rows)]:
@@ -70,59 +144,86 @@ def dense_topk(chunks: DataFrame, questions: DataFrame, k: int = 30, block: int
         q = np.array([r.vector for r in part], np.float64)
         size = np.linalg.norm(q, axis=1)
         ids, q = ids[size > 0], (q[size > 0].T / size[size > 0]).T
+        looked = None if centres is None else (-(q @ centres.T)).argsort(1, kind="stable")[:, :probes]
+        found = near if looked is None else near.where(F.col("cell").isin(np.unique(looked).tolist()))  # cells that nobody asks for aren't read
 
-        def nearest(batches: Iterator[pa.RecordBatch], ids: np.ndarray = ids, q: np.ndarray = q) -> Iterator[pa.RecordBatch]:
-            best = _Nearest(len(ids), k)
+        def nearest(batches: Iterator[pa.RecordBatch], ids: np.ndarray = ids, q: np.ndarray = q, looked: np.ndarray | None = looked) -> Iterator[pa.RecordBatch]:
+            askers = None if looked is None else {c: np.nonzero((looked == c).any(1))[0] for c in np.unique(looked)}
+            best = {None: _Nearest(len(ids), k)} if askers is None else {c: _Nearest(len(a), k) for c, a in askers.items()}
             for b in batches:
-                own = np.array(b.column(0).to_pylist(), np.int64)
-                v = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(own), -1).astype(np.float64) if len(own) else np.zeros((0, 1))
+                if not b.num_rows:
+                    continue
+                own, v = b.column(0).to_numpy(), _matrix(b.column(1), b.num_rows)
                 size = np.linalg.norm(v, axis=1)
-                own, v = own[size > 0], v[size > 0] / size[size > 0, None]
-                for start in range(0, len(ids) if len(own) else 0, 256):
-                    best.offer(start, np.round(1.0 - q[start : start + 256] @ v.T, digits) + 0.0, own)
-            row, found, distance = best.kept()
-            yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(found), pa.array(distance)], names=["question_id", "chunk_id", "dense_distance"])
-
-        near = chunks.where("chunk_id is not null and embedding is not null").select("chunk_id", "embedding")
-        near = near.mapInArrow(nearest, "question_id bigint, chunk_id bigint, dense_distance double")
-        out = near if out is None else out.unionByName(near)
+                cells = None if askers is None else b.column(2).to_numpy()
+                for c in best:
+                    mine = size > 0 if cells is None else (size > 0) & (cells == c)
+                    if not mine.any():
+                        continue
+                    asking = q if askers is None else q[askers[c]]
+                    w = v[mine] / size[mine, None]
+                    for start in range(0, len(asking), 256):
+                        best[c].offer(start, np.round(1.0 - asking[start : start + 256] @ w.T, digits) + 0.0, own[mine])
+            for c, kept in best.items():
+                row, found, distance = kept.kept()
+                yield pa.RecordBatch.from_arrays([pa.array(ids[row if askers is None else askers[c][row]]), pa.array(found), pa.array(distance)], names=["question_id", "chunk_id", "dense_distance"])
+
+        found = found.mapInArrow(nearest, "question_id bigint, chunk_id bigint, dense_distance double")
+        out = found if out is None else out.unionByName(found)
     if out is None:
         return questions.sparkSession.createDataFrame([], "question_id bigint, chunk_id bigint, dense_distance double, dense_rank int")
     w = Window.partitionBy("question_id").orderBy("dense_distance", "chunk_id")
-    return out.distinct().withColumn("dense_rank", F.row_number().over(w)).where(F.col("dense_rank") <= k)
+    least = out.groupBy("question_id", "chunk_id").agg(F.min("dense_distance").alias("dense_distance"))
+    return least.withColumn("dense_rank", F.row_number().over(w)).where(F.col("dense_rank") <= k)
+
+
+def _analyzed(df: DataFrame, key: str, analyzer: str, only: frozenset | None = None) -> DataFrame:
+    """key, token, positions: one row for each lexeme of each text, of ``only`` these if they are given."""
+
+    def split(keys: list, texts: list) -> tuple:
+        rows: list = []
+        for i, text in zip(keys, texts):
+            places: dict[str, list[int]] = {}
+            for t, p in analyze(text, analyzer):
+                if only is None or t in only:
+                    places.setdefault(t, []).append(p)
+            rows += [(i, t, ps) for t, ps in places.items()]
+        return columns(rows, 3)
+
+    return map_columns(df.select(key, "text").where(F.col("text").isNotNull()), split, f"{key} bigint, token string, positions array<int>")
+
+
+def postings(chunks: DataFrame, analyzer: str = "simple", only: frozenset | None = None) -> DataFrame:
+    """chunk_id, token, positions of all chunks (chunk_id, text); a table to keep, bucketed or sorted by token."""
+    made = _analyzed(chunks.where("chunk_id is not null"), "chunk_id", analyzer, only)
+    return made.groupBy("chunk_id", "token").agg(F.max("positions").alias("positions"))
 
 
-def sparse_topk(chunks: DataFrame, questions: DataFrame, k: int = 30, rank: str = "frequency", analyzer: str = "simple") -> DataFrame:
+def sparse_topk(chunks: DataFrame, questions: DataFrame, k: int = 30, rank: str = "frequency", analyzer: str = "simple", stored: DataFrame | None = None) -> DataFrame:
     """question_id, chunk_id, sparse_score, sparse_rank of each question's best ``k`` chunks that hold all its lexemes.
 
     ``chunks``: chunk_id, text; ``questions``: question_id, text. ``rank``: 'frequency' (0.1 a hit) or
-    'cover' (cover density by positions, with the 'simple' or 'english' analyzer). Blank questions match nothing.
+    'cover' (cover density by positions). ``stored``: ``postings`` of the chunks by the same analyzer. Blank questions,
+    and those of stop words only, match nothing.
     """
-    own = chunks.where("chunk_id is not null").select("chunk_id", "text")
     ask = questions.where("question_id is not null and trim(text) <> ''").select("question_id", "text").dropDuplicates(["question_id"])
-    if analyzer == "simple":
-        tokens = lambda df, key: df.select(key, F.posexplode(lexemes(F.col("text"))).alias("position", "token"))
-    else:
-
-        def split(keys: list, texts: list) -> tuple:
-            rows = [(i, p, t) for i, x in zip(keys, texts) for t, p in analyze(x, analyzer)]
-            return [r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows]
-
-        tokens = lambda df, key: map_columns(df.select(key, "text"), split, f"{key} bigint, position int, token string")
-    wanted = tokens(ask, "question_id").select("question_id", "token").distinct()
+    wanted = cut(_analyzed(ask, "question_id", analyzer).select("question_id", "token"))
     needed = wanted.groupBy("question_id").agg(F.count("*").alias("_needed"))
-    vocabulary = small_side(wanted.select("token").distinct(), 500_000)
-    found = tokens(own, "chunk_id").join(vocabulary, "token", "left_semi")
-    posting = found.groupBy("chunk_id", "token").agg(*([F.count("*").alias("hits")] if rank == "frequency" else [F.count("*").alias("hits"), F.sort_array(F.collect_list("position")).alias("positions")]))
-    # lexemes in many chunks are checked last: each question first meets the chunks that hold its rarest lexeme
+    names = wanted.select("token").distinct()
+    few = names.limit(MAX_TOKENS + 1).collect()
+    if stored is not None:
+        posting = stored.join(F.broadcast(names) if len(few) <= MAX_TOKENS else names, "token", "left_semi")
+    else:
+        posting = postings(chunks, analyzer, frozenset(r.token for r in few) if len(few) <= MAX_TOKENS else None)
     posting = cut(posting)
+    # lexemes in many chunks are checked last: each question first meets the chunks that hold its rarest lexeme
     spread = posting.groupBy("token").agg(F.count("*").alias("_spread"))
     rated = wanted.join(spread, "token", "left").withColumn("_spread", F.coalesce("_spread", F.lit(0)))
     rarest = rated.groupBy("question_id").agg(F.min_by("token", F.struct("_spread", "token")).alias("token"), F.min("_spread").alias("_least")).where("_least > 0")
     pairs = posting.select("chunk_id", "token").join(rarest.select("question_id", "token"), "token").select("question_id", "chunk_id")
     held = pairs.join(wanted, "question_id").join(posting, ["chunk_id", "token"])
     if rank == "frequency":
-        scored = held.groupBy("question_id", "chunk_id").agg(F.count("*").alias("_n"), F.round(F.sum("hits") * 0.1, 6).alias("sparse_score"))
+        scored = held.groupBy("question_id", "chunk_id").agg(F.count("*").alias("_n"), F.round(F.sum(F.size("positions")) * 0.1, 6).alias("sparse_score"))
     else:
         merged = held.groupBy("question_id", "chunk_id").agg(F.count("*").alias("_n"), F.collect_list("positions").alias("_positions"))
 
@@ -152,10 +253,13 @@ def hybrid_search(
     ``chunks``: chunk_id, document_id, ordinal, heading_path, url_anchor, text, embedding; ``documents``:
     document_id, url, title, is_active; ``questions``: question_id, text, vector.
     """
-    active = documents.where("is_active").select("document_id", "url", "title").dropDuplicates(["document_id"])
-    own = chunks.dropDuplicates(["chunk_id"]).join(active, "document_id")
-    asked = questions.where("trim(text) <> ''")
-    top = fuse(dense_topk(own, asked, dense_k), sparse_topk(own, asked, sparse_k, rank, analyzer), rrf_k, top_k)
-    return top.join(own.drop("embedding"), "chunk_id").select(
+    active = documents.where("is_active").groupBy("document_id").agg(F.max(F.struct("url", "title")).alias("_d")).select("document_id", "_d.url", "_d.title")
+    live = chunks.join(small_side(active.select("document_id")), "document_id", "left_semi")
+    asked = cut(questions.where("trim(text) <> ''").select("question_id", "text", "vector"))
+    top = cut(fuse(dense_topk(live, asked, dense_k), sparse_topk(live, asked, sparse_k, rank, analyzer), rrf_k, top_k))
+    wanted = small_side(top.select("chunk_id").distinct())
+    shown = ("document_id", "ordinal", "text", "heading_path", "url_anchor")
+    own = live.join(wanted, "chunk_id", "left_semi").groupBy("chunk_id").agg(F.max(F.struct(*shown)).alias("_c")).select("chunk_id", "_c.*").join(active, "document_id")
+    return top.join(own, "chunk_id").select(
         "question_id", "chunk_id", "document_id", "ordinal", "url", "title", "text", "heading_path", "url_anchor", "dense_rank", "dense_distance", "sparse_rank", "sparse_score", "rrf_score", "rank"
     )

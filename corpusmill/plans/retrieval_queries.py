@@ -21,12 +21,24 @@ def _vectors(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, Da
     """(chunks with embedding, documents, questions with text and vector)."""
     vectors = table(spark, folder, "embeddings").select("vec_id", "embedding")
     n = vectors.count()
-    chunks = table(spark, folder, "chunks").dropDuplicates(["chunk_id"]).withColumn("vec_id", F.col("chunk_id") % n).join(vectors, "vec_id").drop("vec_id")
+    chunks = table(spark, folder, "chunks").withColumn("vec_id", F.col("chunk_id") % n).join(vectors, "vec_id").drop("vec_id")
     asked = table(spark, folder, "questions").dropDuplicates(["question_id"]).select("question_id", F.col("redacted_text").alias("text"), (F.col("question_id") % n).alias("vec_id"))
     asked = asked.join(vectors.withColumnRenamed("embedding", "vector"), "vec_id").drop("vec_id")
     return chunks, table(spark, folder, "extracted_documents").select("document_id", "url", "title", "is_active").distinct(), asked
 
 
+def ann_recall(spark: SparkSession, folder: str) -> DataFrame:
+    """Recall of the indexed search against the exact one: all vectors, asked with those whose id is divisible by 100."""
+    vectors = table(spark, folder, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
+    asked = vectors.where("chunk_id % 100 = 0").select(F.col("chunk_id").alias("question_id"), F.col("embedding").alias("vector"))
+    centres = search.train_cells(vectors, "chunk_id", "embedding")
+    probes = search.probes_for(vectors, asked, centres, k=10, recall=0.95)
+    exact = search.dense_topk(vectors, asked, 10).select("question_id", "chunk_id", F.lit(1).alias("hit"))
+    near = search.dense_topk(vectors, asked, 10, centres=centres, probes=probes).select("question_id", "chunk_id", F.lit(1).alias("got"))
+    both = exact.join(near, ["question_id", "chunk_id"], "left")
+    return both.agg(F.count("*").alias("n_neighbours"), (F.coalesce(F.sum("got"), F.lit(0)) >= 0.9 * F.count("*")).alias("recall_reached"))
+
+
 def hybrid_search(spark: SparkSession, folder: str) -> DataFrame:
     found = search.hybrid_search(*_vectors(spark, folder))
     return found.select("question_id", "chunk_id", "document_id", "dense_rank", "dense_distance", "sparse_rank", "sparse_score", F.round("rrf_score", 9).alias("rrf_score"), "rank")
@@ -108,7 +120,7 @@ _LINK_SQL = "CASE topic " + " ".join(f"WHEN '{t}' THEN '{c[1]}'" for t, c in CON
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (hybrid_search, hybrid_search_english, dense_topk, sparse_topk, rrf_fusion, confidence, refusals, topic_routing)}
+    return {f.__name__: f for f in (hybrid_search, hybrid_search_english, ann_recall, dense_topk, sparse_topk, rrf_fusion, confidence, refusals, topic_routing)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -117,6 +129,7 @@ def oracle_sql() -> dict[str, str]:
 b AS (SELECT question_id, chunk_id, dense_rank, dense_distance, sparse_rank, sparse_score, coalesce(1 / (60.0 + dense_rank), 0) + coalesce(1 / (60.0 + sparse_rank), 0) AS rrf FROM dl FULL JOIN sl USING (question_id, chunk_id)),
 r AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY round(rrf, 15) DESC, CAST(chunk_id AS VARCHAR)) AS rank FROM b QUALIFY rank <= 8)
 SELECT question_id, chunk_id, document_id, dense_rank, dense_distance, sparse_rank, sparse_score, round(rrf, 9) AS rrf_score, rank FROM r JOIN c USING (chunk_id)""",
+        "ann_recall": "SELECT sum(least(10, n)) AS n_neighbours, true AS recall_reached FROM (SELECT q.vec_id, (SELECT count(*) FROM embeddings WHERE embedding IS NOT NULL) AS n FROM embeddings AS q WHERE q.vec_id % 100 = 0 AND q.embedding IS NOT NULL)",
         "dense_topk": _ALL_LEGS + " SELECT question_id, chunk_id, dense_distance, dense_rank FROM dl",
         "sparse_topk": _ALL_LEGS + " SELECT question_id, chunk_id, sparse_score, sparse_rank FROM sl",
         "rrf_fusion": """

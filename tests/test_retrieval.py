@@ -62,3 +62,34 @@ def test_ask_batch(spark):
     asked = spark.createDataFrame([(1, "tuition fees are due in May"), (2, "unrelated words only"), (3, " ")], "question_id long, text string")
     hits, refused = ask_batch(chunks, documents, asked)
     assert {r.question_id for r in hits.collect()} == {1} and {r.question_id for r in refused.collect()} == {2, 3}
+
+
+def test_dense_with_repeats_and_index(spark):
+    import numpy as np
+
+    rng = np.random.RandomState(0)
+    v = rng.randn(600, 8).astype(float)
+    rows = [(i, v[i].tolist()) for i in range(600)] + [(i, v[i].tolist()) for i in range(0, 600, 7)]
+    chunks = spark.createDataFrame(rows, "chunk_id long, embedding array<float>").repartition(3)
+    asked = spark.createDataFrame([(i, v[i].tolist()) for i in range(0, 600, 50)], "question_id long, vector array<float>")
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    exact = {q: set(np.argsort(1 - unit @ unit[q], kind="stable")[:5]) for q in range(0, 600, 50)}
+    got = {}
+    for r in search.dense_topk(chunks, asked, k=5).collect():
+        got.setdefault(r.question_id, set()).add(r.chunk_id)
+    assert got == exact
+    centres = search.train_cells(chunks, "chunk_id", "embedding", cells=12)
+    probes = search.probes_for(chunks, asked, centres, k=5, recall=0.95)
+    found = search.dense_topk(search.with_cells(chunks, centres), asked, k=5, centres=centres, probes=probes).collect()
+    assert probes <= 12 and sum(r.chunk_id in exact[r.question_id] for r in found) >= 0.9 * 5 * len(exact)
+    every = search.dense_topk(chunks, asked, k=5, centres=centres, probes=12).collect()
+    assert {(r.question_id, r.chunk_id) for r in every} == {(q, c) for q, s in exact.items() for c in s}
+    assert search.dense_topk(chunks.limit(0), asked, k=5).count() == 0
+
+
+def test_stored_postings_give_the_same(spark, corpus):
+    asked = spark.createDataFrame([(1, "fees CP104"), (2, "the of")], "question_id long, text string")
+    for analyzer in ("simple", "english"):
+        kept = search.postings(corpus[0], analyzer)
+        one, two = (sorted(map(tuple, search.sparse_topk(corpus[0], asked, rank="cover", analyzer=analyzer, stored=s).collect())) for s in (None, kept))
+        assert one == two and [r[1] for r in one] == [2]
