@@ -5,13 +5,14 @@ matrix products, and only the best k of a task leave it; the final ranking is a
 index (``train_cells``, ``with_cells``) a question is compared only with the chunks of its nearest cells, whose distances
 are exact; ``probes_for`` finds how many cells a recall takes. Without one the search is exact.
 
-Sparse: postings (token, chunk, positions) are made in one pass without an exchange, of the questions' tokens only where
-they are few, or kept as a table (``postings``); they are joined to the questions' tokens, so no pair without a common
-token is built. Ties are ordered by chunk id; a chunk that stands there twice counts once.
+Sparse: a block of questions goes to the tasks too and the texts are read once; only a task's best k leave it. Where
+postings (token, chunk, positions) are kept as a table (``postings``) they are joined to the questions' tokens instead,
+and no pair without a common token is built. Ties are ordered by chunk id; a chunk that stands there twice counts once.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,10 +22,10 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions.arrow import columns, map_columns
 from corpusmill.functions.fulltext import analyze, cover_rank
-from corpusmill.session import cut, small_side
+from corpusmill.session import cut, small_side, spread
 
 BLOCK = 20_000
-#: Lexemes of the questions that are sent to the tasks, about 30 MB; beyond them all lexemes of the chunks are kept.
+#: The questions' lexemes are broadcast to kept postings up to this many (about 30 MB), and shuffled beyond.
 MAX_TOKENS = 500_000
 
 
@@ -168,7 +169,7 @@ def dense_topk(chunks: DataFrame, questions: DataFrame, k: int = 30, block: int
                 row, found, distance = kept.kept()
                 yield pa.RecordBatch.from_arrays([pa.array(ids[row if askers is None else askers[c][row]]), pa.array(found), pa.array(distance)], names=["question_id", "chunk_id", "dense_distance"])
 
-        found = found.mapInArrow(nearest, "question_id bigint, chunk_id bigint, dense_distance double")
+        found = spread(found, chunks).mapInArrow(nearest, "question_id bigint, chunk_id bigint, dense_distance double")
         out = found if out is None else out.unionByName(found)
     if out is None:
         return questions.sparkSession.createDataFrame([], "question_id bigint, chunk_id bigint, dense_distance double, dense_rank int")
@@ -199,26 +200,44 @@ def postings(chunks: DataFrame, analyzer: str = "simple", only: frozenset | None
     return made.groupBy("chunk_id", "token").agg(F.max("positions").alias("positions"))
 
 
-def sparse_topk(chunks: DataFrame, questions: DataFrame, k: int = 30, rank: str = "frequency", analyzer: str = "simple", stored: DataFrame | None = None) -> DataFrame:
-    """question_id, chunk_id, sparse_score, sparse_rank of each question's best ``k`` chunks that hold all its lexemes.
+def _matched(chunks: DataFrame, asked: dict[int, frozenset], k: int, rank: str, analyzer: str) -> DataFrame:
+    """question_id, chunk_id, sparse_score: a task's best ``k`` chunks of each question. A question is tried on the chunks
+    that hold the lexeme of it that the fewest questions have."""
+    often = Counter(t for tokens in asked.values() for t in tokens)
+    anchored: dict[str, list[int]] = {}
+    for q, tokens in asked.items():
+        anchored.setdefault(min(tokens, key=lambda t: (often[t], t)), []).append(q)
 
-    ``chunks``: chunk_id, text; ``questions``: question_id, text. ``rank``: 'frequency' (0.1 a hit) or
-    'cover' (cover density by positions). ``stored``: ``postings`` of the chunks by the same analyzer. Blank questions,
-    and those of stop words only, match nothing.
-    """
-    ask = questions.where("question_id is not null and trim(text) <> ''").select("question_id", "text").dropDuplicates(["question_id"])
-    wanted = cut(_analyzed(ask, "question_id", analyzer).select("question_id", "token"))
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[int, dict[int, float]] = {}
+        for b in batches:
+            for c, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                places: dict[str, list[int]] = {}
+                for t, p in analyze(text, analyzer):
+                    places.setdefault(t, []).append(p)
+                for t in anchored.keys() & places.keys():
+                    for q in anchored[t]:
+                        tokens = asked[q]
+                        if tokens <= places.keys():
+                            score = sum(len(places[x]) for x in tokens) * 0.1 if rank == "frequency" else cover_rank([places[x] for x in sorted(tokens)])
+                            kept = best.setdefault(q, {})
+                            kept[c] = max(round(score, 6), kept.get(c, 0.0))
+                            if len(kept) > 4 * k:
+                                best[q] = dict(sorted(kept.items(), key=lambda x: (-x[1], x[0]))[:k])
+        rows = [(q, c, x) for q, kept in best.items() for c, x in sorted(kept.items(), key=lambda x: (-x[1], x[0]))[:k]]
+        kinds = (pa.int64(), pa.int64(), pa.float64())
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns(rows, 3), kinds)], names=["question_id", "chunk_id", "sparse_score"])
+
+    own = chunks.where("chunk_id is not null and text is not null").select("chunk_id", "text")
+    return spread(own, chunks).mapInArrow(scan, "question_id bigint, chunk_id bigint, sparse_score double")
+
+
+def _joined(posting: DataFrame, wanted: DataFrame, rank: str) -> DataFrame:
+    """The same by joins over kept postings: each question first meets the chunks that hold its rarest lexeme."""
     needed = wanted.groupBy("question_id").agg(F.count("*").alias("_needed"))
-    names = wanted.select("token").distinct()
-    few = names.limit(MAX_TOKENS + 1).collect()
-    if stored is not None:
-        posting = stored.join(F.broadcast(names) if len(few) <= MAX_TOKENS else names, "token", "left_semi")
-    else:
-        posting = postings(chunks, analyzer, frozenset(r.token for r in few) if len(few) <= MAX_TOKENS else None)
-    posting = cut(posting)
-    # lexemes in many chunks are checked last: each question first meets the chunks that hold its rarest lexeme
-    spread = posting.groupBy("token").agg(F.count("*").alias("_spread"))
-    rated = wanted.join(spread, "token", "left").withColumn("_spread", F.coalesce("_spread", F.lit(0)))
+    posting = cut(posting.join(small_side(wanted.select("token").distinct(), MAX_TOKENS), "token", "left_semi"))
+    often = posting.groupBy("token").agg(F.count("*").alias("_spread"))
+    rated = wanted.join(often, "token", "left").withColumn("_spread", F.coalesce("_spread", F.lit(0)))
     rarest = rated.groupBy("question_id").agg(F.min_by("token", F.struct("_spread", "token")).alias("token"), F.min("_spread").alias("_least")).where("_least > 0")
     pairs = posting.select("chunk_id", "token").join(rarest.select("question_id", "token"), "token").select("question_id", "chunk_id")
     held = pairs.join(wanted, "question_id").join(posting, ["chunk_id", "token"])
@@ -231,9 +250,31 @@ def sparse_topk(chunks: DataFrame, questions: DataFrame, k: int = 30, rank: str
             return q, c, n, [round(cover_rank(p), 6) for p in positions]
 
         scored = map_columns(merged, score, "question_id bigint, chunk_id bigint, _n bigint, sparse_score double")
-    scored = scored.join(needed, "question_id").where("_n = _needed").select("question_id", "chunk_id", "sparse_score")
+    return scored.join(needed, "question_id").where("_n = _needed").select("question_id", "chunk_id", "sparse_score")
+
+
+def sparse_topk(chunks: DataFrame, questions: DataFrame, k: int = 30, rank: str = "frequency", analyzer: str = "simple", stored: DataFrame | None = None, block: int = BLOCK) -> DataFrame:
+    """question_id, chunk_id, sparse_score, sparse_rank of each question's best ``k`` chunks that hold all its lexemes.
+
+    ``chunks``: chunk_id, text; ``questions``: question_id, text. ``rank``: 'frequency' (0.1 a hit) or
+    'cover' (cover density by positions). ``stored``: ``postings`` of the chunks by the same analyzer, else the chunks
+    are read once for each ``block`` of questions. Blank questions, and those of stop words only, match nothing.
+    """
+    ask = questions.where("question_id is not null and trim(text) <> ''").select("question_id", "text").dropDuplicates(["question_id"])
+    out = None
+    if stored is not None:
+        out = _joined(stored, cut(_analyzed(ask, "question_id", analyzer).select("question_id", "token")), rank)
+    else:
+        rows = ask.toLocalIterator()
+        while part := [r for _, r in zip(range(block), rows)]:
+            asked = {r.question_id: frozenset(t for t, _ in analyze(r.text, analyzer)) for r in part}
+            found = _matched(chunks, {q: t for q, t in asked.items() if t}, k, rank, analyzer)
+            out = found if out is None else out.unionByName(found)
+    if out is None:
+        return questions.sparkSession.createDataFrame([], "question_id bigint, chunk_id bigint, sparse_score double, sparse_rank int")
     w = Window.partitionBy("question_id").orderBy(F.desc("sparse_score"), "chunk_id")
-    return scored.withColumn("sparse_rank", F.row_number().over(w)).where(F.col("sparse_rank") <= k)
+    best = out.groupBy("question_id", "chunk_id").agg(F.max("sparse_score").alias("sparse_score"))
+    return best.withColumn("sparse_rank", F.row_number().over(w)).where(F.col("sparse_rank") <= k)
 
 
 def fuse(dense: DataFrame, sparse: DataFrame, rrf_k: int = 60, top_k: int = 8) -> DataFrame:

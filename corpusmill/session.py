@@ -46,12 +46,13 @@ def small_side(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
 
 
 def spread(df: DataFrame, source: DataFrame, *by: str, task_bytes: int = 8 << 20) -> DataFrame:
-    """``df`` in partitions for work that costs far more time than bytes: as many as ``source``'s size by the optimizer's
-    estimate asks for, at least two a core, so that tasks stay short and grow in number, not in length."""
+    """``df`` in partitions for work that costs far more time than bytes: as many as the tables that ``source`` reads ask
+    for by their size, at least two a core, so that tasks stay short and grow in number, not in length."""
     spark = df.sparkSession
-    size = int(str(source._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    parts = max(2 * spark.sparkContext.defaultParallelism, -(-size // task_bytes) if size < 1 << 56 else 0)  # beyond that it is unknown
-    return df.repartition(parts, *by)
+    leaves = source._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    size = sum(x for x in sizes if x < 1 << 56)  # beyond that it is unknown
+    return df.repartition(max(2 * spark.sparkContext.defaultParallelism, -(-size // task_bytes)), *by)
 
 
 def ship(spark: SparkSession) -> None:
