@@ -1,7 +1,8 @@
 """Mixing sources to target weights (problem 9).
 
-The mix's size is the largest at which every source with documents and a positive target can give its (renormalised)
-share without being repeated more than its cap. A source that must give ``f`` times its tokens gives every document
+The mix's size is ``total`` tokens if that is given: a source whose cap lets it give less than its share gives all that it
+may, and the others share the rest by their targets. Else it is the largest size at which every source with documents
+and a positive target can give its (renormalised) share without being repeated more than its cap. A source that must give ``f`` times its tokens gives every document
 ``floor(f)`` times, and one more time to a sample of them with inclusion probability ``f - floor(f)``.
 
 The sample is balanced by the cube method: the flight phase moves the inclusion probabilities of three documents at a
@@ -18,6 +19,7 @@ the largest share and cap; repeated rows of a document count once; nothing to mi
 from __future__ import annotations
 
 import random
+from bisect import bisect_left
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -60,16 +62,33 @@ def cube_flight(tokens: list[int], chances: list[float], seed: int) -> list[floa
     return [0.0 if x <= 1e-9 else 1.0 if x >= 1 - 1e-9 else x for x in p]
 
 
-def cube_landing(tokens: list[int], chances: list[float]) -> list[float]:
-    """The few undecided rounded so that the tokens come nearest to what was expected."""
+def cube_landing(tokens: list[int], chances: list[float], goal: float | None = None) -> list[float]:
+    """The few undecided rounded so that the tokens come nearest to what was expected.
+
+    Tokens come before documents: what rounding leaves is mended by exchanging a document that is in for one that is out,
+    or by moving one, as long as that brings the tokens nearer to ``goal``."""
+    goal = sum(t * x for t, x in zip(tokens, chances)) if goal is None else goal
     open_ = [i for i, x in enumerate(chances) if 0 < x < 1]
-    if not open_:
-        return chances
-    goal = sum(tokens[i] * chances[i] for i in open_)
-    best = min(range(1 << len(open_)), key=lambda m: (abs(sum(tokens[i] for k, i in enumerate(open_) if m >> k & 1) - goal), m))
     out = list(chances)
+    sure = sum(t for t, x in zip(tokens, chances) if x == 1.0)
+    best = min(range(1 << len(open_)), key=lambda m: (abs(sure + sum(tokens[i] for k, i in enumerate(open_) if m >> k & 1) - goal), m))
     for k, i in enumerate(open_):
         out[i] = float(best >> k & 1)
+    gap = goal - sum(t for t, x in zip(tokens, out) if x == 1.0)
+    while abs(gap) >= 1:
+        inside, outside = (sorted({tokens[i]: i for i in range(len(tokens)) if out[i] == y}.items()) for y in (1.0, 0.0))
+        moves = [(abs(gap - t), t, None, i) for t, i in outside] + [(abs(gap + t), -t, i, None) for t, i in inside]
+        sizes = [t for t, _ in outside]
+        for t, i in inside:
+            at = bisect_left(sizes, t + gap)
+            moves += [(abs(gap - (outside[k][0] - t)), outside[k][0] - t, i, outside[k][1]) for k in (at - 1, at) if 0 <= k < len(sizes)]
+        least = min(moves, default=(abs(gap), 0, None, None), key=lambda m: (m[0], m[1]))
+        if least[0] >= abs(gap):
+            break
+        gap -= least[1]
+        for i, y in ((least[2], 0.0), (least[3], 1.0)):
+            if i is not None:
+                out[i] = y
     return out
 
 
@@ -106,7 +125,20 @@ def balanced_sample(df: DataFrame, block: int = BLOCK, seed: int = SEED) -> Data
         open_, number = flown.where("_p not in (0.0, 1.0)"), number + 1
 
 
-def mix_plan(documents: DataFrame, targets: DataFrame, vocabulary: str = VOCABULARY, doc: str = "doc_id", text: str = "text", source: str = "source") -> tuple[DataFrame, DataFrame]:
+def allotted(shares: dict[str, float], most: dict[str, float], total: float) -> dict[str, float]:
+    """Tokens by source: by share, nobody above ``most``; what capped sources leave goes to the others by their shares."""
+    given, open_ = {}, dict(shares)
+    while open_:
+        rest, weight = total - sum(given.values()), sum(open_.values())
+        capped = {s: most[s] for s, x in open_.items() if rest * x / weight > most[s]}
+        if not capped:
+            return given | {s: rest * x / weight for s, x in open_.items()}
+        given |= capped
+        open_ = {s: x for s, x in open_.items() if s not in capped}
+    return given
+
+
+def mix_plan(documents: DataFrame, targets: DataFrame, vocabulary: str = VOCABULARY, total: int | None = None, doc: str = "doc_id", text: str = "text", source: str = "source") -> tuple[DataFrame, DataFrame]:
     """(documents with tokens, one row a target with its factor); the first is cut."""
     own = documents.select(F.col(doc).alias("_doc"), source_key(F.col(source)).alias("_source"), F.col(text).alias("_text")).where("_doc is not null and _text <> ''")
     goal = targets.select(source_key(F.col("source")).alias("_source"), "target_share", "max_repeats").where("_source is not null").groupBy("_source")
@@ -119,12 +151,17 @@ def mix_plan(documents: DataFrame, targets: DataFrame, vocabulary: str = VOCABUL
     every = Window.partitionBy()  # one row a source of the targets, a table that doesn't grow
     plan = plan.withColumn("share", F.when(usable, F.col("target_share") / F.sum(F.when(usable, F.col("target_share"))).over(every)))
     plan = plan.withColumn("total", F.min(F.col("max_repeats") * F.col("tokens") / F.col("share")).over(every))
-    return counted, cut(plan.withColumn("factor", F.col("share") * F.col("total") / F.col("tokens")))
+    if total is None:
+        return counted, cut(plan.withColumn("factor", F.col("share") * F.col("total") / F.col("tokens")))
+    rows = plan.where("share is not null").select("_source", "share", "tokens", (F.col("max_repeats") * F.col("tokens")).alias("most")).collect()  # one row a target
+    given = allotted({r[0]: r[1] for r in rows}, {r[0]: float(r[3]) for r in rows}, float(total))
+    factors = documents.sparkSession.createDataFrame([(r[0], given[r[0]] / r[2]) for r in rows], "_source string, factor double")
+    return counted, cut(plan.join(factors, "_source", "left"))
 
 
-def mixed(documents: DataFrame, targets: DataFrame, vocabulary: str = VOCABULARY, block: int = BLOCK, seed: int = SEED, **names: str) -> tuple[DataFrame, DataFrame]:
-    """(mix: doc_id, source, n_tokens, copies; report: one row a target source)."""
-    counted, plan = mix_plan(documents, targets, vocabulary, **names)
+def mixed(documents: DataFrame, targets: DataFrame, vocabulary: str = VOCABULARY, block: int = BLOCK, seed: int = SEED, total: int | None = None, **names: str) -> tuple[DataFrame, DataFrame]:
+    """(mix: doc_id, source, n_tokens, copies; report: one row a target source, with the relative error of its share)."""
+    counted, plan = mix_plan(documents, targets, vocabulary, total, **names)
     whole = F.floor(F.col("factor") + 1e-9)
     placed = counted.join(plan.where("factor is not null").select("_source", whole.alias("_whole"), F.greatest(F.col("factor") - whole, F.lit(0.0)).alias("_p")), "_source")
     drawn = balanced_sample(placed.select("_source", "_doc", "_tokens", "_p"), block, seed)
@@ -136,7 +173,8 @@ def mixed(documents: DataFrame, targets: DataFrame, vocabulary: str = VOCABULARY
     report = plan.withColumnRenamed("_source", "source").join(got, "source", "left")
     report = report.select(
         "source", "target_share", F.coalesce("share", F.lit(0.0)).alias("share_sought"),
-        (zero(F.col("mixed_tokens")) / F.sum("mixed_tokens").over(every)).alias("share_reached"), "max_repeats", zero(F.col("most_repeats")).alias("most_repeats"),
+        (zero(F.col("mixed_tokens")) / F.sum("mixed_tokens").over(every)).alias("share_reached"),
+        ((zero(F.col("mixed_tokens")) / F.sum("mixed_tokens").over(every)) / F.col("share") - 1).alias("relative_error"), "max_repeats", zero(F.col("most_repeats")).alias("most_repeats"),
         (zero(F.col("mixed_tokens")) / F.col("tokens")).alias("mean_repeats"), zero(F.col("documents")).alias("documents"), zero(F.col("tokens")).alias("tokens"),
         zero(F.col("mixed_documents")).alias("mixed_documents"), zero(F.col("mixed_tokens")).alias("mixed_tokens"),
     )
