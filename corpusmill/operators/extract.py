@@ -25,6 +25,8 @@ JOINER, SEPARATOR = "\n\n", " > "
 Section = tuple[str, str, str | None]
 #: Reads a PDF's bytes into the texts of its pages; none is installed here, so PDFs need one given.
 PdfReader = Callable[[bytes], list[str]]
+#: Gives an HTML page's main content as Markdown, or None; such as a third-party extractor or the operator of problem 2.
+ToMarkdown = Callable[[str], str | None]
 
 
 def one_line(fragment: str) -> str:
@@ -116,8 +118,19 @@ def with_offsets(sections: list[Section]) -> tuple[str, list[tuple]]:
     return JOINER.join(s[0] for s in sections), blocks
 
 
-def extract_document(body: bytes | None, content_type: str | None, reader: PdfReader | None = None) -> tuple[str | None, str, list[tuple]] | None:
-    """(title, full text, blocks) of a fetched body; None if it is empty, unreadable or of another type."""
+def page_sections(page: str, to_markdown: ToMarkdown | None = None) -> list[Section]:
+    """Sections of an HTML page: those of its main content as Markdown, with the page's own anchors, where ``to_markdown``
+    is given and keeps headings that the page has; else those of the main element's headings."""
+    text = to_markdown(page) if to_markdown else None
+    headed = html_sections(_FURNITURE.sub(" ", main_scope(page)))
+    if text and text.strip() and (_MARKDOWN.search(text) or not any(path for _, path, _ in headed)):
+        return markdown_sections(text, heading_anchors(page))
+    return headed
+
+
+def extract_document(body: bytes | None, content_type: str | None, reader: PdfReader | None = None, to_markdown: ToMarkdown | None = None) -> tuple[str | None, str, list[tuple]] | None:
+    """(title, full text, blocks) of a fetched body; None if it is empty, unreadable or of another type. A page's title is
+    its <title>, else its first heading; a Markdown text's its first heading."""
     low = (content_type or "").lower()
     if not body:
         return None
@@ -129,14 +142,20 @@ def extract_document(body: bytes | None, content_type: str | None, reader: PdfRe
         page = decoded(body, content_type)
         named = _TITLE.search(page)
         title = entities.unescape(one_line(named[1])) or None if named else None
-        sections = html_sections(_FURNITURE.sub(" ", main_scope(page)))
+        first = _HEADING.search(main_scope(page))
+        title = title or (entities.unescape(one_line(first[3])) or None if first else None)
+        sections = page_sections(page, to_markdown)
+    elif "text/markdown" in low:
+        text = decoded(body, content_type)
+        named = _MARKDOWN.search(text)
+        title, sections = (named[2] or None if named else None), markdown_sections(text)
     else:
         return None
     text, blocks = with_offsets(sections)
     return (title, text, blocks) if blocks else None
 
 
-def extract_pages(df: DataFrame, key: str = "fetch_id", body: str = "body", content_type: str = "content_type", reader: PdfReader | None = None) -> DataFrame:
+def extract_pages(df: DataFrame, key: str = "fetch_id", body: str = "body", content_type: str = "content_type", reader: PdfReader | None = None, to_markdown: ToMarkdown | None = None) -> DataFrame:
     """key, ok, error, title, full_text, blocks of every row; one bad document never fails the others."""
     kind = {f.name: f.dataType.simpleString() for f in df.schema}[key]
 
@@ -144,7 +163,7 @@ def extract_pages(df: DataFrame, key: str = "fetch_id", body: str = "body", cont
         out: tuple = ([], [], [], [], [])
         for t, b in zip(types, bodies):
             try:
-                got, error = extract_document(b, t, reader), None
+                got, error = extract_document(b, t, reader, to_markdown), None
             except Exception as x:  # the row says so
                 got, error = None, f"{type(x).__name__}: {x}"
             row = (got is not None, error, *(got if got else (None, None, None)))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from html.parser import HTMLParser
 from urllib.parse import urljoin
 from urllib.robotparser import RobotFileParser
@@ -65,13 +66,17 @@ def host_graph(links: DataFrame, source: str = "source_host", link: str = "link"
     return links.groupBy(F.col(source).alias("source_host"), host(F.col(link)).alias("target_host")).agg(F.count("*").alias("n_links"))
 
 
-def robots_allow(rules: str | None, agent: str, url: str) -> bool:
-    """Whether a robots.txt text lets ``agent`` fetch ``url``; no text means the host couldn't be asked: denied."""
-    if rules is None:
-        return False
+@functools.lru_cache(maxsize=1024)
+def _parsed(rules: str) -> RobotFileParser:
     parser = RobotFileParser()
     parser.parse(rules.splitlines())
-    return parser.can_fetch(agent, url)
+    return parser
+
+
+def robots_allow(rules: str | None, agent: str, url: str) -> bool:
+    """Whether a robots.txt text lets ``agent`` fetch ``url``; no text means the host couldn't be asked: denied. A text is
+    parsed once."""
+    return rules is not None and _parsed(rules).can_fetch(agent, url)
 
 
 def robots_filter(frontier: DataFrame, robots: DataFrame, agent: str = "corpusmill") -> DataFrame:
@@ -108,9 +113,11 @@ def crawl_frontier(seeds: DataFrame, links: DataFrame, max_pages: int | None = 5
     return seen if max_pages is None else within_budget(seen, max_pages, ["depth"]).select("url", "depth")
 
 
-def by_host(seeds: DataFrame, url: str = "url") -> DataFrame:
-    """host, urls, n_urls of distinct seeds; the list of a host is as long as its seeds."""
-    own = seeds.select(F.col(url).alias("url")).distinct().withColumn("host", host(F.col("url")))
+def by_host(seeds: DataFrame, url: str = "url", allowed: list[str] | None = None) -> DataFrame:
+    """host, urls, n_urls of distinct seeds, in canonical form where the ``allowed`` hosts are given; the list of a host
+    is as long as its seeds."""
+    named = F.col(url) if allowed is None else normalize_url(F.col(url), allowed)
+    own = seeds.select(named.alias("url")).where("url is not null").distinct().withColumn("host", host(F.col("url")))
     return own.groupBy("host").agg(F.sort_array(F.collect_list("url")).alias("urls"), F.count("*").alias("n_urls"))
 
 

@@ -90,9 +90,10 @@ def persistable_fetches(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "crawl_results").groupBy(urls.content_kind(F.col("content_type")).alias("kind"), ok.alias("persistable")).agg(F.count("*").alias("n"))
 
 
-@query(f"SELECT host, list_sort(list(url)) AS urls, count(*) AS n_urls FROM (SELECT DISTINCT u AS url, {_HOST} AS host FROM (SELECT url AS u FROM documents WHERE url IS NOT NULL)) GROUP BY host")
+@query(f"""SELECT regexp_extract(url, '^https://([^/:?#]*)', 1) AS host, list_sort(list(url)) AS urls, count(*) AS n_urls FROM (
+  SELECT DISTINCT {_NORMAL} AS url FROM (SELECT trim(url) AS u FROM documents WHERE url IS NOT NULL)) WHERE url IS NOT NULL GROUP BY 1""")
 def seeds_by_host(spark: SparkSession, folder: str) -> DataFrame:
-    return links.by_host(table(spark, folder, "documents").where("url is not null"))
+    return links.by_host(table(spark, folder, "documents"), allowed=HOSTS)
 
 
 @query("SELECT url, min(fetched_at) AS fetched_at FROM crawl_results WHERE url IS NOT NULL GROUP BY url ORDER BY fetched_at, url LIMIT 5000")

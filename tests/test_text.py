@@ -30,6 +30,17 @@ def test_markdown_sections():
     assert got == [("pre", "", None), ("x", "A", None), ("y", "A > B", "anchor-b")]
 
 
+def test_markdown_mode():
+    shown = lambda page: "# Fees & dates\nIntro.\n## Registrar\nOne two\n### Fees\nPay now."
+    title, text, blocks = extract.extract_document(PAGE, "text/html", to_markdown=shown)
+    assert [(b[1], b[2]) for b in blocks] == [("Fees & dates", None), ("Fees & dates > Registrar", "registrar"), ("Fees & dates > Registrar > Fees", "fees")]
+    assert all(text[b[3] : b[4]] == b[0] for b in blocks)
+    plain = extract.extract_document(PAGE, "text/html", to_markdown=lambda page: "no headings kept")  # the page's own are better
+    assert [b[1] for b in plain[2]] == ["", "Registrar", "Registrar > Fees"]
+    assert extract.extract_document(b"# A\nx", "text/markdown") == ("A", "x", [("x", "A", None, 0, 1)])
+    assert extract.extract_document(b"<main><h1>Top</h1><p>x</p></main>", "text/html")[0] == "Top"
+
+
 def test_plain_text_in_the_jvm(spark):
     for fragment in ("<p>a  b</p><p>c<br/>d</p>", "x <b>y</b>\n z", "<ul><li>1</li><li>2</li></ul>", "", "   "):
         got = spark.range(1).select(extract.plain_text_expr(F.lit(fragment))).first()[0]

@@ -76,7 +76,7 @@ def test_fetch_redirects():
     pages = {"https://a/1": (302, {"location": "/2"}, b""), "https://a/2": (200, {"content-type": "text/html"}, b"ok"), "https://a/out": (301, {"location": "https://z/"}, b""), "https://a/img": (200, {"content-type": "image/png"}, b"x"), "https://a/loop": (302, {"location": "/loop"}, b"")}
     asked = []
 
-    def fetcher(url):
+    def fetcher(url, headers):
         asked.append(url)
         return pages[url]
 
@@ -87,6 +87,52 @@ def test_fetch_redirects():
     assert fetch_one("https://a/loop", fetcher, admitted)["reason"] == "too many redirects"
 
 
+def test_fetch_waits_and_asks_conditionally(spark):
+    from corpusmill.sources.fetch import fetch_one, fetch_pages
+
+    waits, tries = [], []
+
+    def flaky(url, headers):
+        tries.append(url)
+        raise ConnectionError
+
+    assert fetch_one("https://a/1", flaky, lambda u: True, sleep=waits.append)["reason"] == "connection failed" and waits == [1.0] and len(tries) == 2
+
+    def server(url, headers):
+        if headers.get("If-None-Match") == "e1":
+            return 304, {}, b""
+        return 200, {"content-type": "text/html", "etag": "e2"}, url.encode()
+
+    known = spark.createDataFrame([("https://a/1", "e1", None, "old")], "url string, etag string, last_modified string, content_hash string")
+    frontier = spark.createDataFrame([("https://a/1",), ("https://a/2",), ("https://a/2",), (None,)], "url string")
+    got = {r.url: r for r in fetch_pages(frontier, server, lambda u: True, known).collect()}
+    assert set(got) == {"https://a/1", "https://a/2"} and (got["https://a/1"].http_status, got["https://a/1"].content_hash, got["https://a/1"].etag, got["https://a/1"].body) == (304, "old", "e1", None)
+    assert got["https://a/2"].etag == "e2" and bytes(got["https://a/2"].body) == b"https://a/2"
+
+
+def test_crawl(spark):
+    from corpusmill.config import Settings
+    from corpusmill.sources.fetch import crawl
+
+    html = {"content-type": "text/html"}
+    pages = {
+        "https://a.example/robots.txt": (200, {"content-type": "text/plain"}, b"User-agent: *\nDisallow: /secret"), "https://b.example/robots.txt": (404, {}, b""),
+        "https://a.example/": (200, html, b"<a href='/x'>x</a><a href='/secret/y'>y</a><a href='https://b.example/z#f'>z</a><a href='https://z.example/'>out</a><a href='/hop'>h</a>"),
+        "https://a.example/x": (200, html, b"<a href='/'>back</a><a href='/deep'>d</a>"), "https://b.example/z": (200, html, b"end"), "https://a.example/deep": (200, html, b"<a href='/deeper'>d</a>"),
+        "https://a.example/hop": (302, {"location": "/secret/t"}, b""), "https://a.example/deeper": (200, html, b""),
+    }
+
+    def fetcher(url, headers):
+        assert "secret" not in url and "z.example" not in url
+        return pages.get(url, (404, {}, b""))
+
+    seeds = spark.createDataFrame([("http://A.example/index.html#top",), ("https://a.example/",), ("https://z.example/",), (None,)], "url string")
+    run = lambda **s: {r.url.split("://")[1]: (r.depth, r.status) for r in crawl(seeds, fetcher, Settings(allowed_hosts=("a.example", "b.example"), **s), delay_s=0).collect()}
+    assert run(depth_cap=2) == {"a.example/": (0, "success"), "a.example/x": (1, "success"), "b.example/z": (1, "success"), "a.example/secret/y": (1, "skip"), "a.example/hop": (1, "skip"), "a.example/deep": (2, "success")}
+    assert sum(v[1] != "skip" or k.endswith("hop") for k, v in run(max_pages=3).items()) == 3
+    assert crawl(seeds.limit(0), fetcher, Settings(allowed_hosts=("a.example",)), delay_s=0).count() == 0
+
+
 def test_seeds(tmp_path):
     import pytest
 
