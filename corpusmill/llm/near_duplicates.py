@@ -6,6 +6,9 @@ registers are hashed and joined, the candidates' Jaccard likeness is estimated f
 chance collisions and for buckets empty on both sides, and what is not clearly below the threshold is verified on the
 exact shingle sets of the whole texts.
 
+A record of few distinct shingles leaves many registers empty; up to ``FEW`` of them it also has a band for each
+shingle, so that no such pair is missed.
+
 Records with the same words in the same order are one class and only its first record is banded, so masses of exact
 copies cost one row each; buckets of one record are dropped before the join. No bucket, candidate or partner is
 capped. ``similar_pairs`` lists all pairs (its rows are what the data hold); ``groups`` gives one row a record.
@@ -34,6 +37,8 @@ REGISTERS = PASSES * BUCKETS
 BAND = 5
 #: Each register stands in two bands, one of each arrangement of the registers.
 BANDS = [row.tolist() for seed in (1, 2) for row in np.random.RandomState(seed).permutation(REGISTERS).reshape(-1, BAND)]
+#: A record of up to ``FEW`` / 0.6 distinct shingles can be like one whose bands are mostly empty.
+FEW = 20
 #: An estimate this far (over four standard deviations) below the threshold can't be a pair.
 MARGIN = 0.2
 
@@ -112,18 +117,30 @@ def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(there > 0, np.clip((same - chance) / np.maximum(there - chance, 1), 0, 1), 0.0)
 
 
+def _few(w: list[str]) -> list[int] | None:
+    """Hashes of a text's shingles if there are at most ``FEW``."""
+    own: set[str] = set()
+    for i in range(len(w) - SHINGLE + 1):
+        own.add(" ".join(w[i : i + SHINGLE]))
+        if len(own) > FEW:
+            return None
+    return sorted(int.from_bytes(hashlib.blake2b(x.encode(), digest_size=8).digest(), "little", signed=True) for x in own)
+
+
 def signatures(df: DataFrame, kind: str, record: str, document: str, text: str, min_pieces: int = MIN_PIECES) -> DataFrame:
-    """kind, id, doc, class (MD5 of the words), registers of every record that is long enough."""
+    """kind, id, doc, class (MD5 of the words), registers, few (hashes of the shingles if they are few) of every record
+    that is long enough."""
 
     def sign(ids: list, docs: list, texts: list) -> tuple:
-        out: tuple = ([], [], [], [], [])
+        out: tuple = ([], [], [], [], [], [])
         hashes, batch, size = _Hashes(), [], 0
 
         def flush() -> None:
             nonlocal batch, size
             if batch:
                 for (x, d, w), r in zip(batch, registers([w for _, _, w in batch], hashes)):
-                    for column, value in zip(out, (kind, x, d, hashlib.md5(" ".join(w).encode()).digest(), r.tobytes())):
+                    few = _few(w) if (r == _EMPTY).sum() > REGISTERS // 10 else None
+                    for column, value in zip(out, (kind, x, d, hashlib.md5(" ".join(w).encode()).digest(), r.tobytes(), few)):
                         column.append(value)
             batch, size = [], 0
 
@@ -140,7 +157,7 @@ def signatures(df: DataFrame, kind: str, record: str, document: str, text: str,
         return out
 
     own = df.select(F.col(record).cast("bigint").alias("id"), F.col(document).cast("bigint").alias("doc"), F.col(text).alias("text"))
-    return map_columns(own, sign, "kind string, id bigint, doc bigint, class binary, registers binary")
+    return map_columns(own, sign, "kind string, id bigint, doc bigint, class binary, registers binary, few array<bigint>")
 
 
 def band_keys(r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -162,7 +179,8 @@ def _banded(reps: DataFrame) -> DataFrame:
         at = np.nonzero(good)[0]
         return [kinds[i] for i in at], np.array(ids, np.int64)[at], keys[good]
 
-    return map_columns(reps.select("kind", "id", "registers"), band, "kind string, id bigint, band bigint")
+    banded = map_columns(reps.select("kind", "id", "registers"), band, "kind string, id bigint, band bigint")
+    return banded.unionByName(reps.where("few is not null").select("kind", "id", F.explode("few").alias("band")))
 
 
 def _candidates(reps: DataFrame) -> DataFrame:

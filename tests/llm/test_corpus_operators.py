@@ -89,6 +89,17 @@ def test_pairs_against_brute_force(spark):
     assert near_duplicates.similar_pairs([(df.limit(0), "chunk", "chunk_id", "document_id", "text")]).count() == 0
 
 
+def test_few_shingles_are_found(spark):
+    cycle = lambda words, n: " ".join((words * n)[:n])
+    texts = [cycle(["ha"], n) for n in (60, 70)] + [cycle(["tra", "la", "li"], n) for n in (60, 61, 90)] + [cycle([f"a{i}" for i in range(12)], n) for n in (60, 70)] + [cycle([f"a{i}" for i in range(12)], 60) + " b c d"]
+    rows = [(i, i, t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "chunk_id long, document_id long, text string")
+    sets = [near_duplicates.shingles(t) for t in texts]
+    true = {(a, b) for a, b in itertools.combinations(range(len(texts)), 2) if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.6}
+    got = {(r.id_a, r.id_b) for r in near_duplicates.similar_pairs([(df, "chunk", "chunk_id", "document_id", "text")]).collect()}
+    assert got == true and len(true) >= 6
+
+
 def test_estimate_is_close():
     rng = random.Random(9)
     for j in (0.3, 0.6, 0.9):
