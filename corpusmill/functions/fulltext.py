@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 from collections import Counter
 
@@ -16,36 +17,82 @@ STOP = frozenset(
     "should so some such t than that the their theirs them themselves then there these they this those through to too under until up very was we were what when where which while who whom why will with "
     "you your yours yourself yourselves".split()
 )
-_VOWEL = re.compile(r"[aeiouy]")
+#: Tables of the published English (Porter 2) stemming algorithm: endings and what they become. (Fixed values.)
+_WHOLE = {"skis": "ski", "skies": "sky", "dying": "die", "lying": "lie", "tying": "tie", "idly": "idl", "gently": "gentl", "ugly": "ugli", "early": "earli", "only": "onli", "singly": "singl"}
+_KEPT = frozenset("sky news howe atlas cosmos bias andes".split())
+_KEPT_AFTER_PLURAL = frozenset("inning outing canning herring earring proceed exceed succeed".split())
+_SECOND = {
+    "ization": "ize", "ational": "ate", "fulness": "ful", "ousness": "ous", "iveness": "ive", "tional": "tion", "biliti": "ble", "lessli": "less", "entli": "ent", "ation": "ate", "alism": "al", "aliti": "al",
+    "ousli": "ous", "iviti": "ive", "fulli": "ful", "enci": "ence", "anci": "ance", "abli": "able", "izer": "ize", "ator": "ate", "alli": "al", "bli": "ble", "ogi": "og", "li": "",
+}
+_THIRD = {"ational": "ate", "tional": "tion", "alize": "al", "icate": "ic", "iciti": "ic", "ative": "", "ical": "ic", "ness": "", "ful": ""}
+_FOURTH = ("ement", "ance", "ence", "able", "ible", "ment", "ant", "ent", "ism", "ate", "iti", "ous", "ive", "ize", "ion", "al", "er", "ic")
+_REGION = re.compile(r"[aeiouy][^aeiouy]")
+_HEAD = re.compile(r"^(?:gener|commun|arsen)")
+_SHORT_END = re.compile(r"(?:[^aeiouy][aeiouy][^aeiouywxY]|^[aeiouy][^aeiouy])$")
+_DOUBLE = ("bb", "dd", "ff", "gg", "mm", "nn", "pp", "rr", "tt")
 
 
+def _regions(word: str) -> tuple[int, int]:
+    """Where R1 and R2 begin: after the first consonant behind a vowel, and the same once more."""
+    head, first = _HEAD.match(word), _REGION.search(word)
+    r1 = head.end() if head else first.end() if first else len(word)
+    second = _REGION.search(word, r1)
+    return r1, second.end() if second else len(word)
+
+
+def _ending(word: str, endings: object) -> str | None:
+    """The longest of ``endings`` that the word ends in."""
+    return max((e for e in endings if word.endswith(e)), key=len, default=None)
+
+
+@functools.lru_cache(maxsize=100_000)
 def stem(word: str) -> str:
-    """Light English stem: plural, past and progressive endings, then derivational ones of longer words."""
-    if len(word) < 4 or not word.isascii():
+    """The English (Porter 2) stem of a lower-cased word; words of other scripts stay as they are."""
+    if len(word) < 3 or not word.isascii() or word in _KEPT:
+        return word
+    if word in _WHOLE:
+        return _WHOLE[word]
+    word = re.sub(r"(?<=[aeiouy])y|^y", "Y", word)
+    r1, r2 = _regions(word)
+    if word.endswith("sses"):
+        word = word[:-2]
+    elif word.endswith(("ied", "ies")):
+        word = word[:-2] if len(word) > 4 else word[:-1]
+    elif word.endswith("s") and not word.endswith(("us", "ss")) and re.search(r"[aeiouy]", word[:-2]):
+        word = word[:-1]
+    if word in _KEPT_AFTER_PLURAL:
         return word
-    for end, to in (("sses", "ss"), ("ies", "i"), ("ied", "i")):
-        if word.endswith(end):
-            word = word[: -len(end)] + to
-            break
-    else:
-        if word.endswith("s") and not word.endswith(("ss", "us", "is")):
+    end = _ending(word, ("eedly", "ingly", "edly", "eed", "ing", "ed"))
+    if end in ("eed", "eedly"):
+        word = word[: -len(end)] + "ee" if len(word) - len(end) >= r1 else word
+    elif end and re.search(r"[aeiouy]", word[: -len(end)]):
+        word = word[: -len(end)]
+        if word.endswith(("at", "bl", "iz")):
+            word += "e"
+        elif word.endswith(_DOUBLE):
             word = word[:-1]
-    for end in ("ingly", "edly", "ing", "ed"):
-        base = word[: -len(end)]
-        if word.endswith(end) and _VOWEL.search(base) and len(base) > 2:
-            word = base
-            if word.endswith(("at", "bl", "iz")):
-                word += "e"
-            elif len(word) > 3 and word[-1] == word[-2] and word[-1] not in "lsz":
-                word = word[:-1]
-            break
-    if word.endswith("y") and len(word) > 3 and word[-2] not in "aeiou":
+        elif r1 >= len(word) and _SHORT_END.search(word):
+            word += "e"
+    if len(word) > 2 and word[-1] in "yY" and word[-2] not in "aeiouy":
         word = word[:-1] + "i"
-    for end, to in (("ization", "ize"), ("ational", "ate"), ("fulness", "ful"), ("ousness", "ous"), ("iveness", "ive"), ("tional", "tion"), ("biliti", "ble"), ("entli", "ent"), ("ousli", "ous"), ("alli", "al"), ("ement", ""), ("ment", ""), ("ness", "")):
-        if word.endswith(end) and len(word) - len(end) > 3:
-            word = word[: -len(end)] + to
-            break
-    return word[:-1] if word.endswith("e") and len(word) > 4 else word
+    end = _ending(word, _SECOND)
+    if end and len(word) - len(end) >= r1:
+        before = word[: -len(end)]
+        if (end != "ogi" or before.endswith("l")) and (end != "li" or before[-1:] in tuple("cdeghkmnrt")):
+            word = before + _SECOND[end]
+    end = _ending(word, _THIRD)
+    if end and len(word) - len(end) >= (r2 if end == "ative" else r1):
+        word = word[: -len(end)] + _THIRD[end]
+    end = _ending(word, _FOURTH)
+    if end and len(word) - len(end) >= r2 and (end != "ion" or word[: -len(end)].endswith(("s", "t"))):
+        word = word[: -len(end)]
+    if word.endswith("e"):
+        if len(word) - 1 >= r2 or len(word) - 1 >= r1 and not _SHORT_END.search(word[:-1]):
+            word = word[:-1]
+    elif word.endswith("ll") and len(word) - 1 >= r2:
+        word = word[:-1]
+    return word.lower()
 
 
 def analyze(text: str | None, analyzer: str = "simple") -> list[tuple[str, int]]:

@@ -41,6 +41,16 @@ def test_markdown_mode():
     assert extract.extract_document(b"<main><h1>Top</h1><p>x</p></main>", "text/html")[0] == "Top"
 
 
+def test_stems_of_the_published_sample():
+    sample = {
+        "consign": "consign", "consigned": "consign", "consigning": "consign", "consignment": "consign", "consist": "consist", "consisted": "consist", "consistency": "consist", "consistent": "consist", "consistently": "consist",
+        "consisting": "consist", "consists": "consist", "consolation": "consol", "consolations": "consol", "console": "consol", "consolidate": "consolid", "consolidated": "consolid", "consoling": "consol", "consolingly": "consol",
+        "knack": "knack", "knackeries": "knackeri", "knacks": "knack", "knave": "knave", "knavish": "knavish", "kneaded": "knead", "kneel": "kneel", "kneeled": "kneel", "kneels": "kneel", "knees": "knee", "knell": "knell", "knightly": "knight", "knitting": "knit", "knives": "knive", "knocker": "knocker", "knots": "knot",
+        "running": "run", "hoped": "hope", "hopping": "hop", "dying": "die", "news": "news", "skies": "sky", "happily": "happili", "generously": "generous", "communism": "communism", "relational": "relat", "fees": "fee", "registered": "regist", "ties": "tie", "cries": "cri", "gas": "gas", "this": "this", "kiwis": "kiwi", "youth": "youth", "say": "say", "by": "by", "cry": "cri", "exceed": "exceed", "école": "école",
+    }
+    assert {w: fulltext.stem(w) for w in sample} == sample
+
+
 def test_plain_text_in_the_jvm(spark):
     for fragment in ("<p>a  b</p><p>c<br/>d</p>", "x <b>y</b>\n z", "<ul><li>1</li><li>2</li></ul>", "", "   "):
         got = spark.range(1).select(extract.plain_text_expr(F.lit(fragment))).first()[0]
