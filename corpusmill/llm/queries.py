@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusmill.llm import boilerplate, encoding, mixing, near_duplicates, rank_fusion, residue, site_lines, splitting, subjects
@@ -81,6 +81,22 @@ UNION ALL
 SELECT DISTINCT 'chunk', document_id, ordinal FROM chunks WHERE length(text) > 2400"""
 
 
+P3_CHECKS_SQL = """
+SELECT DISTINCT 'block' AS kind, document_id, block_no AS item_no, 0 AS n_faults, length(text) AS covered FROM extract_blocks WHERE length(text) > 2400
+UNION ALL
+SELECT DISTINCT 'chunk', document_id, ordinal, 0, length(text) FROM chunks WHERE length(text) > 2400"""
+
+
+def p3_checks(spark: SparkSession, folder: str) -> DataFrame:
+    """By oversized item: pieces over the limit, that aren't the stretch they name, that overlap by more than allowed or leave a
+    gap, and how far the pieces reach; the SQL says that there are no faults and that the whole text is covered."""
+    w = Window.partitionBy("kind", "document_id", "item_no").orderBy("piece_no")
+    size = F.length("text")
+    before = F.coalesce(F.lag("char_end").over(w), F.lit(0))
+    fault = (size > 2400) | (size != F.col("char_end") - F.col("char_start")) | (F.col("own_start") != before) | (F.col("own_start") - F.col("char_start") > 200) | (F.col("char_start") > F.col("own_start"))
+    return p3_pieces(spark, folder).withColumn("_fault", fault).groupBy("kind", "document_id", "item_no").agg(F.count_if("_fault").cast("int").alias("n_faults"), F.max("char_end").alias("covered"))
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return site_lines.repeated_line_occurrences(table(spark, folder, "extracted_documents"))
 
@@ -148,6 +164,18 @@ def p7_groups(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates.groups(_texts(spark, folder))
 
 
+#: All pairs by their shared shingles.
+P7_FOUND_SQL = """
+WITH r AS (SELECT DISTINCT 'document' AS kind, document_id AS id, document_id AS doc, full_text AS t FROM extracted_documents WHERE full_text IS NOT NULL
+           UNION ALL SELECT DISTINCT 'chunk', chunk_id, document_id, text FROM chunks WHERE text IS NOT NULL),
+l AS (SELECT kind, id, doc, lower(t) AS t FROM r WHERE len(list_filter(regexp_split_to_array(t, '[\\s\\x0B\\x1C-\\x1F\\x85\\p{Z}]+'), lambda x: x <> '')) >= 50),
+w AS (SELECT kind, id, doc, regexp_extract_all(t, '[\\p{L}\\p{N}]+') AS w FROM l),
+s AS (SELECT DISTINCT kind, id, doc, hash(unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS g FROM w),
+n AS (SELECT kind, id, count(*) AS n FROM s GROUP BY ALL),
+p AS (SELECT a.kind, a.id AS id_a, b.id AS id_b, count(*) AS c FROM s AS a JOIN s AS b ON a.kind = b.kind AND a.g = b.g AND a.id < b.id AND a.doc <> b.doc GROUP BY ALL)
+SELECT p.kind, id_a, id_b FROM p JOIN n AS x ON p.kind = x.kind AND id_a = x.id JOIN n AS y ON p.kind = y.kind AND id_b = y.id WHERE c >= 0.6 * (x.n + y.n - c)"""
+
+
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encoding.encode_corpus(table(spark, folder, "documents"))
 
@@ -171,6 +199,24 @@ def p9_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mixed(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))[0]
 
 
+P9_CHECKS_SQL = """
+WITH t AS (SELECT lower(trim(source)) AS source, max(target_share) AS share FROM mix_targets WHERE source IS NOT NULL GROUP BY 1),
+d AS (SELECT DISTINCT lower(trim(source)) AS source FROM documents WHERE text <> '')
+SELECT t.source, false AS over_cap, round(CASE WHEN d.source IS NULL THEN 0 ELSE share / sum(share) FILTER (d.source IS NOT NULL) OVER () END, 6) AS share_sought, true AS near FROM t LEFT JOIN d ON t.source = d.source"""
+
+
+def p9_checks(spark: SparkSession, folder: str) -> DataFrame:
+    """By target source: whether a document stands in the mix more often than allowed, the share sought, and whether the share
+    reached lies within a document's weight of it; the SQL says what must come out."""
+    documents, targets = table(spark, folder, "documents"), table(spark, folder, "mix_targets")
+    mix, report = mixing.mixed(documents, targets)
+    most = mix.groupBy("source").agg(F.max("copies").alias("_most"), F.max("n_tokens").alias("_longest"))
+    total = F.sum("mixed_tokens").over(Window.partitionBy())  # one row a target
+    near = F.abs(F.col("share_reached") - F.col("share_sought")) <= 2 * F.coalesce("_longest", F.lit(0)) / total + 1e-3
+    return report.join(most, "source", "left").select(
+        "source", (F.coalesce("_most", F.lit(0)) > F.col("max_repeats")).alias("over_cap"), F.round("share_sought", 6).alias("share_sought"), near.alias("near"))
+
+
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     return subjects.document_subjects(table(spark, folder, "documents"), table(spark, folder, "subject_labels")).select("doc_id", "subject")
 
@@ -186,9 +232,9 @@ def p10_quality(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p1_kept": p1_kept, "ingest_states": ingest_states, "p2_found": p2_found, "p2_bodies": p2_bodies, "p2_quality": p2_quality, "p3_found": p3_found, "p3_pieces": p3_pieces, "p4_found": p4_found, "p4_clean": p4_clean, "p6_found": p6_found, "p6_ranking": p6_ranking,
-            "p7_found": p7_found, "p7_groups": p7_groups, "p8_ids": p8_ids, "p8_roundtrip": p8_roundtrip, "p9_report": p9_report, "p9_mix": p9_mix, "p10_found": p10_found, "p10_composition": p10_composition, "p10_quality": p10_quality}
+    return {"p1_found": p1_found, "p1_kept": p1_kept, "ingest_states": ingest_states, "p2_found": p2_found, "p2_bodies": p2_bodies, "p2_quality": p2_quality, "p3_found": p3_found, "p3_pieces": p3_pieces, "p3_checks": p3_checks, "p4_found": p4_found, "p4_clean": p4_clean, "p6_found": p6_found, "p6_ranking": p6_ranking,
+            "p7_found": p7_found, "p7_groups": p7_groups, "p8_ids": p8_ids, "p8_roundtrip": p8_roundtrip, "p9_report": p9_report, "p9_mix": p9_mix, "p9_checks": p9_checks, "p10_found": p10_found, "p10_composition": p10_composition, "p10_quality": p10_quality}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p3_found": P3_FOUND_SQL, "p4_found": P4_FOUND_SQL, "p4_clean": P4_CLEAN_SQL, "p6_found": P6_FOUND_SQL, "p6_ranking": P6_RANKING_SQL, "p8_roundtrip": P8_ROUNDTRIP_SQL}
+    return {"p3_found": P3_FOUND_SQL, "p3_checks": P3_CHECKS_SQL, "p4_found": P4_FOUND_SQL, "p4_clean": P4_CLEAN_SQL, "p6_found": P6_FOUND_SQL, "p6_ranking": P6_RANKING_SQL, "p7_found": P7_FOUND_SQL, "p9_checks": P9_CHECKS_SQL, "p8_roundtrip": P8_ROUNDTRIP_SQL}
