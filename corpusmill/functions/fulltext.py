@@ -105,6 +105,14 @@ def analyze(text: str | None, analyzer: str = "simple") -> list[tuple[str, int]]
     return [(stem(w), i) for i, w in enumerate(words, 1) if w not in STOP]
 
 
+def tsv(text: str | None, analyzer: str = "english") -> dict[str, list[int]]:
+    """Positions by lexeme of a text: the stored full-text column."""
+    places: dict[str, list[int]] = {}
+    for t, p in analyze(text, analyzer):
+        places.setdefault(t, []).append(p)
+    return places
+
+
 def lexemes(text: Column) -> Column:
     """The 'simple' lexemes in order, in the JVM."""
     return F.filter(F.split(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "), " "), lambda w: w != "")

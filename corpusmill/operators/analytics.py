@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusmill.session import cut
@@ -103,6 +103,33 @@ def evaluation(results: DataFrame) -> DataFrame:
     )
 
 
+GOLD = "id string, family string, question string, expected string, source_url string, must_cite array<string>"
+
+
+def read_gold(spark: SparkSession, path: str) -> DataFrame:
+    """The gold set: one question a line of JSON."""
+    return spark.read.schema(GOLD).json(path).where("id is not null")
+
+
+def judged(gold: DataFrame, answers: DataFrame) -> DataFrame:
+    """One row a question of ``gold`` for ``evaluation``, from ``answers`` (id, answer, refused, cited: urls, latency_s, and
+    correct where somebody has judged it).
+
+    Families: 'refusal' should be refused, the others not. An answer is correct if its judge says so, else if it holds
+    the expected text, whatever the case; its citations are valid if there are some and all urls of must_cite are
+    among them. A question without an answer row counts as wrong and not refused.
+    """
+    correct = F.contains(F.lower("answer"), F.lower("expected"))
+    if "correct" in answers.columns:
+        correct = F.coalesce(F.col("correct"), correct)
+    both = gold.dropDuplicates(["id"]).join(answers.dropDuplicates(["id"]), "id", "left")
+    cited = F.coalesce("cited", F.array().cast("array<string>"))
+    return both.select(
+        "id", "family", F.coalesce(correct, F.lit(False)).alias("correct"), F.coalesce(F.col("family") == "refusal", F.lit(False)).alias("should_refuse"), F.coalesce("refused", F.lit(False)).alias("was_refused"),
+        ((F.size(cited) > 0) & (F.size(F.array_except(F.coalesce("must_cite", F.array().cast("array<string>")), cited)) == 0)).alias("citations_valid"), F.col("latency_s").cast("double").alias("latency_s"),
+    )
+
+
 def rate_limit_windows(events: DataFrame, user: str = "user_id", at: str = "ts", minutes: int = 10, most: int = 20) -> DataFrame:
     """user, window_start, n_requests of the windows in which a user asked more than ``most`` times."""
     w = events.groupBy(F.col(user).alias("user_id"), F.window(F.col(at).cast("timestamp"), f"{minutes} minutes").alias("w")).agg(F.count("*").alias("n_requests"))

@@ -200,6 +200,11 @@ def postings(chunks: DataFrame, analyzer: str = "simple", only: frozenset | None
     return made.groupBy("chunk_id", "token").agg(F.max("positions").alias("positions"))
 
 
+def stored_postings(chunks: DataFrame) -> DataFrame:
+    """The same from the chunks' stored column tsv (positions by lexeme), as the ingest writes it."""
+    return chunks.where("chunk_id is not null").select("chunk_id", F.explode("tsv").alias("token", "positions"))
+
+
 def _matched(chunks: DataFrame, asked: dict[int, frozenset], k: int, rank: str, analyzer: str) -> DataFrame:
     """question_id, chunk_id, sparse_score: a task's best ``k`` chunks of each question. A question is tried on the chunks
     that hold the lexeme of it that the fewest questions have."""

@@ -457,7 +457,9 @@ def support_areas(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def question_clusters(spark: SparkSession, folder: str) -> DataFrame:
-    return analytics.question_clusters(table(spark, folder, "embeddings"), "vec_id", "embedding")
+    """Clusters of the questions by their vectors."""
+    asked = table(spark, folder, "questions").select("question_id", F.trim("redacted_text").alias("text")).where("text <> ''").distinct()
+    return analytics.question_clusters(encode.embed(asked, out="vector"), "question_id", "vector")
 
 
 def queries() -> dict[str, Query]:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.config import DEFAULTS, Settings
 from corpusmill.functions.arrow import columns, map_columns
+from corpusmill.functions.fulltext import tsv
 from corpusmill.operators.chunking import Tokenizer, chunk_document
 from corpusmill.operators.encode import Encoder, embed, hashing_encoder
 from corpusmill.operators.extract import PdfReader, extract_pages
@@ -27,7 +28,7 @@ class Ingested:
     summary: DataFrame
 
 
-CHUNK = "ordinal int, text string, heading_path string, char_start int, char_end int, url_anchor string, token_count int"
+CHUNK = "ordinal int, text string, heading_path string, char_start int, char_end int, url_anchor string, token_count int, tsv map<string,array<int>>"
 
 
 def latest_pages(pages: DataFrame) -> DataFrame:
@@ -67,10 +68,10 @@ def ingest(pages: DataFrame, embedded: DataFrame | None = None, encoder: Encoder
         rows = []
         for u, h, g in zip(urls, hashes, groups):
             try:
-                rows += [(u, h, i, *c, None) for i, c in enumerate(chunk_document([(b["text"], b["heading_path"], b["anchor_id"], b["char_start"]) for b in g], settings, tokenizer))]
+                rows += [(u, h, i, *c, list(tsv(c[0]).items()), None) for i, c in enumerate(chunk_document([(b["text"], b["heading_path"], b["anchor_id"], b["char_start"]) for b in g], settings, tokenizer))]
             except Exception as x:  # the row says so
-                rows.append((u, h, *[None] * 7, f"{type(x).__name__}: {x}"))
-        return columns(rows, 10)
+                rows.append((u, h, *[None] * 8, f"{type(x).__name__}: {x}"))
+        return columns(rows, 11)
 
     made = map_columns(rated.where("state = 'ok'").select("url", "content_hash", "blocks"), chunk, f"url string, content_hash string, {CHUNK}, failure string")
     made = cut(embed(made, encoder=encoder, batch=settings.encode_batch, error="_error").withColumn("failure", F.coalesce("failure", "_error")).drop("_error"))

@@ -129,6 +129,14 @@ def test_reports(spark):
     assert {(r.kind, r.value, r.n) for r in analytics.fact_candidates(text, "document_id", "t").collect()} == {("date", "2025-01-02", 2), ("amount", "$1,200", 1), ("gpa", "GPA of 3.5", 1), ("deadline", "Due 3 May", 1)}
 
 
+def test_gold_set(spark, tmp_path):
+    (tmp_path / "gold.jsonl").write_text("\n".join(['{"id":"a","family":"factual","question":"q","expected":"7 May","must_cite":["u"]}', '{"id":"b","family":"refusal","question":"q","expected":"x"}', '{"id":"c","family":"factual","question":"q","expected":"y","must_cite":["u"]}', '{"family":"factual"}']))
+    gold = analytics.read_gold(spark, str(tmp_path / "gold.jsonl"))
+    answers = spark.createDataFrame([("a", "It is 7 MAY.", False, ["u", "v"], 1.0), ("b", "", True, [], 2.0), ("zz", "", True, [], 9.0)], "id string, answer string, refused boolean, cited array<string>, latency_s double")
+    m = analytics.evaluation(analytics.judged(gold, answers)).first()
+    assert (m.n, m.accuracy, m.citation_validity, m.wrong_answer_rate, m.correct_refusal, m.false_refusal) == (3, 0.5, 0.5, round(1 / 3, 6), 1.0, 0.0)
+
+
 def test_streams(spark, tmp_path):
     events = spark.createDataFrame([(1, T(1, 1)), (1, T(1, 1)), (2, T(1, 2)), (9, T(9))], "user_id long, ts timestamp_ntz")
     events.write.parquet(str(tmp_path / "in"))
