@@ -210,7 +210,8 @@ def p9_checks(spark: SparkSession, folder: str) -> DataFrame:
     reached lies within a document's weight of it; the SQL says what must come out."""
     documents, targets = table(spark, folder, "documents"), table(spark, folder, "mix_targets")
     mix, report = mixing.mixed(documents, targets)
-    most = mix.groupBy("source").agg(F.max("copies").alias("_most"), F.max("n_tokens").alias("_longest"))
+    longest = mixing.mix_plan(documents, targets)[0].groupBy(F.col("_source").alias("source")).agg(F.max("_tokens").alias("_longest"))  # of those left out too
+    most = mix.groupBy("source").agg(F.max("copies").alias("_most")).join(longest, "source", "full")
     total = F.sum("mixed_tokens").over(Window.partitionBy())  # one row a target
     near = F.abs(F.col("share_reached") - F.col("share_sought")) <= 2 * F.coalesce("_longest", F.lit(0)) / total + 1e-3
     return report.join(most, "source", "left").select(

@@ -1,8 +1,8 @@
 """Subject area of each document (problem 10).
 
 Weighted subject terms are matched by one multi-pattern automaton over the normalised text (lower case, plural s folded,
-small words left out; a term is one or two words, or a word's beginning). The terms are curated from general vocabulary
-(``subject_terms.txt``, a parameter) and completed by those that labelled documents show: words and pairs of words that
+small words left out; a term is one or two words, or a word's beginning). The terms are a curated list
+(``subject_terms.txt``, a parameter) completed by those that labelled documents show: words and pairs of words that
 stand in documents of one subject nearly always, learnt from a bounded sample of labels (``LABELLED`` documents).
 
 A term's weight is lowered by its frequency in all documents (rarity), and by how seldom the other terms of its
